@@ -21,7 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dims
+from ..operators import duplicates as D
 from ..operators import lines as L
+from ..operators import metrics as M
+from ..operators import smells as E
 from ..operators import structure as S
 from ..session import materialize
 from ..sources import corpus as C
@@ -92,8 +95,54 @@ class Analysis:
             raise ValueError("analyze(..., keep_lines=True) is needed for the line table")
         return L.lines(self.analysis)
 
-    def cols(self, df: DataFrame, *names: str) -> DataFrame:
-        return df.select(*names)
+    # --- smells -------------------------------------------------------------
+    @cached_property
+    def smell_inputs(self) -> DataFrame:
+        return E.smell_inputs(self.analysis, self.functions, self.literals)
+
+    @cached_property
+    def smells_wide(self) -> DataFrame:
+        return E.smell_scores_wide(self.smell_inputs)
+
+    @cached_property
+    def smells(self) -> DataFrame:
+        return E.smell_scores_long(self.smells_wide)
+
+    @cached_property
+    def smell_details(self) -> DataFrame:
+        return E.smell_details(self.analysis, self.functions, self.classes, self.literals,
+                               self.smells_wide)
+
+    # --- duplicates -----------------------------------------------------------
+    @cached_property
+    def exact_groups(self) -> DataFrame:
+        return D.exact_groups(self.analysis)
+
+    @cached_property
+    def exact_members(self) -> DataFrame:
+        return D.exact_members(self.analysis, self.exact_groups)
+
+    @cached_property
+    def near_duplicates(self) -> DataFrame:
+        return D.near_duplicates(self.analysis, self.near_threshold)
+
+    @cached_property
+    def duplicates(self) -> DataFrame:
+        return D.all_duplicates(self.analysis, self.near_threshold)
+
+    @cached_property
+    def duplicate_counts(self) -> DataFrame:
+        return D.duplicate_counts(self.duplicates)
+
+    # --- metrics --------------------------------------------------------------
+    @cached_property
+    def language_stats(self) -> DataFrame:
+        return M.language_stats(self.scanned, self.analysis)
+
+    @cached_property
+    def repo_metrics(self) -> DataFrame:
+        return M.repo_metrics(self.repos, self.scanned, self.analysis, self.smells_wide,
+                              self.duplicate_counts)
 
 
 def analyze(corpus: DataFrame, extra_ignores: Sequence[str] = (), materialize: str = "none",

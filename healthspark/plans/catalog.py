@@ -26,17 +26,17 @@ def query(name: str):
 
 
 def k1(spark: SparkSession, sf: str, **kw) -> Analysis:
-    kw.setdefault("materialize", "persist")
+    kw.setdefault("materialize", "checkpoint")
     return analyze(K.k1_corpus(spark, sf), **kw)
 
 
 def k2(spark: SparkSession, sf: str, **kw) -> Analysis:
-    kw.setdefault("materialize", "persist")
+    kw.setdefault("materialize", "checkpoint")
     return analyze(K.k2_corpus(spark, sf), **kw)
 
 
 def k3(spark: SparkSession, sf: str, **kw) -> Analysis:
-    kw.setdefault("materialize", "persist")
+    kw.setdefault("materialize", "checkpoint")
     return analyze(K.k3_corpus(spark, sf), **kw)
 
 
@@ -164,3 +164,119 @@ def file_facts_docs(spark, sf):
 def feature_counts(spark, sf):
     ff = k1(spark, sf).file_facts
     return longs(ff.groupBy("repo_id").agg(F.sum("feature_count").alias("feature_count")))
+
+
+# ---------------------------------------------------------------------------
+# 2.4 duplicates
+# ---------------------------------------------------------------------------
+
+@query("exact_duplicates")
+def exact_duplicates(spark, sf):
+    return longs(k1(spark, sf).exact_members)
+
+
+@query("exact_duplicates_docs")
+def exact_duplicates_docs(spark, sf):
+    return longs(analyze(K.k2_single_repo(spark, sf), materialize="checkpoint").exact_members)
+
+
+@query("near_duplicates")
+def near_duplicates(spark, sf):
+    return longs(k1(spark, sf).near_duplicates)
+
+
+@query("all_duplicates")
+def all_duplicates(spark, sf):
+    return longs(k1(spark, sf).duplicates)
+
+
+@query("duplicate_summary")
+def duplicate_summary(spark, sf):
+    return longs(k1(spark, sf).duplicate_counts)
+
+
+# ---------------------------------------------------------------------------
+# 2.5 smells
+# ---------------------------------------------------------------------------
+
+@query("smell_inputs")
+def smell_inputs(spark, sf):
+    return longs(k1(spark, sf).smell_inputs)
+
+
+@query("smell_scores")
+def smell_scores(spark, sf):
+    return longs(k1(spark, sf).smells)
+
+
+@query("smell_scores_html")
+def smell_scores_html(spark, sf):
+    return longs(k3(spark, sf).smells)
+
+
+# ---------------------------------------------------------------------------
+# 2.6 metrics and health
+# ---------------------------------------------------------------------------
+
+@query("language_stats")
+def language_stats(spark, sf):
+    return longs(k1(spark, sf).language_stats)
+
+
+@query("repo_metrics")
+def repo_metrics(spark, sf):
+    return longs(k1(spark, sf).repo_metrics)
+
+
+@query("repo_metrics_docs")
+def repo_metrics_docs(spark, sf):
+    return longs(k2(spark, sf).repo_metrics)
+
+
+PENALTIES = ["penalty_tests", "penalty_smells", "penalty_duplicates", "penalty_long_functions",
+             "penalty_error_handling", "penalty_todos", "penalty_class_density"]
+
+
+@query("health_score")
+def health_score(spark, sf):
+    m = k1(spark, sf).repo_metrics
+    return longs(m.select("repo_id", *PENALTIES, "health_score", "risk_level"))
+
+
+@query("defect_estimate")
+def defect_estimate(spark, sf):
+    m = k1(spark, sf).repo_metrics
+    return longs(m.select("repo_id", "source_loc", "defect_density", "estimated_defects"))
+
+
+@query("feature_interactions")
+def feature_interactions(spark, sf):
+    m = k1(spark, sf).repo_metrics
+    return longs(m.select("repo_id", "feature_count", "feature_interactions"))
+
+
+@query("sensitive_unhandled")
+def sensitive_unhandled(spark, sf):
+    a = k1(spark, sf)
+    unhandled = a.file_facts.where(~F.col("has_error_handling")).select("repo_id", "path")
+    f = a.functions.where("is_sensitive").join(unhandled, ["repo_id", "path"], "left_semi")
+    return longs(f.select("repo_id", "path", "name", "start_line", "end_line"))
+
+
+@query("functions_by_file")
+def functions_by_file(spark, sf):
+    fa = k1(spark, sf).analysis
+    return longs(fa.where(F.size("functions") > 0).select(
+        "repo_id", "path", F.size("functions").alias("function_count"),
+        F.array_join(F.transform("functions", lambda f: f["name"]), ",").alias("names")))
+
+
+SUMMARY = ["repo_id", "total_files", "source_files", "test_files", "source_loc", "test_loc",
+           "test_to_code_ratio", "total_functions", "total_classes", "feature_count",
+           "feature_interactions", "estimated_defects", "health_score", "risk_level",
+           "duplicate_groups", "todos_count", "long_functions"]
+
+
+@query("repo_summary")
+def repo_summary(spark, sf):
+    return longs(k1(spark, sf).repo_metrics.select(*SUMMARY))

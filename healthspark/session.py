@@ -57,14 +57,20 @@ def materialize(df: DataFrame, name: str, mode: str = "persist") -> DataFrame:
 
     * ``persist``: MEMORY_AND_DISK cache; lost blocks are recomputed from
       lineage if an executor dies.
-    * ``write``: write Parquet under the session's checkpoint folder (shared
-      storage on a cluster) and read it back, which also cuts the lineage.
+    * ``checkpoint``: reliable ``DataFrame.checkpoint`` into the session's
+      checkpoint folder (shared storage on a cluster): cuts lineage and gives
+      downstream plans a small leaf instead of the whole analysis plan.
+    * ``write``: write Parquet under the session's checkpoint folder and read it
+      back (same effect, columnar and readable by other jobs).
     * ``none``: return ``df`` unchanged.
     """
     if mode == "none":
         return df
     if mode == "persist":
         return df.persist(StorageLevel.MEMORY_AND_DISK)
+    if mode == "checkpoint":
+        ensure_checkpoint_dir(df.sparkSession)
+        return df.checkpoint(eager=True)
     if mode == "write":
         spark = df.sparkSession
         base = checkpoint_dir(spark).rstrip("/")

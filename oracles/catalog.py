@@ -51,3 +51,53 @@ oracle("file_facts", chain("k1", line_ctes()) + "SELECT * FROM file_facts")
 oracle("file_facts_docs", chain("k2", line_ctes()) + "SELECT * FROM file_facts")
 oracle("feature_counts", chain("k1", line_ctes()) +
        "SELECT repo_id, CAST(sum(feature_count) AS BIGINT) AS feature_count FROM file_facts GROUP BY repo_id")
+
+# 2.4 duplicates -------------------------------------------------------------------
+from .sql import dup_ctes, metric_ctes, smell_ctes  # noqa: E402
+
+K1_ALL = chain("k1", line_ctes(), smell_ctes(), dup_ctes(), metric_ctes())
+oracle("exact_duplicates", chain("k1", line_ctes(), dup_ctes()) +
+       "SELECT repo_id, md5, first_path, n_files, path FROM exact_members")
+oracle("exact_duplicates_docs", chain("k2one", line_ctes(), dup_ctes()) +
+       "SELECT repo_id, md5, first_path, n_files, path FROM exact_members")
+oracle("near_duplicates", chain("k1", line_ctes(), dup_ctes()) +
+       "SELECT repo_id, language, path1, path2, line_sim, func_sim, class_sim, similarity FROM near")
+oracle("all_duplicates", chain("k1", line_ctes(), dup_ctes()) +
+       "SELECT repo_id, is_exact, similarity, file_1, file_2, CAST(n_files AS BIGINT) AS n_files, group_key, "
+       "CAST(kind_order AS BIGINT) AS kind_order, CAST(sim_order AS DOUBLE) AS sim_order, lang_order FROM all_dups")
+oracle("duplicate_summary", chain("k1", line_ctes(), dup_ctes()) + "SELECT * FROM dup_counts")
+
+# 2.5 smells ------------------------------------------------------------------------
+oracle("smell_inputs", chain("k1", line_ctes(), smell_ctes()) + "SELECT * FROM smell_inputs")
+oracle("smell_scores", chain("k1", line_ctes(), smell_ctes()) +
+       "SELECT repo_id, smell, CAST(ordinal AS BIGINT) AS ordinal, score FROM smells_long")
+oracle("smell_scores_html", chain("k3", line_ctes(), smell_ctes()) +
+       "SELECT repo_id, smell, CAST(ordinal AS BIGINT) AS ordinal, score FROM smells_long")
+
+# 2.6 metrics -------------------------------------------------------------------------
+PENALTIES = ("penalty_tests, penalty_smells, penalty_duplicates, penalty_long_functions, "
+             "penalty_error_handling, penalty_todos, penalty_class_density")
+oracle("language_stats", chain("k1", line_ctes()) + """
+SELECT s.repo_id, s.language, count(*) AS files, count_if(s.is_test) AS test_files,
+       CAST(coalesce(max(l.lines), 0) AS BIGINT) AS lines
+FROM scanned s LEFT JOIN (SELECT repo_id, language, sum(code_lines) AS lines FROM file_facts
+                          GROUP BY repo_id, language) l
+  ON l.repo_id = s.repo_id AND l.language = s.language
+GROUP BY s.repo_id, s.language""")
+oracle("repo_metrics", K1_ALL + "SELECT * FROM repo_metrics")
+oracle("repo_metrics_docs", chain("k2", line_ctes(), smell_ctes(), dup_ctes(), metric_ctes())
+       + "SELECT * FROM repo_metrics")
+oracle("health_score", K1_ALL + f"SELECT repo_id, {PENALTIES}, health_score, risk_level FROM repo_metrics")
+oracle("defect_estimate", K1_ALL + "SELECT repo_id, source_loc, defect_density, estimated_defects FROM repo_metrics")
+oracle("feature_interactions", K1_ALL + "SELECT repo_id, feature_count, feature_interactions FROM repo_metrics")
+oracle("sensitive_unhandled", chain("k1", line_ctes()) + """
+SELECT fn.repo_id, fn.path, fn.name, fn.start_line, fn.end_line FROM functions fn
+JOIN file_facts ff ON ff.repo_id = fn.repo_id AND ff.path = fn.path
+WHERE fn.is_sensitive AND NOT ff.has_error_handling""")
+oracle("functions_by_file", chain("k1", line_ctes()) +
+       "SELECT repo_id, path, count(*) AS function_count, string_agg(name, ',' ORDER BY start_line) AS names "
+       "FROM functions GROUP BY repo_id, path")
+oracle("repo_summary", K1_ALL + """
+SELECT repo_id, total_files, source_files, test_files, source_loc, test_loc, test_to_code_ratio,
+  total_functions, total_classes, feature_count, feature_interactions, estimated_defects, health_score,
+  risk_level, duplicate_groups, todos_count, long_functions FROM repo_metrics""")

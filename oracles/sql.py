@@ -229,3 +229,223 @@ def chain(kind: str, *parts: str, extra_ignores=()) -> str:
     ctes = [corpus_cte(kind), scan_ctes(extra_ignores)]
     ctes += [p for p in parts]
     return "WITH " + ",\n".join(c.strip() for c in ctes) + "\n"
+
+
+def _dbl(x: float) -> str:
+    return f"CAST({x!r} AS DOUBLE)"
+
+
+def clamp(expr: str) -> str:
+    return f"greatest(CAST(0.0 AS DOUBLE), least(CAST(1.0 AS DOUBLE), {expr}))"
+
+
+def smell_ctes() -> str:
+    exempt = qlist(dims.DEAD_CODE_EXEMPT_NAMES)[1:-1]
+    return f"""
+fn_style AS (
+  SELECT repo_id, CASE
+    WHEN contains(name, '_') AND lower(name) = name AND upper(name) <> name THEN 'snake'
+    WHEN upper(left(name, 1)) = left(name, 1) AND lower(left(name, 1)) <> left(name, 1)
+         AND NOT contains(name, '_') THEN 'pascal'
+    WHEN lower(left(name, 1)) = left(name, 1) AND upper(left(name, 1)) <> left(name, 1)
+         AND lower(name) <> name THEN 'camel' END AS style
+  FROM functions
+),
+all_names AS (SELECT repo_id, name FROM functions UNION ALL SELECT repo_id, name FROM classes),
+ff_sum AS (
+  SELECT repo_id, sum(code_lines) AS total_code, sum(comment_lines) AS total_comments,
+    sum(import_count) AS total_imports, sum(function_count) AS total_functions,
+    sum(class_count) AS total_classes,
+    sum(CASE WHEN NOT is_test THEN function_count ELSE 0 END) AS nontest_functions,
+    sum(CASE WHEN NOT is_test AND has_error_handling THEN function_count ELSE 0 END) AS handled_functions
+  FROM file_facts GROUP BY repo_id
+),
+name_sum AS (SELECT repo_id, count(*) AS total_names,
+  count_if(length(name) > {dims.VERBOSE_NAME_LENGTH}) AS verbose_names FROM all_names GROUP BY repo_id),
+style_sum AS (SELECT repo_id, count_if(style = 'snake') AS snake_names, count_if(style = 'camel') AS camel_names,
+  count_if(style = 'pascal') AS pascal_names FROM fn_style GROUP BY repo_id),
+name_counts AS (SELECT repo_id, name, count(*) AS n FROM functions GROUP BY repo_id, name),
+dup_sum AS (SELECT repo_id, sum(n) AS duplicate_definitions, count(*) AS duplicate_names
+  FROM name_counts WHERE n > 1 AND name NOT IN ({exempt}) GROUP BY repo_id),
+lit_counts AS (SELECT repo_id, literal, count(*) AS n FROM literals GROUP BY repo_id, literal),
+lit_sum AS (SELECT repo_id, sum(n) AS total_literals,
+  sum(CASE WHEN n >= {dims.COPY_PASTE_MIN_OCCURRENCES} AND length(literal) > 20 THEN n ELSE 0 END) AS repeated_literals,
+  count_if(n >= {dims.COPY_PASTE_MIN_OCCURRENCES} AND length(literal) > 20) AS repeated_patterns
+  FROM lit_counts GROUP BY repo_id),
+smell_inputs AS (
+  SELECT f.repo_id,
+    CAST(f.total_code AS BIGINT) AS total_code, CAST(f.total_comments AS BIGINT) AS total_comments,
+    CAST(f.total_imports AS BIGINT) AS total_imports, CAST(f.total_functions AS BIGINT) AS total_functions,
+    CAST(f.total_classes AS BIGINT) AS total_classes,
+    CAST(coalesce(n.total_names, 0) AS BIGINT) AS total_names,
+    CAST(coalesce(n.verbose_names, 0) AS BIGINT) AS verbose_names,
+    CAST(coalesce(s.snake_names, 0) AS BIGINT) AS snake_names,
+    CAST(coalesce(s.camel_names, 0) AS BIGINT) AS camel_names,
+    CAST(coalesce(s.pascal_names, 0) AS BIGINT) AS pascal_names,
+    CAST(f.nontest_functions AS BIGINT) AS nontest_functions,
+    CAST(f.handled_functions AS BIGINT) AS handled_functions,
+    CAST(coalesce(d.duplicate_definitions, 0) AS BIGINT) AS duplicate_definitions,
+    CAST(coalesce(d.duplicate_names, 0) AS BIGINT) AS duplicate_names,
+    CAST(coalesce(l.total_literals, 0) AS BIGINT) AS total_literals,
+    CAST(coalesce(l.repeated_literals, 0) AS BIGINT) AS repeated_literals,
+    CAST(coalesce(l.repeated_patterns, 0) AS BIGINT) AS repeated_patterns
+  FROM ff_sum f LEFT JOIN name_sum n USING (repo_id) LEFT JOIN style_sum s USING (repo_id)
+  LEFT JOIN dup_sum d USING (repo_id) LEFT JOIN lit_sum l USING (repo_id)
+),
+smells_wide AS (
+  SELECT *,
+    CASE WHEN total_code = 0 THEN 0.0 ELSE {clamp(f"total_comments / total_code / {_dbl(dims.EXCESSIVE_COMMENT_RATIO)}")} END AS excessive_comments,
+    CASE WHEN total_names = 0 THEN 0.0 ELSE {clamp(f"verbose_names / total_names * {_dbl(2.0)}")} END AS verbose_naming,
+    CASE WHEN total_functions = 0 THEN 0.0 ELSE {clamp(f"total_imports / total_functions / {_dbl(dims.BOILERPLATE_IMPORT_RATIO)}")} END AS boilerplate_heavy,
+    CASE WHEN snake_names + camel_names + pascal_names < {dims.INCONSISTENT_MIN_NAMES} THEN 0.0
+         ELSE {clamp(f"{_dbl(1.0)} - greatest(snake_names, camel_names, pascal_names) / (snake_names + camel_names + pascal_names)")} END AS inconsistent_patterns,
+    CASE WHEN total_functions = 0 THEN 0.0 ELSE {clamp(f"duplicate_definitions / total_functions * {_dbl(5.0)}")} END AS dead_code_indicators,
+    CASE WHEN total_code < {dims.OVER_ENGINEERING_MIN_LOC} THEN 0.0
+         ELSE {clamp(f"(total_classes / total_code * {_dbl(1000.0)} - {_dbl(10.0)}) / {_dbl(20.0)}")} END AS over_engineering,
+    CASE WHEN nontest_functions = 0 THEN 0.0 ELSE {clamp(f"{_dbl(1.0)} - handled_functions / nontest_functions")} END AS missing_error_handling,
+    CASE WHEN total_literals < {dims.COPY_PASTE_MIN_TOTAL} THEN 0.0 ELSE {clamp(f"repeated_literals / total_literals * {_dbl(2.0)}")} END AS copy_paste_artifacts
+  FROM smell_inputs
+),
+smells_long AS (
+  SELECT repo_id, smell, ordinal, score FROM (
+    {" UNION ALL ".join(f"SELECT repo_id, {q(s)} AS smell, {i + 1} AS ordinal, CAST({s} AS DOUBLE) AS score FROM smells_wide" for i, s in enumerate(dims.SMELL_ORDER))}
+  )
+)"""
+
+
+def dup_ctes(threshold: float = dims.NEAR_DUP_DEFAULT_THRESHOLD) -> str:
+    wl, wf, wc = dims.SIMILARITY_WEIGHTS
+    return f"""
+exact_groups AS (
+  SELECT repo_id, md5, count(*) AS n_files, min(path) AS first_path, max(path) AS last_path
+  FROM file_facts GROUP BY repo_id, md5 HAVING count(*) > 1
+),
+exact_members AS (
+  SELECT f.repo_id, f.md5, g.first_path, g.n_files, f.path
+  FROM file_facts f JOIN exact_groups g ON g.repo_id = f.repo_id AND g.md5 = f.md5
+),
+eligible AS (SELECT repo_id, path, language, code_lines FROM file_facts WHERE code_lines >= {dims.NEAR_DUP_MIN_CODE_LINES}),
+fset AS (SELECT DISTINCT repo_id, path, name FROM functions),
+cset AS (SELECT DISTINCT repo_id, path, name FROM classes),
+fk AS (SELECT repo_id, path, count(*) AS k FROM fset GROUP BY repo_id, path),
+ck AS (SELECT repo_id, path, count(*) AS k FROM cset GROUP BY repo_id, path),
+all_pairs AS (
+  SELECT a.repo_id, a.language, a.path AS path1, b.path AS path2, a.code_lines AS l1, b.code_lines AS l2
+  FROM eligible a JOIN eligible b ON a.repo_id = b.repo_id AND a.language = b.language AND a.path < b.path
+),
+f_shared AS (
+  SELECT p.repo_id, p.path1, p.path2, count(*) AS s FROM all_pairs p
+  JOIN fset x ON x.repo_id = p.repo_id AND x.path = p.path1
+  JOIN fset y ON y.repo_id = p.repo_id AND y.path = p.path2 AND y.name = x.name
+  GROUP BY p.repo_id, p.path1, p.path2
+),
+c_shared AS (
+  SELECT p.repo_id, p.path1, p.path2, count(*) AS s FROM all_pairs p
+  JOIN cset x ON x.repo_id = p.repo_id AND x.path = p.path1
+  JOIN cset y ON y.repo_id = p.repo_id AND y.path = p.path2 AND y.name = x.name
+  GROUP BY p.repo_id, p.path1, p.path2
+),
+pair_sims AS (
+  SELECT p.repo_id, p.language, p.path1, p.path2,
+    CASE WHEN l1 = 0 AND l2 = 0 THEN 1.0 WHEN l1 = 0 OR l2 = 0 THEN 0.0 ELSE least(l1, l2) / greatest(l1, l2) END AS line_sim,
+    CASE WHEN coalesce(fa.k, 0) = 0 OR coalesce(fb.k, 0) = 0 THEN 0.0
+         ELSE coalesce(fs.s, 0) / (fa.k + fb.k - coalesce(fs.s, 0)) END AS func_sim,
+    CASE WHEN coalesce(ca.k, 0) = 0 OR coalesce(cb.k, 0) = 0 THEN 0.0
+         ELSE coalesce(cs.s, 0) / (ca.k + cb.k - coalesce(cs.s, 0)) END AS class_sim
+  FROM all_pairs p
+  LEFT JOIN fk fa ON fa.repo_id = p.repo_id AND fa.path = p.path1
+  LEFT JOIN fk fb ON fb.repo_id = p.repo_id AND fb.path = p.path2
+  LEFT JOIN ck ca ON ca.repo_id = p.repo_id AND ca.path = p.path1
+  LEFT JOIN ck cb ON cb.repo_id = p.repo_id AND cb.path = p.path2
+  LEFT JOIN f_shared fs ON fs.repo_id = p.repo_id AND fs.path1 = p.path1 AND fs.path2 = p.path2
+  LEFT JOIN c_shared cs ON cs.repo_id = p.repo_id AND cs.path1 = p.path1 AND cs.path2 = p.path2
+),
+near AS (
+  SELECT *, line_sim * {_dbl(wl)} + func_sim * {_dbl(wf)} + class_sim * {_dbl(wc)} AS similarity
+  FROM pair_sims
+  WHERE line_sim * {_dbl(wl)} + func_sim * {_dbl(wf)} + class_sim * {_dbl(wc)} >= {_dbl(threshold)}
+),
+near_kept AS (
+  SELECT n.* FROM near n WHERE NOT EXISTS (
+    SELECT 1 FROM exact_groups g WHERE g.n_files = 2 AND g.repo_id = n.repo_id
+      AND g.first_path = n.path1 AND g.last_path = n.path2)
+),
+lang_first AS (SELECT repo_id, language, min(path) AS lang_order FROM eligible GROUP BY repo_id, language),
+all_dups AS (
+  SELECT repo_id, true AS is_exact, 1.0 AS similarity, first_path AS file_1,
+         CASE WHEN n_files = 2 THEN last_path END AS file_2, n_files, md5 AS group_key,
+         0 AS kind_order, -1.0 AS sim_order, '' AS lang_order
+  FROM exact_groups
+  UNION ALL
+  SELECT n.repo_id, false, n.similarity, n.path1, n.path2, 2, n.path1 || '|' || n.path2,
+         1, -n.similarity, l.lang_order
+  FROM near_kept n JOIN lang_first l ON l.repo_id = n.repo_id AND l.language = n.language
+),
+dup_counts AS (
+  SELECT repo_id, count(*) AS duplicate_groups, count_if(is_exact) AS exact_groups,
+         count_if(NOT is_exact) AS near_pairs FROM all_dups GROUP BY repo_id
+)"""
+
+
+def metric_ctes() -> str:
+    smells = list(dims.SMELL_ORDER)
+    high = " + ".join(f"CASE WHEN {s} >= {dims.HIGH_SMELL_SCORE} THEN 1 ELSE 0 END" for s in smells)
+    fix = " + ".join(f"CASE WHEN {s} > {dims.FIX_SMELL_SCORE} THEN 1 ELSE 0 END" for s in smells)
+    tiers = " ".join(f"WHEN test_to_code_ratio >= {f} THEN {p}" for f, p in dims.TEST_RATIO_TIERS)
+    risk = " ".join(f"WHEN health_score >= {f} THEN {q(n)}" for f, n in dims.RISK_LEVELS)
+    density = dims.DEFECT_DENSITY_BASE * dims.AI_DEFECT_MULTIPLIER
+    return f"""
+repos AS (SELECT DISTINCT repo_id FROM corpus),
+fcounts AS (SELECT repo_id, count(*) AS total_files, count_if(NOT is_test) AS source_files,
+  count_if(is_test) AS test_files FROM scanned GROUP BY repo_id),
+fn_issue AS (
+  SELECT fn.repo_id, count_if(fn.is_long) AS long_functions,
+         count_if(fn.is_sensitive AND NOT ff.has_error_handling) AS sensitive_unhandled
+  FROM functions fn JOIN file_facts ff ON ff.repo_id = fn.repo_id AND ff.path = fn.path
+  GROUP BY fn.repo_id
+),
+atotals AS (
+  SELECT repo_id, sum(total_lines) AS total_lines, sum(code_lines) AS code_lines,
+    sum(comment_lines) AS comment_lines, sum(blank_lines) AS blank_lines,
+    sum(CASE WHEN NOT is_test THEN code_lines ELSE 0 END) AS source_loc,
+    sum(CASE WHEN is_test THEN code_lines ELSE 0 END) AS test_loc,
+    sum(function_count) AS total_functions, sum(class_count) AS total_classes,
+    sum(import_count) AS total_imports, sum(todo_count) AS todos_count,
+    sum(feature_count) AS feature_count
+  FROM file_facts GROUP BY repo_id
+),
+smell_flags AS (SELECT repo_id, {", ".join(smells)}, {high} AS high_smells, {fix} AS fix_smells FROM smells_wide),
+m0 AS (
+  SELECT r.repo_id,
+    {", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in ["total_files", "source_files", "test_files", "total_lines", "code_lines", "comment_lines", "blank_lines", "source_loc", "test_loc", "total_functions", "total_classes", "total_imports", "todos_count", "long_functions", "sensitive_unhandled", "feature_count", "duplicate_groups", "high_smells", "fix_smells"])},
+    {", ".join(f"coalesce({s}, 0.0) AS {s}" for s in smells)}
+  FROM repos r LEFT JOIN fcounts USING (repo_id) LEFT JOIN atotals USING (repo_id)
+  LEFT JOIN fn_issue USING (repo_id) LEFT JOIN smell_flags USING (repo_id)
+  LEFT JOIN dup_counts USING (repo_id)
+),
+m1 AS (
+  SELECT *,
+    CASE WHEN source_loc > 0 THEN test_loc / source_loc ELSE 0.0 END AS test_to_code_ratio,
+    {_dbl(density)} AS defect_density,
+    CAST(floor(source_loc / {_dbl(1000.0)} * {_dbl(density)}) AS BIGINT) AS estimated_defects,
+    CAST(CASE WHEN feature_count <= 0 THEN 0
+         ELSE pow(2, least(feature_count, {dims.FEATURE_EXPONENT_CAP})) - 1 - least(feature_count, {dims.FEATURE_EXPONENT_CAP}) END AS BIGINT) AS feature_interactions
+  FROM m0
+),
+m2 AS (
+  SELECT *,
+    CAST(CASE {tiers} ELSE {dims.TEST_RATIO_FLOOR_PENALTY} END AS BIGINT) AS penalty_tests,
+    CAST(least(20, high_smells * 4) AS BIGINT) AS penalty_smells,
+    CAST(least(10, duplicate_groups * 2) AS BIGINT) AS penalty_duplicates,
+    CAST(least(10, long_functions) AS BIGINT) AS penalty_long_functions,
+    CAST(least(10, sensitive_unhandled * 2) AS BIGINT) AS penalty_error_handling,
+    CAST(CASE WHEN todos_count > 20 THEN 5 WHEN todos_count > 10 THEN 3 WHEN todos_count > 5 THEN 1 ELSE 0 END AS BIGINT) AS penalty_todos,
+    CAST(CASE WHEN source_loc > 0 AND total_classes / source_loc * {_dbl(1000.0)} > {dims.CLASS_DENSITY_LIMIT} THEN 5 ELSE 0 END AS BIGINT) AS penalty_class_density
+  FROM m1
+),
+m3 AS (
+  SELECT *, CAST(greatest(0, least(100, 100 - (penalty_tests + penalty_smells + penalty_duplicates
+      + penalty_long_functions + penalty_error_handling + penalty_todos + penalty_class_density))) AS BIGINT) AS health_score
+  FROM m2
+),
+repo_metrics AS (SELECT *, CASE {risk} ELSE {q(dims.RISK_FLOOR)} END AS risk_level FROM m3)"""
