@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dims
 from ..operators import duplicates as D
+from ..operators import fixes as G
 from ..operators import lines as L
 from ..operators import metrics as M
 from ..operators import smells as E
@@ -144,6 +145,13 @@ class Analysis:
         return M.repo_metrics(self.repos, self.scanned, self.analysis, self.smells_wide,
                               self.duplicate_counts)
 
+    # --- fix plan ---------------------------------------------------------------
+    @cached_property
+    def fixes(self) -> DataFrame:
+        rules = G.fix_rules(self.repo_metrics, self.analysis, self.functions, self.todos,
+                            self.duplicates, self.exact_members, self.smells)
+        return G.number_fixes(rules)
+
 
 def analyze(corpus: DataFrame, extra_ignores: Sequence[str] = (), materialize: str = "none",
             near_threshold: float = dims.NEAR_DUP_DEFAULT_THRESHOLD,

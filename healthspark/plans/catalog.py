@@ -280,3 +280,107 @@ SUMMARY = ["repo_id", "total_files", "source_files", "test_files", "source_loc",
 @query("repo_summary")
 def repo_summary(spark, sf):
     return longs(k1(spark, sf).repo_metrics.select(*SUMMARY))
+
+
+# ---------------------------------------------------------------------------
+# 2.7 fix plan, 2.8 renderings, 2.9 report tables
+# ---------------------------------------------------------------------------
+
+from . import reports as R  # noqa: E402
+from ..operators import fixes as G  # noqa: E402
+
+
+def _fix_rows(fixes: DataFrame) -> DataFrame:
+    return longs(fixes.select("repo_id", "fix_no", "rule", "priority", "title", "description", "prompt",
+                              F.array_join("affected_files", "\n").alias("affected"), "verification"))
+
+
+@query("fix_plan")
+def fix_plan(spark, sf):
+    return _fix_rows(k1(spark, sf).fixes)
+
+
+@query("fix_plan_docs")
+def fix_plan_docs(spark, sf):
+    return _fix_rows(k2(spark, sf).fixes)
+
+
+@query("fix_priority_counts")
+def fix_priority_counts(spark, sf):
+    return longs(G.priority_counts(k1(spark, sf).fixes))
+
+
+@query("render_markdown")
+def render_markdown(spark, sf):
+    a = k1(spark, sf)
+    return R.render_markdown(a.fixes, a.repo_metrics)
+
+
+@query("render_rules")
+def render_rules(spark, sf):
+    a = k1(spark, sf)
+    return R.render_rules(a.fixes, a.repo_metrics)
+
+
+@query("render_notes")
+def render_notes(spark, sf):
+    a = k1(spark, sf)
+    return R.render_notes(a.fixes, a.repo_metrics)
+
+
+@query("report_summary")
+def report_summary(spark, sf):
+    return longs(R.report_summary(k1(spark, sf).repo_metrics))
+
+
+@query("report_files")
+def report_files(spark, sf):
+    return longs(R.report_files(k1(spark, sf).analysis))
+
+
+@query("report_issues")
+def report_issues(spark, sf):
+    a = k1(spark, sf)
+    return longs(R.report_issues(a.functions, a.todos))
+
+
+@query("complex_files")
+def complex_files(spark, sf):
+    return R.complex_files(k1(spark, sf).analysis)
+
+
+@query("language_share")
+def language_share(spark, sf):
+    return longs(R.language_share(k1(spark, sf).language_stats))
+
+
+@query("smell_ranking")
+def smell_ranking(spark, sf):
+    return longs(R.smell_ranking(k1(spark, sf).smells))
+
+
+@query("coverage_label")
+def coverage_label(spark, sf):
+    return R.coverage_label(k1(spark, sf).repo_metrics)
+
+
+@query("metric_cards")
+def metric_cards(spark, sf):
+    return longs(R.metric_cards(k1(spark, sf).repo_metrics))
+
+
+@query("top_duplicates")
+def top_duplicates(spark, sf):
+    return longs(R.top_duplicates(k1(spark, sf).duplicates))
+
+
+@query("top_fixes")
+def top_fixes(spark, sf):
+    a = k1(spark, sf)
+    return longs(R.top_fixes(a.fixes, a.repo_metrics))
+
+
+@query("report_json")
+def report_json(spark, sf):
+    a = k1(spark, sf)
+    return R.report_json(a.repo_metrics, a.language_stats, a.smells)

@@ -101,3 +101,109 @@ oracle("repo_summary", K1_ALL + """
 SELECT repo_id, total_files, source_files, test_files, source_loc, test_loc, test_to_code_ratio,
   total_functions, total_classes, feature_count, feature_interactions, estimated_defects, health_score,
   risk_level, duplicate_groups, todos_count, long_functions FROM repo_metrics""")
+
+# 2.7 fix plan ------------------------------------------------------------------------
+from .sql import fix_ctes  # noqa: E402
+
+K1_FIX = chain("k1", line_ctes(), smell_ctes(), dup_ctes(), metric_ctes(), fix_ctes())
+oracle("fix_plan", K1_FIX + "SELECT * FROM fix_plan")
+oracle("fix_plan_docs", chain("k2", line_ctes(), smell_ctes(), dup_ctes(), metric_ctes(), fix_ctes())
+       + "SELECT * FROM fix_plan")
+oracle("fix_priority_counts", K1_FIX + "SELECT repo_id, priority, count(*) AS fixes FROM fix_plan GROUP BY ALL")
+
+# 2.8 renderings, 2.9 report tables ---------------------------------------------------------
+from .sql import NL, NL2, pct1, v  # noqa: E402,F401
+
+K1_MET = chain("k1", line_ctes(), smell_ctes(), dup_ctes(), metric_ctes())
+oracle("report_summary", K1_MET + """
+SELECT repo_id, health_score, risk_level, total_files, source_files, test_files, source_loc + test_loc AS total_loc,
+       source_loc, test_loc, test_to_code_ratio, estimated_defects FROM repo_metrics""")
+oracle("report_files", chain("k1", line_ctes()) + """
+SELECT f.repo_id, f.path, f.language, f.total_lines AS lines, f.code_lines, f.comment_lines, f.complexity,
+       f.function_count AS functions, f.class_count AS classes, f.todo_count AS todos,
+       CAST(coalesce(s.sens, 0) AS BIGINT) AS sensitive_functions, CAST(coalesce(s.lng, 0) AS BIGINT) AS long_functions
+FROM file_facts f LEFT JOIN (SELECT repo_id, path, count_if(is_sensitive) AS sens, count_if(is_long) AS lng
+                             FROM functions GROUP BY repo_id, path) s
+  ON s.repo_id = f.repo_id AND s.path = f.path""")
+oracle("report_issues", chain("k1", line_ctes()) + """
+SELECT repo_id, 'todo' AS kind, path, line_no AS line, CAST(NULL AS VARCHAR) AS name, content AS value FROM todos
+UNION ALL SELECT repo_id, 'sensitive_function', path, start_line, name, CAST(NULL AS VARCHAR) FROM functions WHERE is_sensitive
+UNION ALL SELECT repo_id, 'long_function', path, start_line, name, CAST(line_count AS VARCHAR) FROM functions WHERE is_long""")
+oracle("complex_files", chain("k1", line_ctes()) +
+       "SELECT repo_id, path, complexity FROM file_facts WHERE complexity > 10")
+oracle("language_share", chain("k1", line_ctes()) + """,
+ls AS (
+  SELECT s.repo_id, s.language, coalesce(max(l.lines), 0) AS lines
+  FROM scanned s LEFT JOIN (SELECT repo_id, language, sum(code_lines) AS lines FROM file_facts GROUP BY ALL) l
+    ON l.repo_id = s.repo_id AND l.language = s.language GROUP BY s.repo_id, s.language
+),
+lt AS (SELECT *, sum(lines) OVER (PARTITION BY repo_id) AS total,
+              row_number() OVER (PARTITION BY repo_id ORDER BY lines DESC, language) AS rank FROM ls)
+SELECT repo_id, CAST(rank AS BIGINT) AS rank, language, CAST(lines AS BIGINT) AS lines,
+       lines / total * CAST(100.0 AS DOUBLE) AS percent
+FROM lt WHERE total > 0 AND rank <= 10""".replace("WITH ", "WITH ", 1))
+oracle("smell_ranking", chain("k1", line_ctes(), smell_ctes()) + """
+SELECT repo_id, CAST(row_number() OVER (PARTITION BY repo_id ORDER BY score DESC, ordinal) AS BIGINT) AS rank,
+       smell, score, CASE WHEN score < 0.3 THEN 'ok' WHEN score < 0.6 THEN 'warn' ELSE 'danger' END AS severity
+FROM smells_long""")
+oracle("coverage_label", K1_MET + """
+SELECT repo_id, test_to_code_ratio * CAST(100.0 AS DOUBLE) AS test_ratio_percent,
+       CASE WHEN test_to_code_ratio * CAST(100.0 AS DOUBLE) >= 80 THEN 'good'
+            WHEN test_to_code_ratio * CAST(100.0 AS DOUBLE) >= 50 THEN 'low' ELSE 'critical' END AS coverage_label
+FROM repo_metrics""")
+oracle("metric_cards", K1_MET + """
+SELECT repo_id, source_loc, source_files, test_to_code_ratio, test_loc, test_files, estimated_defects,
+       defect_density, feature_count, feature_interactions, total_functions, total_classes, todos_count
+FROM repo_metrics""")
+oracle("top_duplicates", chain("k1", line_ctes(), dup_ctes()) + """
+SELECT * FROM (
+  SELECT repo_id, CAST(row_number() OVER (PARTITION BY repo_id ORDER BY kind_order, sim_order, lang_order,
+         file_1, file_2) AS BIGINT) AS group_rank, is_exact, similarity, file_1, file_2,
+         CAST(n_files AS BIGINT) AS n_files FROM all_dups) WHERE group_rank <= 10""")
+oracle("top_fixes", K1_FIX + """
+SELECT f.repo_id, f.fix_no, f.priority, f.title, m.fix_smells AS smells_over_half
+FROM fix_plan f JOIN repo_metrics m ON m.repo_id = f.repo_id WHERE f.fix_no <= 3""")
+oracle("render_notes", K1_FIX + f"""
+, notes AS (
+  SELECT repo_id, string_agg('- **' || title || '**: ' || split_part(description, '.', 1) || '.', {NL} ORDER BY fix_no) AS body
+  FROM fix_plan WHERE fix_no <= 5 GROUP BY repo_id
+)
+SELECT m.repo_id, '## Code health notes' || {NL2} || 'Health score: ' || {v('m.health_score')} || '/100 ('
+       || m.risk_level || ' risk). Key issues:' || {NL2} || coalesce(n.body, '- No critical issues detected') AS notes
+FROM repo_metrics m LEFT JOIN notes n ON n.repo_id = m.repo_id""")
+oracle("render_rules", K1_FIX + f"""
+, rl AS (
+  SELECT repo_id, string_agg(CASE WHEN priority = 'CRITICAL' THEN '- ALWAYS ' || lower(title) || ' before new features'
+                                  WHEN priority = 'HIGH' THEN '- PREFER fixing ' || lower(title) || ' over new code'
+                                  ELSE '- CONSIDER: ' || title END, {NL} ORDER BY fix_no) AS body
+  FROM fix_plan WHERE fix_no <= 5 GROUP BY repo_id
+)
+SELECT m.repo_id, '# Rules (health ' || {v('m.health_score')} || '/100, ' || m.risk_level || ' risk)' || {NL2}
+  || '## Priority fixes' || {NL2} || coalesce(r.body, '') || {NL2} || '## General' || {NL2}
+  || CASE WHEN m.health_score < 60
+          THEN '- DO NOT add features until the issues above are fixed' || {NL} || '- ALWAYS write tests for new functions'
+               || {NL} || '- ALWAYS add error handling to new functions'
+          ELSE '- PREFER writing tests with new code' || {NL} || '- PREFER small, focused functions' END
+  || {NL} || '- NEVER create duplicate files' || {NL} || '- PREFER extending existing files' AS rules
+FROM repo_metrics m LEFT JOIN rl r ON r.repo_id = m.repo_id""")
+oracle("render_markdown", K1_FIX + f"""
+, fx AS (
+  SELECT *, CASE WHEN coalesce(affected, '') = '' THEN CAST([] AS VARCHAR[]) ELSE string_split(affected, {NL}) END AS aff
+  FROM fix_plan
+),
+blocks AS (
+  SELECT repo_id, string_agg(
+    '## ' || CASE priority WHEN 'CRITICAL' THEN '[!!]' WHEN 'HIGH' THEN '[!]' WHEN 'MEDIUM' THEN '[~]' ELSE '[.]' END
+    || ' ' || priority || ': ' || title || {NL2} || description || {NL2}
+    || CASE WHEN len(aff) > 0 THEN 'Affected files:' || {NL}
+            || array_to_string(list_transform(aff[1:5], lambda p: '- `' || p || '`'), {NL})
+            || CASE WHEN len(aff) > 5 THEN {NL} || '- ... and ' || {v('len(aff) - 5')} || ' more' ELSE '' END
+            || {NL2} ELSE '' END
+    || '### Prompt ' || {v('fix_no')} || ': ' || title || {NL} || '```' || {NL} || prompt || {NL} || '```' || {NL2}
+    || 'Verification: ' || verification || {NL2} || '---' || {NL}, {NL} ORDER BY fix_no) AS body
+  FROM fx GROUP BY repo_id
+)
+SELECT m.repo_id, '# Fix instructions' || {NL} || '> Repository: ' || m.repo_id || ' | Health score: '
+  || {v('m.health_score')} || '/100 (' || m.risk_level || ' risk)' || {NL2}
+  || coalesce(b.body, 'No fixes needed: the code base looks healthy.' || {NL}) AS markdown
+FROM repo_metrics m LEFT JOIN blocks b ON b.repo_id = m.repo_id""")

@@ -449,3 +449,185 @@ m3 AS (
   FROM m2
 ),
 repo_metrics AS (SELECT *, CASE {risk} ELSE {q(dims.RISK_FLOOR)} END AS risk_level FROM m3)"""
+
+
+def pct1(x: str) -> str:
+    t = f"CAST(floor(({x}) * CAST(1000.0 AS DOUBLE) + CAST(0.5 AS DOUBLE)) AS BIGINT)"
+    return f"(CAST(CAST(floor({t} / 10) AS BIGINT) AS VARCHAR) || '.' || CAST({t} % 10 AS VARCHAR))"
+
+
+def pct0(x: str) -> str:
+    return f"CAST(CAST(floor(({x}) * CAST(100.0 AS DOUBLE) + CAST(0.5 AS DOUBLE)) AS BIGINT) AS VARCHAR)"
+
+
+def v(x: str) -> str:
+    return f"CAST({x} AS VARCHAR)"
+
+
+NL = "chr(10)"
+NL2 = "chr(10) || chr(10)"
+
+
+def fix_ctes() -> str:
+    desc_map = "CASE smell " + " ".join(f"WHEN {q(k)} THEN {q(t)}" for k, t in dims.SMELL_DESCRIPTIONS.items()) + " END"
+    return f"""
+fx_m AS (SELECT repo_id, test_to_code_ratio, source_loc, test_loc, source_files, todos_count, duplicate_groups
+         FROM repo_metrics),
+fn_first3 AS (
+  SELECT repo_id, path, string_agg(name, ', ' ORDER BY start_line) AS first3 FROM (
+    SELECT *, row_number() OVER (PARTITION BY repo_id, path ORDER BY start_line) AS rn FROM functions)
+  WHERE rn <= 3 GROUP BY repo_id, path
+),
+g1_rank AS (
+  SELECT f.repo_id, f.path, f.function_count, t.first3,
+         row_number() OVER (PARTITION BY f.repo_id ORDER BY f.function_count DESC, f.path) AS rank
+  FROM file_facts f JOIN fn_first3 t ON t.repo_id = f.repo_id AND t.path = f.path
+  JOIN fx_m m ON m.repo_id = f.repo_id
+  WHERE NOT f.is_test AND f.function_count > 0 AND m.test_to_code_ratio < 0.1
+),
+g1 AS (
+  SELECT g.repo_id, 1 AS rule_order, 'tests_critical' AS rule, 'CRITICAL' AS priority,
+    'Add tests: test code is almost absent' AS title,
+    {v('any_value(m.source_loc)')} || ' source lines are covered by ' || {v('any_value(m.test_loc)')}
+      || ' test lines (' || {pct1('any_value(m.test_to_code_ratio)')} || '% ratio); aim for at least 80%.' AS description,
+    'Write test files for these modules, which have no tests yet:' || {NL2}
+      || string_agg('- ' || g.path || ' (' || {v('g.function_count')} || ' functions, no tests); start with: ' || g.first3, {NL} ORDER BY g.rank)
+      || {NL2} || 'For each function cover normal inputs, edge cases and error paths, at least three cases per function. Begin with '
+      || arg_min(g.path, g.rank) || '.' AS prompt,
+    string_agg(g.path, {NL} ORDER BY g.rank) AS affected,
+    'Run the test suite with coverage and compare the ratio.' AS verification
+  FROM g1_rank g JOIN fx_m m ON m.repo_id = g.repo_id WHERE g.rank <= 5 GROUP BY g.repo_id
+),
+g2_rank AS (
+  SELECT f.*, row_number() OVER (PARTITION BY f.repo_id ORDER BY f.line_count DESC, f.path, f.start_line) AS rank
+  FROM functions f JOIN fx_m m ON m.repo_id = f.repo_id
+  WHERE NOT f.is_test AND m.test_to_code_ratio >= 0.1 AND m.test_to_code_ratio < 0.5
+),
+g2 AS (
+  SELECT g.repo_id, 2 AS rule_order, 'tests_moderate' AS rule, 'HIGH' AS priority, 'Raise test coverage' AS title,
+    'Test ratio is ' || {pct1('any_value(m.test_to_code_ratio)')} || '% against a target of 80%: about '
+      || {v('CAST(floor(any_value(m.source_loc) * CAST(0.8 AS DOUBLE)) AS BIGINT) - any_value(m.test_loc)')} || ' more test lines are needed.' AS description,
+    'Test coverage is ' || {pct1('any_value(m.test_to_code_ratio)')} || '%; add roughly '
+      || {v('CAST(floor(any_value(m.source_loc) * CAST(0.8 AS DOUBLE)) AS BIGINT) - any_value(m.test_loc)')}
+      || ' lines of tests. Longest functions first:' || {NL2}
+      || string_agg('- ' || g.path || ': ' || g.name || '() spans ' || {v('g.line_count')} || ' lines', {NL} ORDER BY g.rank)
+      || {NL2} || 'For each one test normal operation, edge cases and error handling.' AS prompt,
+    string_agg(DISTINCT g.path, {NL} ORDER BY g.path) AS affected,
+    'Re-run the coverage report.' AS verification
+  FROM g2_rank g JOIN fx_m m ON m.repo_id = g.repo_id WHERE g.rank <= 10 GROUP BY g.repo_id
+),
+g3_rank AS (
+  SELECT fn.*, row_number() OVER (PARTITION BY fn.repo_id ORDER BY fn.path, fn.start_line) AS rank
+  FROM functions fn JOIN file_facts ff ON ff.repo_id = fn.repo_id AND ff.path = fn.path
+  WHERE fn.is_sensitive AND NOT ff.has_error_handling
+),
+g3 AS (
+  SELECT repo_id, 3 AS rule_order, 'error_handling' AS rule, 'CRITICAL' AS priority,
+    {v('count(*)')} || ' sensitive functions lack error handling' AS title,
+    'Functions that touch payments, credentials or deletions live in files without any error handling. This is a reliability and security risk.' AS description,
+    'Add input validation, error handling and logging to:' || {NL2}
+      || string_agg('- ' || path || ': ' || name || '() lines ' || {v('start_line')} || '-' || {v('end_line')}, {NL} ORDER BY rank)
+      || {NL2} || 'Start with ' || arg_min(name, rank) || '() in ' || arg_min(path, rank) || '.' AS prompt,
+    string_agg(DISTINCT path, {NL} ORDER BY path) AS affected,
+    'Check every listed function for validation and exception handling.' AS verification
+  FROM g3_rank WHERE rank <= 5 GROUP BY repo_id
+),
+dup_ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY kind_order, sim_order, lang_order, file_1, file_2) AS group_rank,
+         row_number() OVER (PARTITION BY repo_id, is_exact ORDER BY kind_order, sim_order, lang_order, file_1, file_2) AS kind_rank
+  FROM all_dups
+),
+dup_members AS (
+  SELECT d.repo_id, d.group_rank, d.kind_rank, d.n_files, m.path,
+         row_number() OVER (PARTITION BY d.repo_id, d.group_key ORDER BY m.path) AS member_rank
+  FROM dup_ranked d JOIN exact_members m ON m.repo_id = d.repo_id AND m.md5 = d.group_key
+  WHERE d.is_exact AND d.group_rank <= 10
+),
+dup_lines AS (
+  SELECT repo_id, kind_rank AS rank, 'Exact copies ' || {v('kind_rank')} || ': '
+         || string_agg(path, ', ' ORDER BY member_rank)
+         || CASE WHEN any_value(n_files) > 20 THEN ' and ' || {v('any_value(n_files) - 20')} || ' more' ELSE '' END AS l
+  FROM dup_members WHERE kind_rank <= 3 AND member_rank <= 20 GROUP BY repo_id, kind_rank
+  UNION ALL
+  SELECT repo_id, kind_rank + 3, 'Near copies (' || {pct0('similarity')} || '% similar): ' || file_1 || ', ' || file_2
+  FROM dup_ranked WHERE NOT is_exact AND kind_rank <= 2
+),
+dup_flat AS (
+  SELECT repo_id, group_rank, member_rank, path FROM dup_members WHERE member_rank <= 20
+  UNION ALL SELECT repo_id, group_rank, 1, file_1 FROM dup_ranked WHERE NOT is_exact AND group_rank <= 10
+  UNION ALL SELECT repo_id, group_rank, 2, file_2 FROM dup_ranked WHERE NOT is_exact AND group_rank <= 10
+),
+dup_aff AS (
+  SELECT repo_id, string_agg(path, {NL} ORDER BY rk) AS affected FROM (
+    SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY group_rank, member_rank) AS rk FROM dup_flat)
+  WHERE rk <= 10 GROUP BY repo_id
+),
+dup_txt AS (SELECT repo_id, string_agg(l, {NL} ORDER BY rank) AS evidence FROM dup_lines GROUP BY repo_id),
+g4 AS (
+  SELECT m.repo_id, 4 AS rule_order, 'duplicates' AS rule, 'HIGH' AS priority,
+    'Consolidate ' || {v('m.duplicate_groups')} || ' duplicate file groups' AS title,
+    'Some files are copies or near copies of each other. Keep one version of each.' AS description,
+    'Merge each group below into one canonical file and update every reference:' || {NL2}
+      || coalesce(t.evidence, '') || {NL2} || 'Then run the tests to confirm nothing broke.' AS prompt,
+    a.affected, 'Search for broken imports after merging.' AS verification
+  FROM fx_m m LEFT JOIN dup_txt t ON t.repo_id = m.repo_id LEFT JOIN dup_aff a ON a.repo_id = m.repo_id
+  WHERE m.duplicate_groups > 0
+),
+g5_rank AS (
+  SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY path, start_line) AS rank FROM functions WHERE is_long
+),
+g5 AS (
+  SELECT repo_id, 5 AS rule_order, 'long_functions' AS rule, 'MEDIUM' AS priority,
+    'Split ' || {v('count(*)')} || ' long functions' AS title,
+    'Functions over 80 lines are hard to test and maintain. Break them into helpers.' AS description,
+    'Refactor these functions into smaller, single-purpose helpers:' || {NL2}
+      || string_agg('- ' || path || ': ' || name || '() is ' || {v('line_count')} || ' lines (lines '
+                    || {v('start_line')} || '-' || {v('end_line')} || ')', {NL} ORDER BY rank)
+      || {NL2} || 'Start with ' || arg_min(name, rank) || '() in ' || arg_min(path, rank) || '.' AS prompt,
+    string_agg(DISTINCT path, {NL} ORDER BY path) AS affected,
+    'Each function should end up under 50 lines.' AS verification
+  FROM g5_rank WHERE rank <= 5 GROUP BY repo_id
+),
+g6 AS (
+  SELECT repo_id, 6 AS rule_order, 'smells' AS rule, 'MEDIUM' AS priority,
+    'Address ' || {v('count(*)')} || ' code smell patterns' AS title,
+    'Several heuristics flag patterns typical of generated code. Review and clean them up.' AS description,
+    'Review these patterns and simplify the code they point at:' || {NL2}
+      || string_agg('- ' || smell || ' (' || {pct0('score')} || '%): ' || ({desc_map}), {NL} ORDER BY score DESC, ordinal) AS prompt,
+    '' AS affected, 'Scan again and compare the smell scores.' AS verification
+  FROM smells_long WHERE score > {dims.FIX_SMELL_SCORE} GROUP BY repo_id
+),
+g7_rank AS (
+  SELECT t.*, row_number() OVER (PARTITION BY t.repo_id ORDER BY t.path, t.line_no) AS rank
+  FROM todos t JOIN fx_m m ON m.repo_id = t.repo_id WHERE m.todos_count > 5
+),
+g7 AS (
+  SELECT g.repo_id, 7 AS rule_order, 'todos' AS rule, 'LOW' AS priority,
+    'Triage ' || {v('any_value(m.todos_count)')} || ' TODO/FIXME markers' AS title,
+    'Open markers point at unfinished or fragile code. Resolve or remove them.' AS description,
+    'There are ' || {v('any_value(m.todos_count)')} || ' markers; the first ' || {v('count(*)')} || ':' || {NL2}
+      || string_agg('- ' || g.path || ':' || {v('g.line_no')} || ': '
+                    || CASE WHEN length(g.content) > 60 THEN substr(g.content, 1, 60) || '...' ELSE g.content END,
+                    {NL} ORDER BY g.rank)
+      || {NL2} || 'Fix, file or delete each one; FIXME and BUG first.' AS prompt,
+    string_agg(DISTINCT g.path, {NL} ORDER BY g.path) AS affected,
+    'Count the markers again.' AS verification
+  FROM g7_rank g JOIN fx_m m ON m.repo_id = g.repo_id WHERE g.rank <= 15 GROUP BY g.repo_id
+),
+g8 AS (
+  SELECT repo_id, 8 AS rule_order, 'size' AS rule, 'LOW' AS priority, 'Reduce code base size' AS title,
+    {v('source_loc')} || ' source lines: look for dead code and merge utilities.' AS description,
+    'This code base has ' || {v('source_loc')} || ' source lines in ' || {v('source_files')}
+      || ' source files. Remove dead code, merge similar utilities and drop generated files.' AS prompt,
+    '' AS affected, 'Track line counts over time.' AS verification
+  FROM fx_m WHERE source_loc > 10000
+),
+fix_rules AS (
+  SELECT * FROM g1 UNION ALL SELECT * FROM g2 UNION ALL SELECT * FROM g3 UNION ALL SELECT * FROM g4
+  UNION ALL SELECT * FROM g5 UNION ALL SELECT * FROM g6 UNION ALL SELECT * FROM g7 UNION ALL SELECT * FROM g8
+),
+fix_plan AS (
+  SELECT repo_id, CAST(row_number() OVER (PARTITION BY repo_id ORDER BY rule_order) AS BIGINT) AS fix_no,
+         rule, priority, title, description, prompt, affected, verification
+  FROM fix_rules
+)"""
