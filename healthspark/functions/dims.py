@@ -297,6 +297,14 @@ STRIP_CLASS = (
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
 
+# The same set as plain characters (for btrim): every character str.strip() removes.
+STRIP_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+               + "".join(chr(c) for c in range(0x2000, 0x200B))
+               + "\u2028\u2029\u202f\u205f\u3000")
+# Comment openers a task marker starts with (TODO_PATTERN's first group), used
+# as an exact, cheap pre-filter before the regular expression runs.
+TODO_OPENERS = ["#", "//", "*", "<!--"]
+
 # --------------------------------------------------------------------------
 # FIXED VALUES: thresholds and model constants
 # --------------------------------------------------------------------------

@@ -24,8 +24,7 @@ def u(pattern: str) -> str:
 
 def strip(col: Column) -> Column:
     """Python ``str.strip()``: drop Unicode white space (and \\x1c-\\x1f) at both ends."""
-    cls = dims.STRIP_CLASS
-    return F.regexp_replace(col, f"^{cls}+|{cls}+$", "")
+    return F.btrim(col, F.lit(dims.STRIP_CHARS))
 
 
 def split_lines(text: Column) -> Column:

@@ -99,8 +99,19 @@ def with_line_records(files: DataFrame, text_col: str = "text",
                 .when(F.coalesce(comment, F.lit(False)), F.lit("comment"))
                 .otherwise(F.lit("code")))
         code = ~blank & ~F.coalesce(comment, F.lit(False))
-        todo_raw = F.nullif(F.regexp_extract(line, todo_re, 1), F.lit(""))
-        first_word = F.regexp_extract(F.lower(s), r"^([^ (]*)", 1)
+        # cheap pre-filters (substring tests) guard the regular expressions
+        # a marker needs one of its openers somewhere in the line (exact necessary condition)
+        maybe_todo = F.lit(False)
+        for opener in dims.TODO_OPENERS:
+            maybe_todo = maybe_todo | F.contains(line, F.lit(opener))
+        todo_raw = F.when(maybe_todo, F.nullif(F.regexp_extract(line, todo_re, 1), F.lit("")))
+        has_quote = F.contains(line, F.lit('"')) | F.contains(line, F.lit("'"))
+        low_s = F.lower(s)
+        is_branch = F.lit(False)
+        for kw in dims.BRANCH_KEYWORDS:
+            # first word = text before the first ' ' or '('
+            is_branch = (is_branch | (low_s == F.lit(kw)) | low_s.startswith(kw + " ")
+                         | low_s.startswith(kw + "("))
         return F.struct(
             (i + 1).alias("line_no"),
             line.alias("line"),
@@ -111,9 +122,9 @@ def with_line_records(files: DataFrame, text_col: str = "text",
                                     lambda p: any_match(line, p), F.lit(False))).alias("is_import"),
             (~blank & _per_language(language, dims.ERROR_PATTERNS,
                                     lambda p: any_match(line, p), F.lit(False))).alias("has_error"),
-            F.when(~blank, F.regexp_extract_all(line, F.lit(dims.STRING_LITERAL_PATTERN), 1))
-             .alias("literals"),
-            (~blank & first_word.isin(*dims.BRANCH_KEYWORDS)).alias("is_branch"),
+            F.when(~blank & has_quote,
+                   F.regexp_extract_all(line, F.lit(dims.STRING_LITERAL_PATTERN), 1)).alias("literals"),
+            (~blank & is_branch).alias("is_branch"),
             F.when(code, _per_language(language, dims.FUNCTION_PATTERNS,
                                        lambda p: first_group(line, p), _null_str())).alias("func_name"),
             F.when(code, _per_language(language, dims.CLASS_PATTERNS,

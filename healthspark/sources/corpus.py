@@ -55,6 +55,21 @@ def corpus_from_table(df: DataFrame, repo_col: str = "repo_id", path_col: str =
                      F.col(content_col).alias("content"))
 
 
+def ensure_partitions(corpus: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread a corpus with fewer input partitions than the cluster has cores.
+
+    Per-file analysis is CPU-bound. A corpus read from a few large files (one
+    Parquet row group, say) would otherwise run in a handful of tasks. Large
+    inputs have far more splits than cores and pass through unchanged (no
+    shuffle is added); small ones are hash-partitioned by file.
+    """
+    spark = corpus.sparkSession
+    target = min_partitions or spark.sparkContext.defaultParallelism
+    if corpus.rdd.getNumPartitions() >= target:
+        return corpus
+    return corpus.repartition(target * 2, "repo_id", "path")
+
+
 def _regex_quote(s: str) -> str:
     return "".join("\\" + c if c in r".^$*+?()[]{}|\\" else c for c in s)
 

@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .corpus import ensure_partitions
+
 # Portable SQL (Spark SQL and DuckDB): one row per line of the K1 corpus.
 # Placeholders: {lineitem} = the lineitem relation.
 K1_LINES_SQL = '''
@@ -187,7 +189,10 @@ def k1_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     Builder only: per-file string assembly of the synthetic rows (one row per file
     is the corpus schema); no analysis is done here.
     """
-    lines = k1_lines(spark, sf_dir)
+    # partition the line rows by file first: the per-file assembly below then needs
+    # no further exchange, and AQE cannot coalesce the corpus into a single task
+    n = spark.sparkContext.defaultParallelism * 2
+    lines = k1_lines(spark, sf_dir).repartition(n, "repo_id", "path")
     joined = F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("line_no", F.concat("line", "sep").alias("l")))),
         lambda x: x["l"]), "")
@@ -201,24 +206,26 @@ def k1_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 def k2_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K2: documents as Markdown files, one repository per ``source``."""
     d = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    return d.select(F.col("source").alias("repo_id"),
-                    F.concat(F.col("lang"), F.lit("/doc_"), F.col("doc_id").cast("string"),
-                             F.lit(".md")).alias("path"),
-                    F.col("text").alias("content"))
+    return ensure_partitions(d.select(
+        F.col("source").alias("repo_id"),
+        F.concat(F.col("lang"), F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"),
+        F.col("text").alias("content")))
 
 
 def k2_single_repo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K2 as one repository (copies across sources become visible to exact-duplicate search)."""
     d = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    return d.select(F.lit("documents").alias("repo_id"),
-                    F.concat(F.col("source"), F.lit("/"), F.col("lang"), F.lit("/doc_"),
-                             F.col("doc_id").cast("string"), F.lit(".md")).alias("path"),
-                    F.col("text").alias("content"))
+    return ensure_partitions(d.select(
+        F.lit("documents").alias("repo_id"),
+        F.concat(F.col("source"), F.lit("/"), F.col("lang"), F.lit("/doc_"),
+                 F.col("doc_id").cast("string"), F.lit(".md")).alias("path"),
+        F.col("text").alias("content")))
 
 
 def k3_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K3: web pages as HTML files, one repository per first host label."""
     p = spark.read.parquet(f"{sf_dir.rstrip('/')}/pages.parquet")
-    return p.select(F.regexp_extract("url", r"^[A-Za-z]+://([^./:]+)", 1).alias("repo_id"),
-                    F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("path"),
-                    F.col("html").alias("content"))
+    return ensure_partitions(p.select(
+        F.regexp_extract("url", r"^[A-Za-z]+://([^./:]+)", 1).alias("repo_id"),
+        F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("path"),
+        F.col("html").alias("content")))
