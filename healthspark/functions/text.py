@@ -47,10 +47,17 @@ def any_contains(col: Column, fragments: Sequence[str]) -> Column:
 
 
 def first_group(col: Column, patterns: Sequence[str]) -> Column:
-    """Group 1 of the first pattern that matches, else NULL (patterns tried in order)."""
+    """Group 1 of the first pattern that matches, else NULL (patterns tried in order).
+
+    With several patterns, one combined test runs first; the ordered extraction
+    only runs on the (rare) lines that match at all.
+    """
     if not patterns:
         return F.lit(None).cast("string")
-    return F.coalesce(*[F.nullif(F.regexp_extract(col, u(p), 1), F.lit("")) for p in patterns])
+    pick = F.coalesce(*[F.nullif(F.regexp_extract(col, u(p), 1), F.lit("")) for p in patterns])
+    if len(patterns) == 1:
+        return pick
+    return F.when(any_match(col, patterns), pick)
 
 
 def any_match(col: Column, patterns: Sequence[str]) -> Column:

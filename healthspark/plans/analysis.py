@@ -40,6 +40,10 @@ class Analysis:
     keep_lines: bool = False
     _cache: dict = field(default_factory=dict, repr=False)
 
+    def _reuse(self, df: DataFrame, name: str) -> DataFrame:
+        """Materialise an intermediate that several downstream tables read (same mode as the analysis)."""
+        return materialize(df, name, self.materialize)
+
     # --- sources -----------------------------------------------------------
     @cached_property
     def repos(self) -> DataFrame:
@@ -103,7 +107,7 @@ class Analysis:
 
     @cached_property
     def smells_wide(self) -> DataFrame:
-        return E.smell_scores_wide(self.smell_inputs)
+        return self._reuse(E.smell_scores_wide(self.smell_inputs), "smells_wide")
 
     @cached_property
     def smells(self) -> DataFrame:
@@ -129,7 +133,7 @@ class Analysis:
 
     @cached_property
     def duplicates(self) -> DataFrame:
-        return D.all_duplicates(self.analysis, self.near_threshold)
+        return self._reuse(D.all_duplicates(self.analysis, self.near_threshold), "duplicates")
 
     @cached_property
     def duplicate_counts(self) -> DataFrame:
@@ -142,8 +146,8 @@ class Analysis:
 
     @cached_property
     def repo_metrics(self) -> DataFrame:
-        return M.repo_metrics(self.repos, self.scanned, self.analysis, self.smells_wide,
-                              self.duplicate_counts)
+        return self._reuse(M.repo_metrics(self.repos, self.scanned, self.analysis, self.smells_wide,
+                                          self.duplicate_counts), "repo_metrics")
 
     # --- fix plan ---------------------------------------------------------------
     @cached_property

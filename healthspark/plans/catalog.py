@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import driver_corpora as K
+from ..session import materialize
 from .analysis import Analysis, analyze, longs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,7 +28,9 @@ def query(name: str):
 
 def k1(spark: SparkSession, sf: str, **kw) -> Analysis:
     kw.setdefault("materialize", "checkpoint")
-    return analyze(K.k1_corpus(spark, sf), **kw)
+    # the K1 builder is itself a SQL job: build the corpus once, every branch reads it
+    corpus = materialize(K.k1_corpus(spark, sf), "k1_corpus", "checkpoint")
+    return analyze(corpus, **kw)
 
 
 def k2(spark: SparkSession, sf: str, **kw) -> Analysis:
