@@ -66,6 +66,8 @@ def corpus_cte(kind: str) -> str:
     if kind == "k2one":
         return ("corpus AS (SELECT 'documents' AS repo_id, source || '/' || lang || '/doc_' "
                 "|| CAST(doc_id AS VARCHAR) || '.md' AS path, text AS content FROM documents)")
+    if kind == "table":
+        return "corpus AS (SELECT repo_id, path, content FROM fixture_corpus)"
     if kind == "k3":
         return ("corpus AS (SELECT regexp_extract(url, '^[A-Za-z]+://([^./:]+)', 1) AS repo_id, "
                 "CAST(page_id AS VARCHAR) || '.html' AS path, html AS content FROM pages)")
