@@ -387,3 +387,13 @@ def top_fixes(spark, sf):
 def report_json(spark, sf):
     a = k1(spark, sf)
     return R.report_json(a.repo_metrics, a.language_stats, a.smells)
+
+
+@query("smell_details")
+def smell_details(spark, sf):
+    return longs(k1(spark, sf).smell_details)
+
+
+@query("smell_details_html")
+def smell_details_html(spark, sf):
+    return longs(k3(spark, sf).smell_details)

@@ -207,3 +207,9 @@ SELECT m.repo_id, '# Fix instructions' || {NL} || '> Repository: ' || m.repo_id
   || {v('m.health_score')} || '/100 (' || m.risk_level || ' risk)' || {NL2}
   || coalesce(b.body, 'No fixes needed: the code base looks healthy.' || {NL}) AS markdown
 FROM repo_metrics m LEFT JOIN blocks b ON b.repo_id = m.repo_id""")
+
+# 2.5 smell evidence -------------------------------------------------------------------
+from .sql import smell_detail_ctes  # noqa: E402
+
+oracle("smell_details", chain("k1", line_ctes(), smell_ctes(), smell_detail_ctes()) + "SELECT * FROM smell_details")
+oracle("smell_details_html", chain("k3", line_ctes(), smell_ctes(), smell_detail_ctes()) + "SELECT * FROM smell_details")

@@ -633,3 +633,57 @@ fix_plan AS (
          rule, priority, title, description, prompt, affected, verification
   FROM fix_rules
 )"""
+
+
+def smell_detail_ctes() -> str:
+    exempt = qlist(dims.DEAD_CODE_EXEMPT_NAMES)[1:-1]
+    ratio = "(f.comment_lines / f.code_lines)"
+    imp = "(f.import_count / f.function_count)"
+    return f"""
+sd_rows AS (
+  SELECT f.repo_id, 'excessive_comments' AS smell,
+         row_number() OVER (PARTITION BY f.repo_id ORDER BY {ratio} DESC, f.path) AS rank,
+         f.path AS subject, {ratio} AS value, f.path || ': ' || {pct1(ratio)} || '% comments' AS detail
+  FROM file_facts f JOIN smells_wide w ON w.repo_id = f.repo_id
+  WHERE f.code_lines > 0 AND {ratio} > {dims.EXCESSIVE_COMMENT_RATIO} AND w.excessive_comments > 0.5
+  UNION ALL
+  SELECT repo_id, 'verbose_naming', row_number() OVER (PARTITION BY repo_id ORDER BY path, k, start_line),
+         name, CAST(length(name) AS DOUBLE), path || ': ' || name
+  FROM (SELECT repo_id, path, name, 0 AS k, start_line FROM functions
+        UNION ALL SELECT repo_id, path, name, 1, start_line FROM classes)
+  WHERE length(name) > {dims.VERBOSE_NAME_LENGTH}
+  UNION ALL
+  SELECT f.repo_id, 'boilerplate_heavy', row_number() OVER (PARTITION BY f.repo_id ORDER BY f.path),
+         f.path, {imp}, f.path || ': ' || {v('f.import_count')} || ' imports, ' || {v('f.function_count')} || ' functions'
+  FROM file_facts f JOIN smells_wide w ON w.repo_id = f.repo_id
+  WHERE f.function_count > 0 AND {imp} > {dims.BOILERPLATE_IMPORT_RATIO} AND w.boilerplate_heavy > 0.3
+  UNION ALL
+  SELECT repo_id, 'dead_code_indicators',
+         row_number() OVER (PARTITION BY repo_id ORDER BY n DESC, fpath, fline), name, CAST(n AS DOUBLE),
+         name || ': defined ' || {v('n')} || ' times'
+  FROM (SELECT repo_id, name, count(*) AS n, arg_min(path, (path, start_line)) AS fpath,
+               arg_min(start_line, (path, start_line)) AS fline FROM functions GROUP BY repo_id, name)
+  WHERE n > 1 AND name NOT IN ({exempt})
+  UNION ALL
+  SELECT f.repo_id, 'over_engineering', row_number() OVER (PARTITION BY f.repo_id ORDER BY f.path),
+         f.path, CAST(f.class_count AS DOUBLE),
+         f.path || ': ' || {v('f.class_count')} || ' classes in ' || {v('f.code_lines')} || ' lines'
+  FROM file_facts f JOIN smells_wide w ON w.repo_id = f.repo_id
+  WHERE f.class_count > 3 AND f.code_lines < 200 AND w.over_engineering > 0.3
+  UNION ALL
+  SELECT repo_id, 'missing_error_handling', row_number() OVER (PARTITION BY repo_id ORDER BY function_count DESC, path),
+         path, CAST(function_count AS DOUBLE),
+         path || ': ' || {v('function_count')} || ' functions without error handling'
+  FROM file_facts WHERE NOT is_test AND NOT has_error_handling AND function_count > 0
+  UNION ALL
+  SELECT repo_id, 'copy_paste_artifacts',
+         row_number() OVER (PARTITION BY repo_id ORDER BY n DESC, fpath, fline, literal),
+         substr(literal, 1, 40), CAST(n AS DOUBLE),
+         '"' || substr(literal, 1, 40) || '..." repeated ' || {v('n')} || ' times'
+  FROM (SELECT repo_id, literal, count(*) AS n, arg_min(path, (path, line_no)) AS fpath,
+               arg_min(line_no, (path, line_no)) AS fline FROM literals GROUP BY repo_id, literal)
+  WHERE n >= {dims.COPY_PASTE_MIN_OCCURRENCES} AND length(literal) > 20
+),
+smell_details AS (
+  SELECT repo_id, smell, CAST(rank AS BIGINT) AS rank, subject, value, detail FROM sd_rows WHERE rank <= 5
+)"""
