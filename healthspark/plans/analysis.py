@@ -38,6 +38,8 @@ class Analysis:
     materialize: str = "none"
     near_threshold: float = dims.NEAR_DUP_DEFAULT_THRESHOLD
     keep_lines: bool = False
+    ai_generated: bool = True
+    base_density: float = dims.DEFECT_DENSITY_BASE
     _cache: dict = field(default_factory=dict, repr=False)
 
     def _reuse(self, df: DataFrame, name: str) -> DataFrame:
@@ -147,7 +149,8 @@ class Analysis:
     @cached_property
     def repo_metrics(self) -> DataFrame:
         return self._reuse(M.repo_metrics(self.repos, self.scanned, self.analysis, self.smells_wide,
-                                          self.duplicate_counts), "repo_metrics")
+                                          self.duplicate_counts, self.ai_generated, self.base_density),
+                           "repo_metrics")
 
     # --- fix plan ---------------------------------------------------------------
     @cached_property
@@ -159,9 +162,16 @@ class Analysis:
 
 def analyze(corpus: DataFrame, extra_ignores: Sequence[str] = (), materialize: str = "none",
             near_threshold: float = dims.NEAR_DUP_DEFAULT_THRESHOLD,
-            keep_lines: bool = False) -> Analysis:
+            keep_lines: bool = False, ai_generated: bool = True,
+            base_density: float = dims.DEFECT_DENSITY_BASE) -> Analysis:
+    """Lazy bundle of every derived table of ``corpus`` (see the module docstring).
+
+    Tunables: extra ignored directory names, the near-duplicate threshold and
+    the defect-density model (``ai_generated`` multiplier, ``base_density``).
+    """
     return Analysis(corpus=corpus, extra_ignores=tuple(extra_ignores), materialize=materialize,
-                    near_threshold=near_threshold, keep_lines=keep_lines)
+                    near_threshold=near_threshold, keep_lines=keep_lines,
+                    ai_generated=ai_generated, base_density=base_density)
 
 
 def longs(df: DataFrame) -> DataFrame:

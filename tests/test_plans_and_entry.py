@@ -52,3 +52,19 @@ def test_read_repo_tree(spark, tmp_path):
     assert rows == [("repoA", "src/m.py"), ("repoB", "x.js")]
     ff = analyze(corpus).file_facts.collect()
     assert sorted((r.path, r.function_count) for r in ff) == [("src/m.py", 1), ("x.js", 1)]
+
+
+def test_api_facade_single_codebase(spark, tmp_path):
+    from healthspark import api
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "pay.py").write_text("def process_payment(x):\n    return x\n")
+    (tmp_path / "tests").mkdir()
+    (tmp_path / "tests" / "test_pay.py").write_text("def test_pay():\n    assert True\n")
+    files = api.scan_codebase(spark, str(tmp_path))
+    assert sorted(r.path for r in files.collect()) == ["src/pay.py", "tests/test_pay.py"]
+    a = analyze(corpus_df(spark, {"src/pay.py": "def process_payment(x):\n    return x\n"}),
+                materialize="checkpoint", ai_generated=False, base_density=1000.0)
+    m = api.aggregate_metrics(a).collect()[0]
+    assert m.estimated_defects == 2 and m.defect_density == 1000.0
+    assert api.detect_missing_error_handling(a).collect()[0].score == 1.0
+    assert api.generate_json_report(a).count() == 1
