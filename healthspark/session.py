@@ -69,7 +69,10 @@ def materialize(df: DataFrame, name: str, mode: str = "persist") -> DataFrame:
     if mode == "persist":
         return df.persist(StorageLevel.MEMORY_AND_DISK)
     if mode == "checkpoint":
-        ensure_checkpoint_dir(df.sparkSession)
+        try:
+            ensure_checkpoint_dir(df.sparkSession)
+        except Exception:  # noqa: BLE001 - no SparkContext access (e.g. a remote session)
+            pass
         return df.checkpoint(eager=True)
     if mode == "write":
         spark = df.sparkSession
