@@ -11,17 +11,26 @@ language, similarity ``0.3*line + 0.5*func + 0.2*class >= threshold`` where
 the distinct function / class names (0 when either side has none).
 
 The original compares every pair of a language. Here candidate pairs come from
-equi-joins, and the blocking is exact (no qualifying pair is lost):
-
-* if the pair shares no class, or its class Jaccard is below ``c*``, the
-  function Jaccard must be at least ``t_f = (T - 0.3 - 0.2 c*) / 0.5``;
-  pairs with ``J >= t`` share a token of the ``k - ceil(t k) + 1`` rarest
-  names of each side (prefix filtering), so only those prefixes are joined;
-* pairs with class Jaccard ``>= c*`` are found by the same prefix filter on
-  class names;
-* for ``T <= 0.3`` a pair with no shared name can qualify through line
-  similarity alone (``min/max >= T/0.3``): a geometric bucketing of code-line
-  counts joins each bucket with itself and its neighbour.
+equi-joins on ``(repo_id, language, name)``, and the blocking is exact (no
+qualifying pair is lost). For a threshold T > 0.3 a qualifying pair must share
+a name, and falls in one of three cases:
+
+* class Jaccard ``>= c*``: found by prefix filtering on class names;
+* one side has no class (class term 0): the function Jaccard must reach
+  ``t0 = (T - 0.3) / 0.5`` (0.4 at the default);
+* both sides have classes, class Jaccard ``< c*``: the function Jaccard must
+  reach ``t_f = (T - 0.3 - 0.2 c*) / 0.5`` (only files with classes are indexed).
+
+Prefix filtering (size-aware, as in PPJoin): names are ordered by document
+frequency, so rare names come first. For Jaccard >= t the smaller set indexes
+its ``k - ceil(2t/(1+t) k) + 1`` first names and the larger set its
+``k - ceil(t k) + 1`` first names, with the length filter ``|A| >= t |B|``.
+Common names (``main``, ``__init__``) therefore only pair up files that have
+little else, which are the pairs that can actually qualify.
+
+For T <= 0.3 a pair with no shared name can qualify on line similarity alone
+(``min/max >= T/0.3``): a geometric bucketing of code-line counts joins each
+bucket with itself and its neighbour, next to joins on every shared name.
 
 Candidates are then scored exactly and filtered with ``>= T``.
 """
@@ -68,27 +77,42 @@ def signatures(analysis: DataFrame) -> DataFrame:
                     F.array_distinct(F.transform("classes", lambda c: c["name"])).alias("cnames")))
 
 
-def _prefix_tokens(sigs: DataFrame, names_col: str, t: float) -> DataFrame:
-    """Tokens of each file's prefix under the (document frequency, name) order."""
+def _ranked_tokens(sigs: DataFrame, names_col: str) -> DataFrame:
+    """Each file's distinct names with k = set size and pos = rank by (document frequency, name)."""
     tokens = sigs.select("repo_id", "language", "path",
                          F.size(names_col).alias("k"), F.explode(names_col).alias("name"))
     freq = tokens.groupBy("repo_id", "language", "name").agg(F.count(F.lit(1)).alias("dfreq"))
-    ranked = tokens.join(freq, ["repo_id", "language", "name"])
     w = Window.partitionBy("repo_id", "path").orderBy("dfreq", "name")
-    need = F.ceil(F.lit(max(t, 0.0)) * F.col("k") - F.lit(EPS))
-    plen = F.col("k") - F.greatest(need, F.lit(0)) + 1
-    return (ranked.withColumn("pos", F.row_number().over(w))
-            .where(F.col("pos") <= plen).select("repo_id", "language", "path", "name"))
+    return tokens.join(freq, ["repo_id", "language", "name"]).withColumn("pos", F.row_number().over(w))
 
 
-def _token_pairs(prefix: DataFrame) -> DataFrame:
-    a, b = prefix.alias("a"), prefix.alias("b")
-    return (a.join(b, (F.col("a.repo_id") == F.col("b.repo_id"))
-                   & (F.col("a.language") == F.col("b.language"))
-                   & (F.col("a.name") == F.col("b.name"))
-                   & (F.col("a.path") < F.col("b.path")))
-            .select(F.col("a.repo_id").alias("repo_id"), F.col("a.language").alias("language"),
-                    F.col("a.path").alias("path1"), F.col("b.path").alias("path2")))
+def _prefix_len(t: float, factor: float) -> Column:
+    """k - ceil(factor * t * k) + 1 (never shorter than the exact bound; all tokens for t <= 0)."""
+    if t <= 0:
+        return F.col("k") + 1
+    need = F.ceil(F.lit(factor * t) * F.col("k") - F.lit(EPS))
+    return F.col("k") - F.greatest(need, F.lit(0)) + 1
+
+
+def _prefix_pairs(sigs: DataFrame, names_col: str, t: float) -> DataFrame:
+    """Candidate pairs that share a prefix token; complete for every pair with Jaccard >= t.
+
+    For a pair with J >= t, take A as the smaller set (ties: smaller path). Then
+    |A| >= t|B| and the overlap is at least t/(1+t)(|A|+|B|). That is at least
+    2t/(1+t)|A| on A's side and at least t|B| on B's side, so A's short prefix
+    (``k - ceil(2t/(1+t) k) + 1``) meets B's long prefix (``k - ceil(t k) + 1``).
+    """
+    ranked = _ranked_tokens(sigs, names_col)
+    short = ranked.where(F.col("pos") <= _prefix_len(t, 2.0 / (1.0 + t) if t > 0 else 1.0))
+    long_ = ranked.where(F.col("pos") <= _prefix_len(t, 1.0))
+    a = short.select("repo_id", "language", "name", F.col("path").alias("pa"), F.col("k").alias("ka"))
+    b = long_.select("repo_id", "language", "name", F.col("path").alias("pb"), F.col("k").alias("kb"))
+    cond = (F.col("ka") < F.col("kb")) | ((F.col("ka") == F.col("kb")) & (F.col("pa") < F.col("pb")))
+    if t > 0:
+        cond = cond & (F.col("ka").cast("double") >= F.lit(t) * F.col("kb").cast("double") - F.lit(EPS))
+    return (a.join(b, ["repo_id", "language", "name"]).where(cond)
+            .select("repo_id", "language", F.least("pa", "pb").alias("path1"),
+                    F.greatest("pa", "pb").alias("path2")))
 
 
 def _line_band_pairs(sigs: DataFrame, ratio: float) -> DataFrame:
@@ -130,14 +154,19 @@ def near_duplicates(analysis: DataFrame, threshold: float = dims.NEAR_DUP_DEFAUL
     wl, wf, wc = dims.SIMILARITY_WEIGHTS
     sigs = signatures(analysis)
     if threshold > wl:
+        # (i) class Jaccard >= c*; (ii) a side without classes: class term 0, so the function
+        # Jaccard must reach t0; (iii) both sides with classes and class Jaccard < c*: t_f.
         c_star = class_split if class_split is not None else min(0.5, (threshold - wl) / (2 * wc))
+        t0 = (threshold - wl) / wf
         t_f = (threshold - wl - wc * c_star) / wf
-        cands = _token_pairs(_prefix_tokens(sigs, "fnames", t_f)).unionByName(
-            _token_pairs(_prefix_tokens(sigs, "cnames", c_star)))
+        with_classes = sigs.where(F.size("cnames") > 0)
+        cands = (_prefix_pairs(sigs, "cnames", c_star)
+                 .unionByName(_prefix_pairs(sigs, "fnames", t0))
+                 .unionByName(_prefix_pairs(with_classes, "fnames", t_f)))
     else:
         # every shared name is a candidate, plus pairs that qualify on line counts alone
-        cands = (_token_pairs(_prefix_tokens(sigs, "fnames", 0.0))
-                 .unionByName(_token_pairs(_prefix_tokens(sigs, "cnames", 0.0)))
+        cands = (_prefix_pairs(sigs, "fnames", 0.0)
+                 .unionByName(_prefix_pairs(sigs, "cnames", 0.0))
                  .unionByName(_line_band_pairs(sigs, threshold / wl)))
     cands = cands.distinct()
 

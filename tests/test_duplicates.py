@@ -75,3 +75,16 @@ def test_blocking_equals_brute_force_k1(spark):
     fast = sorted(tuple(r) for r in D.near_duplicates(a.analysis).collect())
     slow = sorted(tuple(r) for r in D.near_duplicates_brute_force(a.analysis).collect())
     assert fast == slow
+
+
+def test_common_name_does_not_pair_everything(spark):
+    # 40 files share 'main' plus one unique name each: Jaccard 1/3 < 0.4, so none can qualify
+    files = {f"m{i:02d}.py": py_file(["main", f"only_{i}"], [], 12) for i in range(40)}
+    a = analyze(corpus_df(spark, files), materialize="checkpoint")
+    sigs = D.signatures(a.analysis)
+    assert D._prefix_pairs(sigs, "fnames", 0.4).count() == 0
+    assert D.near_duplicates(a.analysis).count() == 0
+    # files with only 'main' truly are near duplicates of each other: all pairs are the result
+    files = {f"s{i:02d}.py": py_file(["main"], [], 12) for i in range(8)}
+    a = analyze(corpus_df(spark, files), materialize="checkpoint")
+    assert D.near_duplicates(a.analysis).count() == 8 * 7 // 2
