@@ -78,8 +78,12 @@ def signatures(analysis: DataFrame) -> DataFrame:
 
 
 def _ranked_tokens(sigs: DataFrame, names_col: str) -> DataFrame:
-    """Each file's distinct names with k = set size and pos = rank by (document frequency, name)."""
-    tokens = sigs.select("repo_id", "language", "path",
+    """Each file's distinct names with k = set size and pos = rank by (document frequency, name).
+
+    Any fixed global order keeps prefix filtering exact, so one ranking serves
+    every threshold and every subset of files.
+    """
+    tokens = sigs.select("repo_id", "language", "path", (F.size("cnames") > 0).alias("has_classes"),
                          F.size(names_col).alias("k"), F.explode(names_col).alias("name"))
     freq = tokens.groupBy("repo_id", "language", "name").agg(F.count(F.lit(1)).alias("dfreq"))
     w = Window.partitionBy("repo_id", "path").orderBy("dfreq", "name")
@@ -94,7 +98,7 @@ def _prefix_len(t: float, factor: float) -> Column:
     return F.col("k") - F.greatest(need, F.lit(0)) + 1
 
 
-def _prefix_pairs(sigs: DataFrame, names_col: str, t: float) -> DataFrame:
+def _prefix_pairs(sigs_or_ranked: DataFrame, names_col: str, t: float) -> DataFrame:
     """Candidate pairs that share a prefix token; complete for every pair with Jaccard >= t.
 
     For a pair with J >= t, take A as the smaller set (ties: smaller path). Then
@@ -102,7 +106,8 @@ def _prefix_pairs(sigs: DataFrame, names_col: str, t: float) -> DataFrame:
     2t/(1+t)|A| on A's side and at least t|B| on B's side, so A's short prefix
     (``k - ceil(2t/(1+t) k) + 1``) meets B's long prefix (``k - ceil(t k) + 1``).
     """
-    ranked = _ranked_tokens(sigs, names_col)
+    ranked = (sigs_or_ranked if "pos" in sigs_or_ranked.columns
+              else _ranked_tokens(sigs_or_ranked, names_col))
     short = ranked.where(F.col("pos") <= _prefix_len(t, 2.0 / (1.0 + t) if t > 0 else 1.0))
     long_ = ranked.where(F.col("pos") <= _prefix_len(t, 1.0))
     a = short.select("repo_id", "language", "name", F.col("path").alias("pa"), F.col("k").alias("ka"))
@@ -159,10 +164,10 @@ def near_duplicates(analysis: DataFrame, threshold: float = dims.NEAR_DUP_DEFAUL
         c_star = class_split if class_split is not None else min(0.5, (threshold - wl) / (2 * wc))
         t0 = (threshold - wl) / wf
         t_f = (threshold - wl - wc * c_star) / wf
-        with_classes = sigs.where(F.size("cnames") > 0)
+        ranked_f = _ranked_tokens(sigs, "fnames")
         cands = (_prefix_pairs(sigs, "cnames", c_star)
-                 .unionByName(_prefix_pairs(sigs, "fnames", t0))
-                 .unionByName(_prefix_pairs(with_classes, "fnames", t_f)))
+                 .unionByName(_prefix_pairs(ranked_f, "fnames", t0))
+                 .unionByName(_prefix_pairs(ranked_f.where("has_classes"), "fnames", t_f)))
     else:
         # every shared name is a candidate, plus pairs that qualify on line counts alone
         cands = (_prefix_pairs(sigs, "fnames", 0.0)
