@@ -56,6 +56,9 @@ def with_line_records(files: DataFrame, text_col: str = "text",
     """
     language = F.col(language_col)
     single, opener, closer = comment_tokens(language)
+    # per-file token columns: lambdas read them as plain values (no CASE per line)
+    df = files.withColumn("_single", single).withColumn("_open", opener).withColumn("_close", closer)
+    single, opener, closer = F.col("_single"), F.col("_open"), F.col("_close")
 
     def has_open(x: Column) -> Column:
         return F.contains(x["stripped"], opener)
@@ -63,9 +66,11 @@ def with_line_records(files: DataFrame, text_col: str = "text",
     def has_close(x: Column) -> Column:
         return F.contains(x["stripped"], closer)
 
-    df = files.withColumn("_raw", split_lines(F.col(text_col)))
+    df = df.withColumn("_raw", split_lines(F.col(text_col)))
     df = df.withColumn("_base", F.transform("_raw", lambda line: F.struct(
         line.alias("line"), strip(line).alias("stripped"))))
+    df = df.withColumn("_base", F.transform("_base", lambda x: F.struct(
+        x["line"].alias("line"), x["stripped"].alias("stripped"), F.lower(x["stripped"]).alias("low"))))
     # Block-comment toggles: 1 = opens a block, 0 = closes it (lines with both keep the state).
     df = df.withColumn("_marks", F.filter(
         F.transform("_base", lambda x, i: F.struct(
@@ -86,19 +91,21 @@ def with_line_records(files: DataFrame, text_col: str = "text",
             F.zip_with("_marks", next_idx,
                        lambda t, nx: F.when(t.isNotNull(), F.array_repeat(t["m"], nx - t["i"]))),
             lambda a: a.isNotNull()))))
+    # Line kind in its own pass, so the comment test runs once per line.
+    df = df.withColumn("_kinds", F.zip_with("_base", "_state", lambda x, st: (
+        F.when(x["stripped"] == F.lit(""), F.lit("blank"))
+         .when(F.coalesce(has_open(x) | has_close(x) | (st == F.lit(1)) | x["stripped"].startswith(single),
+                          F.lit(False)), F.lit("comment"))
+         .otherwise(F.lit("code")))))
 
     todo_re = "(?iu)" + dims.TODO_PATTERN
 
     def record(z: Column, i: Column) -> Column:
         x = z["_base"]
         line, s = x["line"], x["stripped"]
-        blank = s == F.lit("")
-        comment = (has_open(x) | has_close(x) | (z["_state"] == F.lit(1))
-                   | s.startswith(single))
-        kind = (F.when(blank, F.lit("blank"))
-                .when(F.coalesce(comment, F.lit(False)), F.lit("comment"))
-                .otherwise(F.lit("code")))
-        code = ~blank & ~F.coalesce(comment, F.lit(False))
+        kind = z["_kinds"]
+        blank = kind == F.lit("blank")
+        code = kind == F.lit("code")
         # cheap pre-filters (substring tests) guard the regular expressions
         # a marker needs one of its openers somewhere in the line (exact necessary condition)
         maybe_todo = F.lit(False)
@@ -106,7 +113,7 @@ def with_line_records(files: DataFrame, text_col: str = "text",
             maybe_todo = maybe_todo | F.contains(line, F.lit(opener))
         todo_raw = F.when(maybe_todo, F.nullif(F.regexp_extract(line, todo_re, 1), F.lit("")))
         has_quote = F.contains(line, F.lit('"')) | F.contains(line, F.lit("'"))
-        low_s = F.lower(s)
+        low_s = x["low"]
         is_branch = F.lit(False)
         for kw in dims.BRANCH_KEYWORDS:
             # first word = text before the first ' ' or '('
@@ -131,8 +138,8 @@ def with_line_records(files: DataFrame, text_col: str = "text",
                                        lambda p: first_group(line, p), _null_str())).alias("class_name"),
         )
 
-    df = df.withColumn("_recs", F.transform(F.arrays_zip("_base", "_state"), record))
-    return df.drop("_raw", "_base", "_marks", "_state")
+    df = df.withColumn("_recs", F.transform(F.arrays_zip("_base", "_kinds"), record))
+    return df.drop("_raw", "_base", "_marks", "_state", "_kinds", "_single", "_open", "_close")
 
 
 def lines(analysed: DataFrame) -> DataFrame:
