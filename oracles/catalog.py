@@ -112,7 +112,7 @@ oracle("fix_plan_docs", chain("k2", line_ctes(), smell_ctes(), dup_ctes(), metri
 oracle("fix_priority_counts", K1_FIX + "SELECT repo_id, priority, count(*) AS fixes FROM fix_plan GROUP BY ALL")
 
 # 2.8 renderings, 2.9 report tables ---------------------------------------------------------
-from .sql import NL, NL2, pct1, v  # noqa: E402,F401
+from .sql import NL, NL2, v  # noqa: E402
 
 K1_MET = chain("k1", line_ctes(), smell_ctes(), dup_ctes(), metric_ctes())
 oracle("report_summary", K1_MET + """
