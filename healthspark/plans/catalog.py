@@ -397,3 +397,9 @@ def smell_details(spark, sf):
 @query("smell_details_html")
 def smell_details_html(spark, sf):
     return longs(k3(spark, sf).smell_details)
+
+
+@query("content_hash")
+def content_hash(spark, sf):
+    """D1 on Unicode text: md5 of the raw UTF-8 bytes and the byte size of every analysed document."""
+    return longs(k2(spark, sf).file_facts.select("repo_id", "path", "md5", "size_bytes"))

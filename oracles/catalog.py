@@ -213,3 +213,4 @@ from .sql import smell_detail_ctes  # noqa: E402
 
 oracle("smell_details", chain("k1", line_ctes(), smell_ctes(), smell_detail_ctes()) + "SELECT * FROM smell_details")
 oracle("smell_details_html", chain("k3", line_ctes(), smell_ctes(), smell_detail_ctes()) + "SELECT * FROM smell_details")
+oracle("content_hash", chain("k2", line_ctes()) + "SELECT repo_id, path, md5, size_bytes FROM file_facts")
