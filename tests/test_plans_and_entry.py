@@ -68,3 +68,16 @@ def test_api_facade_single_codebase(spark, tmp_path):
     assert m.estimated_defects == 2 and m.defect_density == 1000.0
     assert api.detect_missing_error_handling(a).collect()[0].score == 1.0
     assert api.generate_json_report(a).count() == 1
+
+
+def test_report_sinks(spark, tmp_path):
+    from healthspark.plans import reports as R
+    a = analyze(corpus_df(spark, {("r1", "a.py"): "def login(x):\n    return x\n",
+                                  ("r2", "b.js"): "function f() {\n}\n"}), materialize="checkpoint")
+    R.write_reports({"files": R.report_files(a.analysis), "summary": R.report_summary(a.repo_metrics)},
+                    str(tmp_path / "json"))
+    back = spark.read.json(str(tmp_path / "json" / "files"))
+    assert sorted((r.repo_id, r.path) for r in back.select("repo_id", "path").collect()) == [("r1", "a.py"), ("r2", "b.js")]
+    R.write_texts(R.render_notes(a.fixes, a.repo_metrics), "notes", str(tmp_path / "notes"))
+    notes = spark.read.text(str(tmp_path / "notes" / "repo_id=r1")).collect()
+    assert any("Code health notes" in r.value for r in notes)
