@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, mixing, sharding, token_binary
+from . import chat, decontamination, embeddings, minhash, mixing, pii, sharding, token_binary
 from .common import store, table
 
 N_SHARDS = 40
@@ -18,6 +18,18 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
+def op4_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_digest(table(spark, sf_dir, "documents"))
+
+
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=10)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
@@ -46,7 +58,7 @@ def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary.token_table(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1)
 
 
-QUERIES = {f.__name__: f for f in (op6_decontamination, op7_chat_format, op8_mix_sources, op9_histogram_sort,
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op4_weak_pii, op5_embedding_dedup, op6_decontamination, op7_chat_format, op8_mix_sources, op9_histogram_sort,
                                    op10_token_binary)}
 
 ORACLES: dict[str, str] = {}
