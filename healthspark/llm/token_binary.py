@@ -22,8 +22,8 @@ other columns are ignored. Long texts are encoded whole.
 
 from __future__ import annotations
 
-import os
 import re
+import sys
 import zlib
 from collections.abc import Iterator
 
@@ -36,6 +36,7 @@ from .common import new_path
 
 #: Blanks that every tokenizer rule of the vocabulary treats as white space.
 _BLANK = re.compile(r"[ \t\n\r]+")
+_CONTROL = re.compile("[\x1c-\x1f]")
 
 
 def id_bits(vocab_size: int) -> int:
@@ -62,34 +63,61 @@ def unpack(payload: bytes, bits: int, start: int, count: int) -> np.ndarray:
     return np.packbits(wide, axis=1, bitorder="little").view("<u4").ravel()
 
 
+class _Pieces(dict):
+    """Piece -> its ids as bytes; a piece that is not known is encoded by the library, once while it is kept.
+
+    If the tokenizer folds case and always cuts between a word and punctuation after it (both are tried
+    on it first), an ASCII piece is put together from its lower-case word and its tail, so `Word,` costs
+    no further call once `word` is known. Pieces that could hold a special token are never taken apart.
+    """
+
+    def __init__(self, path: str, remember: int):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.remember = Tokenizer.from_file(path), remember
+        self.folds = all(self._library(x) == self._library(x.lower()) for x in ("Ab", "QUEST", "x9Y"))
+        self.cuts = all(self._library(x + y) == self._library(x) + self._library(y)
+                        for x in ("ab", "quest", "x9") for y in (".", ",", "***", "?!", "$$$."))
+
+    def _library(self, piece: str) -> bytes:
+        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def __missing__(self, piece: str) -> bytes:
+        plain = piece.lower() if self.folds else piece
+        word = plain.rstrip(".,;:!?*#$%&") if self.cuts else plain
+        if piece.isascii() and "<|" not in piece and word[-1:].isalnum() and (word != plain or plain != piece):
+            ids = self[plain] if plain != piece else self[word] + self[plain[len(word):]]
+        else:
+            ids = self._library(piece)
+        if len(piece) <= 64:
+            if len(self) >= self.remember:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class WordEncoder:
     """Encodes whole texts with a tokenizer whose rules drop white space.
 
     Such a tokenizer never joins characters across a blank, so a text's ids are those of its pieces
-    between blanks in order; each piece is encoded by the library once and remembered. The memory is
-    bounded by `remember` pieces and starts over when full. Pieces over 64 characters are not kept.
+    between blanks in order. Pieces are remembered by the Python worker across its tasks, at most
+    `remember` of them and none over 64 characters; a full memory starts over.
     """
 
-    def __init__(self, path: str, end_id: int, remember: int = 500_000):
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-        self.tokenizer, self.remember, self.known = Tokenizer.from_file(path), remember, {}
-        self.end = np.array([end_id], "<u4").tobytes()
+    def __init__(self, path: str, end_id: int, remember: int = 1_000_000):
+        held = sys.__dict__.setdefault("_word_pieces", {})  # lives as long as the worker process
+        if path not in held:
+            held[path] = _Pieces(path, remember)
+        self.pieces, self.end = held[path], np.array([end_id], "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        out = []
-        for text in texts:
-            pieces, known, long = _BLANK.split(text), self.known, {}
-            fresh = [p for p in set(pieces) if p not in known]
-            if len(known) + len(fresh) > self.remember:
-                known.clear()
-                fresh = list(set(pieces))
-            for piece, got in zip(fresh, self.tokenizer.encode_batch(fresh, add_special_tokens=False)):
-                (known if len(piece) <= 64 else long)[piece] = np.array(got.ids, "<u4").tobytes()
-            parts = [long[p] if p in long else known[p] for p in pieces] if long else map(known.__getitem__, pieces)
-            out.append(np.frombuffer(b"".join(parts) + self.end, "<u4"))
-        return out
+        ids = self.pieces.__getitem__
+        # str.split() cuts at the same characters, and at four control characters that are no blanks here
+        cut = (text.split() if not _CONTROL.search(text) else _BLANK.split(text) for text in texts)
+        return [np.frombuffer(b"".join(map(ids, pieces)) + self.end, "<u4") for pieces in cut]
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int, bits: int, bounds: list) -> DataFrame:
