@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, embeddings, minhash, mixing, pii, sharding, token_binary, toxicity
+from . import chat, decontamination, embeddings, minhash, mixing, pii, sharding, suffix_dedup, token_binary, toxicity
 from .common import store, table
 
 N_SHARDS = 40
@@ -26,6 +26,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=100)
+
+
 def op4_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(table(spark, sf_dir, "documents"))
 
@@ -62,7 +66,7 @@ def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary.token_table(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_toxicity, op4_weak_pii, op5_embedding_dedup, op6_decontamination, op7_chat_format, op8_mix_sources, op9_histogram_sort,
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_toxicity, op3_suffix_dedup, op4_weak_pii, op5_embedding_dedup, op6_decontamination, op7_chat_format, op8_mix_sources, op9_histogram_sort,
                                    op10_token_binary)}
 
 ORACLES: dict[str, str] = {}
