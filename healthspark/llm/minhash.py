@@ -230,7 +230,8 @@ def deduplicate(docs: DataFrame, words: int = 5, percent: int = 80, **options) -
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     keep = near_duplicates(docs, words, percent, **options).where("kept and doc_id is not null").select(
         F.col("doc_id").alias("_keep")).distinct()
-    held = docs.withColumn("_id", F.col(id_col).cast("long"))
-    first = F.row_number().over(Window.partitionBy("_id").orderBy(text_col))
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text_col).alias("_text"),
+                       F.col(id_col).cast("long").alias("_id"))
+    first = F.row_number().over(Window.partitionBy("_id").orderBy("_text"))
     kept = held.where("_id is not null").join(keep, F.col("_id") == F.col("_keep"), "left_semi").withColumn("_n", first)
-    return kept.where("_n = 1").select(*docs.columns).unionAll(held.where("_id is null").select(*docs.columns))
+    return kept.where("_n = 1").select("_row.*").unionAll(held.where("_id is null").select("_row.*"))

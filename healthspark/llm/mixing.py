@@ -146,7 +146,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: int = 3, id_
                     .mapInPandas(_whole_copies(cap), "sid int, size long, b int, n long, copies long"), "mix-copies")
     rows = narrow if not carry else \
         docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"),
-                    keys["_u"].alias("u"), F.struct(*[F.col(c) for c in carry]).alias("row"))
+                    keys["_u"].alias("u"), F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"))
     rows = rows.withColumn("b", bucket).join(
         sources.withColumnRenamed("source", "s2"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
     rank = F.row_number().over(Window.partitionBy("sid", "size", "b").orderBy("u", "id"))
@@ -162,4 +162,4 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the columns of `docs`, each row as many times as it has copies."""
     names = docs.columns
     return mix(docs, carry=names, **options).where("copies > 0").select(
-        "row.*", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).select(*names)
+        "row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")

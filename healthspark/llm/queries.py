@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, embeddings, minhash, mixing, pii, sharding, suffix_dedup, token_binary, toxicity
+from . import chat, decontamination, embeddings, minhash, mixing, pii, sharding, sql, suffix_dedup, token_binary, toxicity
 from .common import store, table
 
 N_SHARDS = 40
@@ -69,4 +69,5 @@ def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_toxicity, op3_suffix_dedup, op4_weak_pii, op5_embedding_dedup, op6_decontamination, op7_chat_format, op8_mix_sources, op9_histogram_sort,
                                    op10_token_binary)}
 
-ORACLES: dict[str, str] = {}
+#: The other queries have no SQL: tests compare them with brute force.
+ORACLES = sql.oracles(CONTROL_TEXT)
