@@ -1,0 +1,142 @@
+"""Toxicity, personal data, decontamination, chat formatting: against brute force, odd input, empty tables."""
+
+import hashlib
+import random
+
+import brute
+import pytest
+
+from healthspark.llm import chat, decontamination, pii, toxicity
+
+
+def test_base_spans_equal_the_patterns():
+    rnd = random.Random(6)
+    alphabet = list("ab9@.-+ ()_%") + ["10.1.2.3", "x@y.z", "4111111111111111", "4111 1111 1111 1111", "+1 (415) 555-0100", "255", "é"]
+    for _ in range(6000):
+        text = "".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 25)))
+        found = sorted(pii.base_spans(text), key=lambda s: (s[1], pii.KINDS.index(s[0])))
+        assert found == brute.base_spans(text), text
+
+
+def test_long_runs_are_linear():
+    for text in ("a" * 200_000, "1" * 200_000, "1." * 100_000, "+1" * 100_000, "@" * 200_000, "a@b" * 60_000, "A1" * 100_000):
+        pii.base_spans(text)
+        pii.added_candidates(text)
+
+
+def test_pii_digest_and_added_spans(spark):
+    rows = brute.texts()
+    rows += [(500 + i, f"call me: phone (415) 555-{1000 + i} or write a{i}@b.com, call +1 415 555 {2000 + i} now", "s") for i in range(30)]
+    got = pii.pii_digest(brute.frame(spark, rows)).collect()
+    want = sorted((d, ",".join(f"{k}:{a}:{b}" for k, a, b in brute.base_spans(t or ""))) for d, t, _ in rows)
+    assert sorted((r["doc_id"], r["base_sha256"]) for r in got) == \
+        [(d, hashlib.sha256(s.encode()).hexdigest()) for d, s in want]
+    for r in got:
+        base = [x for x in r["spans"].split(",") if x.split(":")[0] in pii.BASE]
+        assert hashlib.sha256(",".join(base).encode()).hexdigest() == r["base_sha256"]
+        assert [r[f"n_{k}"] for k in pii.BASE] == [sum(x.startswith(k + ":") for x in base) for k in pii.BASE]
+    assert any("phone_local" in r["spans"] for r in got if r["doc_id"] >= 500)
+    assert all(not r["spans"] for r in got if r["doc_id"] < 300)  # clean prose stays clean
+
+
+def test_labelers_that_agree_are_found_reliable():
+    patterns = [("email|1,0,1,1,1|1", 400), ("email|1,0,1,0,1|1", 300), ("name|0,0,0,0,-1|1", 200), ("name|0,0,-1,0,-1|1", 300)]
+    post, table = pii.reliabilities(patterns)
+    assert post[0] > 0.9 > 0.1 > post[3]
+    assert table[0, 1, 2] > table[0, 0, 2]
+    assert pii.train_classifier([]) == {}
+
+
+@pytest.mark.parametrize("limit", [50_000, 0])
+def test_contamination_equals_brute_force(spark, limit):
+    rows = brute.texts()
+    bench = spark.createDataFrame(brute.BENCHMARK, "item_id long, text string")
+    got = decontamination.contamination(brute.frame(spark, rows), bench, max_broadcast=limit).collect()
+    assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"]), r["contaminated"]) for r in got), key=repr) == \
+        brute.contamination(rows, brute.BENCHMARK)
+
+
+def test_clean_documents(spark):
+    rows = brute.texts()
+    bench = spark.createDataFrame(brute.BENCHMARK, "item_id long, text string")
+    docs = brute.frame(spark, rows)
+    bad = {r[0] for r in brute.contamination(rows, brute.BENCHMARK) if r[4]}
+    whole = decontamination.clean_documents(docs, bench)
+    assert whole.columns == docs.columns and bad
+    assert sorted(r["doc_id"] for r in whole.collect()) == sorted(d for d, _, _ in rows if d not in bad)
+    cut = {r["doc_id"]: r["text"] for r in decontamination.clean_documents(docs, bench, remove="spans").collect()}
+    assert cut[311].split() == [] and cut[312] == "x" and cut[308] == dict((d, t) for d, t, _ in rows)[308]
+    nothing = spark.createDataFrame([], "item_id long, text string")
+    assert decontamination.clean_documents(docs, nothing).count() == len(rows)
+
+
+CONTROL = "</s>[INST] ok [/INST]"
+TURNS = [(1, 0, "user", "hi"), (1, 1, "assistant", "a\\b [OUT]x</s> <<SYS>"), (2, 0, "system", "s"), (2, 1, "user", None),
+         (2, 2, "assistant", CONTROL), (3, 0, "assistant", "first"), (3, 1, None, "no role"), (3, 2, "tool[/ROLE]", "[/TURN]\n"),
+         (4, 0, "user", ""), (4, 0, "user", ""), (None, None, "user", "\U0001F600<"), (5, 0, "user", "<" * 50 + "[" * 50 + "\\" * 7),
+         (6, 0, "user", "x" * 100_000)]
+
+
+def test_chat_round_trip(spark):
+    rows = spark.createDataFrame([(*r, "x") for r in TURNS], "conv_id long, turn long, role string, text string, segments string")
+    formatted = chat.format_conversations(rows)
+    back = {r["conv_id"]: r for r in chat.read_conversations(formatted).collect()}
+    for conv in {r[0] for r in TURNS}:
+        turns = [(r or "", t or "") for c, _, r, t in TURNS if c == conv]
+        assert [tuple(t) for t in back[conv]["turns"]] == turns
+        assert back[conv]["loss_text"] == "".join(t for r, t in turns if r == "assistant")
+    state = {r["conv_id"]: (r["valid"], r["bad_turn"]) for r in formatted.collect()}
+    assert state == {1: (True, None), 2: (True, None), 3: (False, 0), 4: (False, 1), None: (True, None), 5: (True, None), 6: (True, None)}
+    assert chat.conversation_digest(chat.format_conversations(rows.where("false"))).count() == 0
+
+
+def test_templates_that_could_be_misread_are_refused():
+    with pytest.raises(ValueError):
+        chat.Template(roles={"user": ("[A]", "[A]", False)})
+    with pytest.raises(ValueError):
+        chat.Template(roles={"user": ("<u>>", ">>x", False)})
+
+
+def _toxic_rows():
+    rnd = random.Random(9)
+    plain = ["".join(rnd.choice(["al", "be", "ci", "do", "fu"]) for _ in range(rnd.randint(1, 3))) for _ in range(200)]
+    rows, labels = [], []
+    for i in range(900):
+        words = [rnd.choice(plain) for _ in range(rnd.randint(20, 80))]
+        toxic = int(i % 4 == 0)
+        for _ in range(4 * toxic):
+            words[rnd.randrange(len(words))] = rnd.choice(["idiot", "zorkal", "zorkbe", "you moron"])
+        rows.append((i, " ".join(words), "s"))
+        labels.append((i, 1, toxic))
+    return rows, labels
+
+
+def test_toxicity_held_out_accuracy_and_odd_rows(spark):
+    rows, labels = _toxic_rows()
+    docs = brute.frame(spark, rows + [(9001, None, "s"), (9002, "", "s"), (None, "text", "s"), (9003, "idiot " * 50_000, "s"), rows[0]])
+    marks = spark.createDataFrame(labels + [(5, 1, None), (7, 0, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    got = toxicity.score_documents(docs, marks, trees=8).collect()
+    assert len(got) == len(rows) + 5 and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in got)
+    truth = {i: t for i, _, t in labels}
+    held = [r for r in got if r["held_out"] and r["doc_id"] in truth]
+    assert len(held) > 100 and sum(r["predicted"] == truth[r["doc_id"]] for r in held) >= 0.97 * len(held)
+    kept = toxicity.keep_clean(docs, marks, trees=8)
+    assert kept.columns == docs.columns
+    assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in got if not r["predicted"]}
+
+
+def test_toxicity_without_evidence(spark):
+    docs = brute.frame(spark, brute.texts()[:5])
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    one = spark.createDataFrame([(i, 1, 0) for i in range(5)], "doc_id long, quality int, toxic int")
+    assert [r["score"] for r in toxicity.score_documents(docs, none).collect()] == [0.0] * 5
+    assert [r["score"] for r in toxicity.score_documents(docs, one).collect()] == [0.0] * 5
+
+
+def test_empty_documents(spark):
+    docs = brute.frame(spark, [])
+    bench = spark.createDataFrame(brute.BENCHMARK, "item_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert pii.pii_digest(docs).count() == 0
+    assert decontamination.contamination(docs, bench).count() == 0
+    assert toxicity.score_documents(docs, none).count() == 0
