@@ -54,21 +54,17 @@ def detect_all_smells(a: Analysis) -> DataFrame:
 
 
 def _detector(name: str):
-    def detect(a: Analysis) -> DataFrame:
-        return a.smells_wide.select("repo_id", a.smells_wide[name].alias("score"))
+    def detect(analysis: DataFrame) -> DataFrame:
+        inputs = E.smell_inputs(analysis.select("repo_id").distinct(), analysis, S.functions(analysis), S.literals(analysis))
+        return E.smell_results(E.smell_scores_wide(inputs)).where(E.F.col("smell") == name).select(
+            "repo_id", "score", "description")
     detect.__name__ = f"detect_{name}"
-    detect.__doc__ = f"(repo_id, score) of the {name} detector."
+    detect.__doc__ = f"(repo_id, score, description) of the {name} detector over a per-file analysis table."
     return detect
 
 
-detect_excessive_comments = _detector("excessive_comments")
-detect_verbose_naming = _detector("verbose_naming")
-detect_boilerplate_heavy = _detector("boilerplate_heavy")
-detect_inconsistent_patterns = _detector("inconsistent_patterns")
-detect_dead_code_indicators = _detector("dead_code_indicators")
-detect_over_engineering = _detector("over_engineering")
-detect_missing_error_handling = _detector("missing_error_handling")
-detect_copy_paste_artifacts = _detector("copy_paste_artifacts")
+for _name in dims.SMELL_ORDER:
+    globals()[f"detect_{_name}"] = _detector(_name)
 
 
 def aggregate_metrics(a: Analysis) -> DataFrame:
@@ -109,7 +105,7 @@ def render_notes(a: Analysis) -> DataFrame:
 
 
 def generate_json_report(a: Analysis) -> DataFrame:
-    return R.report_json(a.repo_metrics, a.language_stats, a.smells)
+    return R.report_json(a.repo_metrics, a.language_stats, a.smells, a.analysis)
 
 
 __all__ = [n for n in dir() if n.startswith(("scan_", "get_", "analyze", "find_", "detect_", "aggregate_",

@@ -167,6 +167,15 @@ FUNCTION_PATTERNS: dict[str, list[str]] = {
     ],
 }
 
+# The JVM's regex engine recurses once per round of a repeated group, so `(?:\w+\s+)+` overflows
+# its stack on a line of a few thousand words. Spark uses these forms of the same languages: words and
+# blanks as one character class, which the engine walks in a loop (the optional modifiers are words too).
+JVM_FUNCTION_PATTERNS: dict[str, list[str]] = {
+    **FUNCTION_PATTERNS,
+    "Java": [r"^\s*\w[\w\s]*\s(\w+)\s*\([^)]*\)\s*(?:throws\s+\w+)?\s*\{"],
+    "C#": [r"^\s*\w[\w\s]*\s(\w+)\s*\([^)]*\)\s*\{"],
+}
+
 # --------------------------------------------------------------------------
 # FIXED VALUES: class-start patterns per language (group 1 is the name)
 # --------------------------------------------------------------------------
@@ -354,5 +363,3 @@ SMELL_DESCRIPTIONS: dict[str, str] = {
     "missing_error_handling": "Functions live in files without any error handling",
     "copy_paste_artifacts": "Long string literals repeated many times",
 }
-
-PRIORITIES: list[str] = ["CRITICAL", "HIGH", "MEDIUM", "LOW"]

@@ -1,8 +1,9 @@
 """Column-expression helpers shared by the operators.
 
-All helpers return built-in Spark expressions (no Python UDFs), so they stay
-inside whole-stage code generation. Literal regular expressions are compiled
-once per task by the generated code.
+All helpers return built-in Spark expressions (no Python UDFs): rows stay in the
+JVM. Inside the lambdas of higher-order functions Spark interprets expressions;
+only the projections around them are compiled. Literal regular expressions are
+compiled once per task.
 """
 
 from __future__ import annotations
@@ -14,12 +15,9 @@ from pyspark.sql import functions as F
 
 from . import dims
 
-UNICODE = "(?U)"
-
-
-def u(pattern: str) -> str:
-    """Spark form of a shared pattern: Unicode-aware \\w and \\s, as Python's re."""
-    return UNICODE + pattern
+def u(pattern: str, flags: str = "U") -> str:
+    """Spark form of a shared pattern: \\w and \\s as in Python's re, Unicode-aware and with \\x1c-\\x1f as blanks."""
+    return f"(?{flags})" + pattern.replace(r"\s", r"[\s\x1c-\x1f]")
 
 
 def strip(col: Column) -> Column:

@@ -151,13 +151,77 @@ def jaccard(a: Column, b: Column) -> Column:
         F.size(F.array_intersect(a, b)).cast("double") / F.size(F.array_union(a, b)).cast("double"))
 
 
+def signature_members(analysis: DataFrame) -> DataFrame:
+    """Eligible files with the signature that alone decides their similarity: language, code lines, names.
+
+    Files of equal signature are alike in every comparison, so only distinct signatures are compared.
+    """
+    names = F.to_json(F.struct("code_lines", F.array_sort("fnames").alias("f"), F.array_sort("cnames").alias("c")))
+    return signatures(analysis).withColumn("sig", F.md5(names))
+
+
+def distinct_signatures(members: DataFrame) -> DataFrame:
+    """One row per (repo_id, language, signature); ``path`` is its first file, ``n_files`` their number."""
+    return members.groupBy("repo_id", "language", "sig").agg(
+        F.min("path").alias("path"), F.count(F.lit(1)).alias("n_files"), F.first("code_lines").alias("code_lines"),
+        F.first("fnames").alias("fnames"), F.first("cnames").alias("cnames"))
+
+
+def near_signature_pairs(sigs: DataFrame, threshold: float = dims.NEAR_DUP_DEFAULT_THRESHOLD,
+                         class_split: float | None = None) -> DataFrame:
+    """Pairs of signatures that reach the threshold, a signature of several files with itself included.
+
+    (repo_id, language, path1, path2, n_files1, n_files2, n_pairs, line_sim, func_sim, class_sim, similarity);
+    ``path1 <= path2`` are the signatures' first files, ``n_pairs`` the pairs of files that they stand for.
+    """
+    wl, wf, wc = dims.SIMILARITY_WEIGHTS
+    within = sigs.where("n_files > 1").select(
+        "repo_id", "language", F.col("path").alias("path1"), F.col("path").alias("path2"),
+        F.col("n_files").alias("n_files1"), F.col("n_files").alias("n_files2"),
+        F.expr("n_files * (n_files - 1) div 2").alias("n_pairs"), F.lit(1.0).alias("line_sim"),
+        F.when(F.size("fnames") > 0, 1.0).otherwise(0.0).alias("func_sim"),
+        F.when(F.size("cnames") > 0, 1.0).otherwise(0.0).alias("class_sim"))
+    side = sigs.select("repo_id", "path", "n_files")
+    across = (_scored_pairs(sigs, threshold, class_split)
+              .join(side.withColumnsRenamed({"path": "path1", "n_files": "n_files1"}), ["repo_id", "path1"])
+              .join(side.withColumnsRenamed({"path": "path2", "n_files": "n_files2"}), ["repo_id", "path2"])
+              .withColumn("n_pairs", F.col("n_files1") * F.col("n_files2")).select(*within.columns))
+    sim = (F.col("line_sim") * F.lit(wl) + F.col("func_sim") * F.lit(wf) + F.col("class_sim") * F.lit(wc))
+    return within.unionByName(across).withColumn("similarity", sim).where(F.col("similarity") >= F.lit(threshold))
+
+
+def _expand(pairs: DataFrame, members: DataFrame, first: int | None = None) -> DataFrame:
+    """File pairs of signature pairs; with ``first``, only among the first files of each signature."""
+    files = members.select("repo_id", "language", "sig", F.col("path").alias("file"))
+    named = files.join(distinct_signatures(members).select("repo_id", "language", "sig", "path"),
+                       ["repo_id", "language", "sig"]).drop("sig")
+    if first is not None:
+        w = Window.partitionBy("repo_id", "language", "path").orderBy("file")
+        named = named.withColumn("r", F.row_number().over(w)).where(F.col("r") <= first).drop("r")
+    one = named.withColumnsRenamed({"path": "path1", "file": "a"})
+    two = named.withColumnsRenamed({"path": "path2", "file": "b"})
+    both = pairs.join(one, ["repo_id", "language", "path1"]).join(two, ["repo_id", "language", "path2"])
+    return both.where((F.col("path1") != F.col("path2")) | (F.col("a") < F.col("b"))).select(
+        "repo_id", "language", F.least("a", "b").alias("path1"), F.greatest("a", "b").alias("path2"),
+        "line_sim", "func_sim", "class_sim", "similarity")
+
+
 def near_duplicates(analysis: DataFrame, threshold: float = dims.NEAR_DUP_DEFAULT_THRESHOLD,
                     class_split: float | None = None) -> DataFrame:
-    """(repo_id, language, path1, path2, line_sim, func_sim, class_sim, similarity), path1 < path2."""
+    """(repo_id, language, path1, path2, line_sim, func_sim, class_sim, similarity), path1 < path2.
+
+    The full list of file pairs, which is quadratic in the files of a signature by definition; counts and
+    first-k lists come from :func:`near_signature_pairs` and never expand it.
+    """
+    members = signature_members(analysis)
+    return _expand(near_signature_pairs(distinct_signatures(members), threshold, class_split), members)
+
+
+def _scored_pairs(sigs: DataFrame, threshold: float, class_split: float | None) -> DataFrame:
+    """Pairs of different signatures that may reach the threshold, with their three similarities."""
     if threshold <= 0:
         raise ValueError("threshold must be > 0 (every pair would qualify)")
     wl, wf, wc = dims.SIMILARITY_WEIGHTS
-    sigs = signatures(analysis)
     if threshold > wl:
         # (i) class Jaccard >= c*; (ii) a side without classes: class term 0, so the function
         # Jaccard must reach t0; (iii) both sides with classes and class Jaccard < c*: t_f.
@@ -186,58 +250,30 @@ def near_duplicates(analysis: DataFrame, threshold: float = dims.NEAR_DUP_DEFAUL
     line_sim = (F.when((F.col("l1") == 0) & (F.col("l2") == 0), F.lit(1.0))
                 .when((F.col("l1") == 0) | (F.col("l2") == 0), F.lit(0.0))
                 .otherwise(lo.cast("double") / hi.cast("double")))
-    scored = scored.select(
+    return scored.select(
         "repo_id", "language", "path1", "path2",
         line_sim.alias("line_sim"), jaccard(F.col("f1"), F.col("f2")).alias("func_sim"),
         jaccard(F.col("c1"), F.col("c2")).alias("class_sim"))
-    sim = (F.col("line_sim") * F.lit(wl) + F.col("func_sim") * F.lit(wf)
-           + F.col("class_sim") * F.lit(wc))
-    return scored.withColumn("similarity", sim).where(F.col("similarity") >= F.lit(threshold))
-
-
-def near_duplicates_brute_force(analysis: DataFrame,
-                                threshold: float = dims.NEAR_DUP_DEFAULT_THRESHOLD) -> DataFrame:
-    """Reference formulation (all pairs of a language); for tests on small fixtures only."""
-    wl, wf, wc = dims.SIMILARITY_WEIGHTS
-    sigs = signatures(analysis)
-    a, b = sigs.alias("a"), sigs.alias("b")
-    j = a.join(b, (F.col("a.repo_id") == F.col("b.repo_id")) & (F.col("a.language") == F.col("b.language"))
-               & (F.col("a.path") < F.col("b.path")))
-    lo = F.least("a.code_lines", "b.code_lines").cast("double")
-    hi = F.greatest("a.code_lines", "b.code_lines").cast("double")
-    out = j.select(F.col("a.repo_id").alias("repo_id"), F.col("a.language").alias("language"),
-                   F.col("a.path").alias("path1"), F.col("b.path").alias("path2"),
-                   (lo / hi).alias("line_sim"), jaccard(F.col("a.fnames"), F.col("b.fnames")).alias("func_sim"),
-                   jaccard(F.col("a.cnames"), F.col("b.cnames")).alias("class_sim"))
-    sim = F.col("line_sim") * F.lit(wl) + F.col("func_sim") * F.lit(wf) + F.col("class_sim") * F.lit(wc)
-    return out.withColumn("similarity", sim).where(F.col("similarity") >= F.lit(threshold))
 
 
 # ---------------------------------------------------------------------------
 # combined list
 # ---------------------------------------------------------------------------
 
-def all_duplicates(analysis: DataFrame, threshold: float = dims.NEAR_DUP_DEFAULT_THRESHOLD) -> DataFrame:
-    """Exact groups then near pairs (near pairs equal to a two-file exact group removed).
-
-    Columns: repo_id, is_exact, similarity, file_1, file_2, n_files, group_key and
-    the order keys (kind_order, sim_order, lang_order) giving the list order:
-    exact groups by first path, then near pairs by similarity descending, ties
-    by the language's first path, then the two paths. Consumers sort by these
-    keys (a range-partitioned sort splits a hot repository across tasks).
-    """
-    groups = exact_groups(analysis)
-    near = near_duplicates(analysis, threshold)
-    pairs2 = groups.where(F.col("n_files") == 2).select(
+def _pairs_of_two(groups: DataFrame) -> DataFrame:
+    return groups.where(F.col("n_files") == 2).select(
         "repo_id", F.col("first_path").alias("path1"), F.col("last_path").alias("path2"))
-    near_kept = near.join(pairs2, ["repo_id", "path1", "path2"], "left_anti")
-    lang_first = (signatures(analysis).groupBy("repo_id", "language")
-                  .agg(F.min("path").alias("lang_order")))
+
+
+def _listed(groups: DataFrame, near: DataFrame, members: DataFrame) -> DataFrame:
+    """Exact groups, then near pairs that are no two-file exact group, with the keys of the list order."""
+    near_kept = near.join(_pairs_of_two(groups), ["repo_id", "path1", "path2"], "left_anti")
+    lang_first = members.groupBy("repo_id", "language").agg(F.min("path").alias("lang_order"))
     near_rows = near_kept.join(lang_first, ["repo_id", "language"]).select(
         "repo_id", F.lit(False).alias("is_exact"), "similarity",
         F.col("path1").alias("file_1"), F.col("path2").alias("file_2"),
         F.lit(2).cast("bigint").alias("n_files"),
-        F.concat_ws("|", "path1", "path2").alias("group_key"),
+        F.to_json(F.array("path1", "path2")).alias("group_key"),
         F.lit(1).alias("kind_order"), (-F.col("similarity")).alias("sim_order"), "lang_order")
     exact_rows = groups.select(
         "repo_id", F.lit(True).alias("is_exact"), F.lit(1.0).alias("similarity"),
@@ -248,19 +284,61 @@ def all_duplicates(analysis: DataFrame, threshold: float = dims.NEAR_DUP_DEFAULT
     return exact_rows.unionByName(near_rows)
 
 
+def all_duplicates(analysis: DataFrame, threshold: float = dims.NEAR_DUP_DEFAULT_THRESHOLD) -> DataFrame:
+    """Exact groups then near pairs (near pairs equal to a two-file exact group removed).
+
+    Columns: repo_id, is_exact, similarity, file_1, file_2, n_files, group_key and
+    the order keys (kind_order, sim_order, lang_order) giving the list order:
+    exact groups by first path, then near pairs by similarity descending, ties
+    by the language's first path, then the two paths. Consumers sort by these
+    keys (a range-partitioned sort splits a hot repository across tasks). The members
+    of a group of three files or more are those of its ``group_key`` in ``duplicate_members``.
+    """
+    return _listed(exact_groups(analysis), near_duplicates(analysis, threshold), signature_members(analysis))
+
+
 ORDER_KEYS = ["kind_order", "sim_order", "lang_order", "file_1", "file_2"]
 
 
-def duplicate_counts(dups: DataFrame) -> DataFrame:
-    """(repo_id, duplicate_groups, exact_groups, near_pairs)."""
-    return dups.groupBy("repo_id").agg(
-        F.count(F.lit(1)).alias("duplicate_groups"),
-        F.count_if(F.col("is_exact")).alias("exact_groups"),
-        F.count_if(~F.col("is_exact")).alias("near_pairs"))
+def first_duplicates(groups: DataFrame, pairs: DataFrame, members: DataFrame, k: int = 10) -> DataFrame:
+    """The first k exact groups and the first k near pairs of each repository, without expanding all pairs.
 
+    A pair among the first k of its two signatures has both files among their first k; within one
+    signature, a file can lose one partner to a two-file exact group.
+    """
+    rows = _listed(groups, _expand(pairs, members, first=k + 2), members)
+    w = Window.partitionBy("repo_id", "is_exact").orderBy(*ORDER_KEYS)
+    return rows.withColumn("kind_rank", F.row_number().over(w)).where(F.col("kind_rank") <= k)
 
-def first_k(dups: DataFrame, k: int, where: Column | None = None) -> DataFrame:
-    """The first k groups of each repository in list order, with their rank."""
-    d = dups if where is None else dups.where(where)
-    w = Window.partitionBy("repo_id").orderBy(*ORDER_KEYS)
-    return d.withColumn("group_rank", F.row_number().over(w)).where(F.col("group_rank") <= k)
+
+def duplicate_members(exact: DataFrame, pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """(repo_id, kind, group_key, path): every member of an exact group (key: md5) and of a signature that is
+    near another or holds several files (key: its first file)."""
+    sides = pairs.select("repo_id", "language", F.col("path1").alias("first")).unionByName(
+        pairs.select("repo_id", "language", F.col("path2").alias("first"))).distinct()
+    first = distinct_signatures(members).select("repo_id", "language", "sig", F.col("path").alias("first"))
+    near = members.select("repo_id", "language", "sig", "path").join(
+        first.join(sides, ["repo_id", "language", "first"]), ["repo_id", "language", "sig"])
+    return exact.select("repo_id", F.lit("exact").alias("kind"), F.col("md5").alias("group_key"), "path").unionByName(
+        near.select("repo_id", F.lit("near").alias("kind"), F.col("first").alias("group_key"), "path"))
+
+
+def duplicate_counts(repos: DataFrame, groups: DataFrame, pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """(repo_id, duplicate_groups, exact_groups, near_pairs) of every repository, by arithmetic on signatures.
+
+    Near pairs are the sum of ``n_pairs`` less the two-file exact groups whose pair is among them.
+    """
+    own = members.select("repo_id", "language", "sig", "path")
+    two = (_pairs_of_two(groups).join(own.withColumnRenamed("path", "path1"), ["repo_id", "path1"])
+           .join(own.withColumnRenamed("path", "path2"), ["repo_id", "path2", "language", "sig"]))
+    first = distinct_signatures(members).select("repo_id", "language", "sig", F.col("path").alias("first"))
+    within = pairs.where("path1 = path2").select("repo_id", "language", F.col("path1").alias("first"))
+    hidden = (two.join(first.join(within, ["repo_id", "language", "first"]), ["repo_id", "language", "sig"])
+              .groupBy("repo_id").agg(F.count(F.lit(1)).alias("hidden")))
+    exact = groups.groupBy("repo_id").agg(F.count(F.lit(1)).alias("exact_groups"))
+    near = pairs.groupBy("repo_id").agg(F.sum("n_pairs").alias("n_pairs"))
+    zero = F.lit(0).cast("bigint")
+    return (repos.select("repo_id").join(exact, "repo_id", "left").join(near, "repo_id", "left").join(hidden, "repo_id", "left")
+            .select("repo_id", F.coalesce("exact_groups", zero).alias("exact_groups"),
+                    (F.coalesce("n_pairs", zero) - F.coalesce("hidden", zero)).alias("near_pairs"))
+            .select("repo_id", (F.col("exact_groups") + F.col("near_pairs")).alias("duplicate_groups"), "exact_groups", "near_pairs"))

@@ -98,7 +98,7 @@ def with_line_records(files: DataFrame, text_col: str = "text",
                           F.lit(False)), F.lit("comment"))
          .otherwise(F.lit("code")))))
 
-    todo_re = "(?iu)" + dims.TODO_PATTERN
+    todo_re = u(dims.TODO_PATTERN, "iU")
 
     def record(z: Column, i: Column) -> Column:
         x = z["_base"]
@@ -132,7 +132,7 @@ def with_line_records(files: DataFrame, text_col: str = "text",
             F.when(~blank & has_quote,
                    F.regexp_extract_all(line, F.lit(dims.STRING_LITERAL_PATTERN), 1)).alias("literals"),
             (~blank & is_branch).alias("is_branch"),
-            F.when(code, _per_language(language, dims.FUNCTION_PATTERNS,
+            F.when(code, _per_language(language, dims.JVM_FUNCTION_PATTERNS,
                                        lambda p: first_group(line, p), _null_str())).alias("func_name"),
             F.when(code, _per_language(language, dims.CLASS_PATTERNS,
                                        lambda p: first_group(line, p), _null_str())).alias("class_name"),

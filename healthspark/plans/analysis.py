@@ -6,15 +6,17 @@
            -> file_facts / functions / classes / todos / imports / literals
            -> smells, duplicates, repo metrics, fixes, reports
 
-``file_analysis`` is read by many branches (smells, duplicates, metrics); pass
-``materialize="persist"`` (cache with lineage) or ``"write"`` (Parquet under the
-session's ``spark.checkpoint.dir``, cuts lineage) to compute it once.
+``file_analysis`` is read by many branches (smells, duplicates, metrics). With
+``materialize="write"`` (the default) it is written once, as Parquet under ``shared_dir``
+or else the session's ``spark.checkpoint.dir``, when the first branch asks for it; the
+caller may delete the folder afterwards. ``"persist"`` caches with lineage instead,
+``"none"`` recomputes it in each branch.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -35,16 +37,16 @@ from ..sources import corpus as C
 class Analysis:
     corpus: DataFrame
     extra_ignores: Sequence[str] = ()
-    materialize: str = "none"
+    materialize: str = "write"
     near_threshold: float = dims.NEAR_DUP_DEFAULT_THRESHOLD
     keep_lines: bool = False
     ai_generated: bool = True
     base_density: float = dims.DEFECT_DENSITY_BASE
-    _cache: dict = field(default_factory=dict, repr=False)
+    shared_dir: str | None = None
 
     def _reuse(self, df: DataFrame, name: str) -> DataFrame:
         """Materialise an intermediate that several downstream tables read (same mode as the analysis)."""
-        return materialize(df, name, self.materialize)
+        return materialize(df, name, self.materialize, self.shared_dir)
 
     # --- sources -----------------------------------------------------------
     @cached_property
@@ -62,15 +64,14 @@ class Analysis:
 
     @cached_property
     def scanned(self) -> DataFrame:
-        """Scanned files without the text column (cheap metadata)."""
-        return self.source_files.select("repo_id", "path", "extension", "language",
-                                        "is_test", "size_bytes")
+        """Scanned files without the text; reads no content if the corpus has ``size_bytes``."""
+        return C.scanned_files(self.corpus, self.extra_ignores)
 
     # --- per-file analysis --------------------------------------------------
     @cached_property
     def analysis(self) -> DataFrame:
         fa = S.file_analysis(self.source_files, keep_lines=self.keep_lines)
-        return materialize(fa, "file_analysis", self.materialize)
+        return materialize(fa, "file_analysis", self.materialize, self.shared_dir)
 
     @cached_property
     def file_facts(self) -> DataFrame:
@@ -105,7 +106,7 @@ class Analysis:
     # --- smells -------------------------------------------------------------
     @cached_property
     def smell_inputs(self) -> DataFrame:
-        return E.smell_inputs(self.analysis, self.functions, self.literals)
+        return E.smell_inputs(self.repos, self.analysis, self.functions, self.literals)
 
     @cached_property
     def smells_wide(self) -> DataFrame:
@@ -115,6 +116,10 @@ class Analysis:
     def smells(self) -> DataFrame:
         return E.smell_scores_long(self.smells_wide)
 
+    @cached_property
+    def smell_results(self) -> DataFrame:
+        return E.smell_results(self.smells_wide)
+
     @cached_property
     def smell_details(self) -> DataFrame:
         return E.smell_details(self.analysis, self.functions, self.classes, self.literals,
@@ -135,11 +140,30 @@ class Analysis:
 
     @cached_property
     def duplicates(self) -> DataFrame:
-        return self._reuse(D.all_duplicates(self.analysis, self.near_threshold), "duplicates")
+        """The full list, file pairs expanded; the tables below do without it."""
+        return D.all_duplicates(self.analysis, self.near_threshold)
+
+    @cached_property
+    def signature_members(self) -> DataFrame:
+        return self._reuse(D.signature_members(self.analysis), "signatures")
+
+    @cached_property
+    def signature_pairs(self) -> DataFrame:
+        return self._reuse(D.near_signature_pairs(D.distinct_signatures(self.signature_members), self.near_threshold),
+                           "signature_pairs")
+
+    @cached_property
+    def first_duplicates(self) -> DataFrame:
+        return self._reuse(D.first_duplicates(self.exact_groups, self.signature_pairs, self.signature_members),
+                           "first_duplicates")
+
+    @cached_property
+    def duplicate_members(self) -> DataFrame:
+        return D.duplicate_members(self.exact_members, self.signature_pairs, self.signature_members)
 
     @cached_property
     def duplicate_counts(self) -> DataFrame:
-        return D.duplicate_counts(self.duplicates)
+        return D.duplicate_counts(self.repos, self.exact_groups, self.signature_pairs, self.signature_members)
 
     # --- metrics --------------------------------------------------------------
     @cached_property
@@ -156,14 +180,22 @@ class Analysis:
     @cached_property
     def fixes(self) -> DataFrame:
         rules = G.fix_rules(self.repo_metrics, self.analysis, self.functions, self.todos,
-                            self.duplicates, self.exact_members, self.smells)
+                            self.first_duplicates, self.exact_members, self.smells)
         return G.number_fixes(rules)
 
+    @cached_property
+    def fix_files(self) -> DataFrame:
+        return G.fix_files(self.fixes, self.first_duplicates, self.exact_members)
+
+    @cached_property
+    def fix_plans(self) -> DataFrame:
+        return G.fix_plans(self.repo_metrics, self.fixes)
+
 
-def analyze(corpus: DataFrame, extra_ignores: Sequence[str] = (), materialize: str = "none",
+def analyze(corpus: DataFrame, extra_ignores: Sequence[str] = (), materialize: str = "write",
             near_threshold: float = dims.NEAR_DUP_DEFAULT_THRESHOLD,
             keep_lines: bool = False, ai_generated: bool = True,
-            base_density: float = dims.DEFECT_DENSITY_BASE) -> Analysis:
+            base_density: float = dims.DEFECT_DENSITY_BASE, shared_dir: str | None = None) -> Analysis:
     """Lazy bundle of every derived table of ``corpus`` (see the module docstring).
 
     Tunables: extra ignored directory names, the near-duplicate threshold and
@@ -171,7 +203,7 @@ def analyze(corpus: DataFrame, extra_ignores: Sequence[str] = (), materialize: s
     """
     return Analysis(corpus=corpus, extra_ignores=tuple(extra_ignores), materialize=materialize,
                     near_threshold=near_threshold, keep_lines=keep_lines,
-                    ai_generated=ai_generated, base_density=base_density)
+                    ai_generated=ai_generated, base_density=base_density, shared_dir=shared_dir)
 
 
 def longs(df: DataFrame) -> DataFrame:

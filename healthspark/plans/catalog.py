@@ -27,19 +27,19 @@ def query(name: str):
 
 
 def k1(spark: SparkSession, sf: str, **kw) -> Analysis:
-    kw.setdefault("materialize", "checkpoint")
+    kw.setdefault("materialize", "write")
     # the K1 builder is itself a SQL job: build the corpus once, every branch reads it
-    corpus = materialize(K.k1_corpus(spark, sf), "k1_corpus", "checkpoint")
+    corpus = materialize(K.k1_corpus(spark, sf), "k1_corpus", "write")
     return analyze(corpus, **kw)
 
 
 def k2(spark: SparkSession, sf: str, **kw) -> Analysis:
-    kw.setdefault("materialize", "checkpoint")
+    kw.setdefault("materialize", "write")
     return analyze(K.k2_corpus(spark, sf), **kw)
 
 
 def k3(spark: SparkSession, sf: str, **kw) -> Analysis:
-    kw.setdefault("materialize", "checkpoint")
+    kw.setdefault("materialize", "write")
     return analyze(K.k3_corpus(spark, sf), **kw)
 
 
@@ -180,7 +180,7 @@ def exact_duplicates(spark, sf):
 
 @query("exact_duplicates_docs")
 def exact_duplicates_docs(spark, sf):
-    return longs(analyze(K.k2_single_repo(spark, sf), materialize="checkpoint").exact_members)
+    return longs(analyze(K.k2_single_repo(spark, sf), materialize="write").exact_members)
 
 
 @query("near_duplicates")
@@ -198,6 +198,22 @@ def duplicate_summary(spark, sf):
     return longs(k1(spark, sf).duplicate_counts)
 
 
+@query("near_signature_pairs")
+def near_signature_pairs(spark, sf):
+    return longs(k1(spark, sf).signature_pairs)
+
+
+@query("duplicate_members")
+def duplicate_members(spark, sf):
+    return k1(spark, sf).duplicate_members
+
+
+@query("near_pairs_top10")
+def near_pairs_top10(spark, sf):
+    return longs(k1(spark, sf).first_duplicates.where("not is_exact").select(
+        "repo_id", F.col("kind_rank").alias("rank"), "file_1", "file_2", "similarity"))
+
+
 # ---------------------------------------------------------------------------
 # 2.5 smells
 # ---------------------------------------------------------------------------
@@ -212,6 +228,11 @@ def smell_scores(spark, sf):
     return longs(k1(spark, sf).smells)
 
 
+@query("smell_results")
+def smell_results(spark, sf):
+    return longs(k1(spark, sf).smell_results)
+
+
 @query("smell_scores_html")
 def smell_scores_html(spark, sf):
     return longs(k3(spark, sf).smells)
@@ -277,12 +298,13 @@ def functions_by_file(spark, sf):
 SUMMARY = ["repo_id", "total_files", "source_files", "test_files", "source_loc", "test_loc",
            "test_to_code_ratio", "total_functions", "total_classes", "feature_count",
            "feature_interactions", "estimated_defects", "health_score", "risk_level",
-           "duplicate_groups", "todos_count", "long_functions"]
+           "duplicate_groups", "todos_count", "long_functions", "smell_scores", "languages"]
 
 
 @query("repo_summary")
 def repo_summary(spark, sf):
-    return longs(k1(spark, sf).repo_metrics.select(*SUMMARY))
+    a = k1(spark, sf)
+    return longs(R.repo_summary(a.repo_metrics, a.language_stats, a.smells).select(*SUMMARY))
 
 
 # ---------------------------------------------------------------------------
@@ -308,6 +330,23 @@ def fix_plan_docs(spark, sf):
     return _fix_rows(k2(spark, sf).fixes)
 
 
+@query("fix_plan_one_repo")
+def fix_plan_one_repo(spark, sf):
+    # the whole code corpus as one repository, large enough for the size rule
+    corpus = materialize(K.k1_single_repo(spark, sf), "k1_one", "write")
+    return _fix_rows(analyze(corpus).fixes)
+
+
+@query("fix_files")
+def fix_files(spark, sf):
+    return longs(k1(spark, sf).fix_files)
+
+
+@query("fix_plans")
+def fix_plans(spark, sf):
+    return longs(k1(spark, sf).fix_plans)
+
+
 @query("fix_priority_counts")
 def fix_priority_counts(spark, sf):
     return longs(G.priority_counts(k1(spark, sf).fixes))
@@ -374,7 +413,7 @@ def metric_cards(spark, sf):
 
 @query("top_duplicates")
 def top_duplicates(spark, sf):
-    return longs(R.top_duplicates(k1(spark, sf).duplicates))
+    return longs(R.top_duplicates(k1(spark, sf).first_duplicates))
 
 
 @query("top_fixes")
@@ -386,7 +425,7 @@ def top_fixes(spark, sf):
 @query("report_json")
 def report_json(spark, sf):
     a = k1(spark, sf)
-    return R.report_json(a.repo_metrics, a.language_stats, a.smells)
+    return R.report_json(a.repo_metrics, a.language_stats, a.smells, a.analysis)
 
 
 @query("smell_details")

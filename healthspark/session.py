@@ -2,13 +2,11 @@
 
 Cluster jobs take their settings from the cluster; :func:`local_session` is for
 tests and the local benchmark only. :func:`checkpoint_dir` reads the shared
-folder the cluster names in ``spark.checkpoint.dir`` and only falls back to a
-scratch folder when the session has none (local tests).
+folder the cluster names in ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -31,57 +29,45 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
              .config("spark.driver.memory", "16g")
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder; create a scratch one only if none is set."""
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if current:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(current)
-        return current
-    scratch = tempfile.mkdtemp(prefix="healthspark-ckpt-")
-    sc.setCheckpointDir(scratch)
-    return scratch
+_LOCAL_DIRS: dict[str, str] = {}
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    return ensure_checkpoint_dir(spark)
+    """The folder named by ``spark.checkpoint.dir``, which driver and executors share.
+
+    Only a single-machine session (``local[...]``, as in tests) may do without: it gets a scratch
+    folder. On a cluster such a folder would be invisible to other machines, so the call raises.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = spark.conf.get("spark.app.id")
+    if app not in _LOCAL_DIRS:
+        _LOCAL_DIRS[app] = "file://" + tempfile.mkdtemp(prefix="healthspark-")
+    return _LOCAL_DIRS[app]
 
 
-def materialize(df: DataFrame, name: str, mode: str = "persist") -> DataFrame:
+def materialize(df: DataFrame, name: str, mode: str = "persist", base: str | None = None) -> DataFrame:
     """Reuse an intermediate table across the many branches that read it.
 
+    * ``write``: write Parquet under ``base`` (default: the session's shared folder) and read it back.
+      Cuts lineage, survives lost executors, and readers scan only the columns they need.
     * ``persist``: MEMORY_AND_DISK cache; lost blocks are recomputed from
       lineage if an executor dies.
-    * ``checkpoint``: reliable ``DataFrame.checkpoint`` into the session's
-      checkpoint folder (shared storage on a cluster): cuts lineage and gives
-      downstream plans a small leaf instead of the whole analysis plan.
-    * ``write``: write Parquet under the session's checkpoint folder and read it
-      back (same effect, columnar and readable by other jobs).
     * ``none``: return ``df`` unchanged.
     """
     if mode == "none":
         return df
     if mode == "persist":
         return df.persist(StorageLevel.MEMORY_AND_DISK)
-    if mode == "checkpoint":
-        try:
-            ensure_checkpoint_dir(df.sparkSession)
-        except Exception:  # noqa: BLE001 - no SparkContext access (e.g. a remote session)
-            pass
-        return df.checkpoint(eager=True)
     if mode == "write":
-        spark = df.sparkSession
-        base = checkpoint_dir(spark).rstrip("/")
-        path = f"{base}/{name}-{uuid.uuid4().hex}"
-        df.write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+        path = f"{(base or checkpoint_dir(df.sparkSession)).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
     raise ValueError(f"unknown materialize mode: {mode}")
-
-
-def env_cores(default: int = 8) -> int:
-    return int(os.environ.get("BENCH_CPUS", default))

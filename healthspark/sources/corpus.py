@@ -1,11 +1,12 @@
 """Corpus sources and the file-level scan (path rules, language, test flag).
 
-A *corpus* is any DataFrame ``(repo_id STRING, path STRING, content BINARY|STRING)``
+A *corpus* is any DataFrame ``(repo_id STRING, path STRING, content BINARY|STRING)``,
+optionally with ``size_bytes``,
 with ``path`` relative to its repository root and '/'-separated. A single code
 base is the special case of one ``repo_id``. Two ways to get one:
 
-* :func:`read_repo_tree` lists files with Spark's ``binaryFile`` source
-  (distributed listing, raw bytes, one row per file);
+* :func:`read_repo_tree` walks a directory tree in the executors (raw bytes,
+  one row per file);
 * :func:`corpus_from_table` adapts any table (Parquet, Delta, JDBC ...).
 
 :func:`source_files` applies the scan rules as column predicates, so the
@@ -15,6 +16,7 @@ base is the special case of one ``repo_id``. Two ways to get one:
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,60 +24,38 @@ from pyspark.sql import functions as F
 
 from ..functions import dims
 from ..functions.text import any_contains, lookup_map
+from .tree import TreeSource
 
 
-def read_repo_tree(spark: SparkSession, root: str, repo_id: str | None = None,
-                   path_glob: str | None = None) -> DataFrame:
-    """Corpus from a directory tree read with the ``binaryFile`` source.
+def read_repo_tree(spark: SparkSession, root: str, repo_id: str | None = None, content: bool = True,
+                   extra_ignores: Sequence[str] = (), shards: int = 256) -> DataFrame:
+    """Corpus of a directory tree: repo_id, path, size_bytes and, unless ``content`` is false, content.
 
-    With ``repo_id`` the whole tree is one repository; otherwise the first
-    directory level below ``root`` names the repository. A missing ``root``
-    raises Spark's own PATH_NOT_FOUND error.
+    With ``repo_id`` the whole tree is one repository; otherwise the first directory level below
+    ``root`` names the repository, and files directly in ``root`` belong to repository ``.``. Ignored
+    directories are never entered; files that the scan drops are listed but not read. ``root`` is a
+    local or mounted path, relative or not; a missing one raises when the corpus is read.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if path_glob:
-        reader = reader.option("pathGlobFilter", path_glob)
-    raw = reader.load(root)
-    base = root.rstrip("/")
-    # binaryFile paths are URIs (file:/..., hdfs://...): strip up to the root.
-    rel = F.regexp_replace(F.col("path"), r"^.*?" + _regex_quote(base.split("://")[-1]) + "/", "")
+    if "://" in root and not root.startswith("file://"):
+        raise ValueError("read_repo_tree walks mounted paths; load other stores as a table of files")
+    spark.dataSource.register(TreeSource)
+    reader = spark.read.format("repo_tree").options(
+        path=os.path.abspath(root.removeprefix("file://")), content=str(content).lower(), shards=str(shards),
+        ignored="\n".join([*dims.IGNORED_DIR_NAMES, *extra_ignores]), fragments="\n".join(dims.IGNORED_FILE_FRAGMENTS),
+        extensions="\n".join(dims.LANGUAGE_BY_EXTENSION))
     if repo_id is not None:
-        return raw.select(F.lit(repo_id).alias("repo_id"), rel.alias("path"),
-                          F.col("content"))
-    parts = F.split(rel, "/", 2)
-    return raw.select(F.element_at(parts, 1).alias("repo_id"),
-                      F.element_at(parts, 2).alias("path"),
-                      F.col("content")).where(F.col("path").isNotNull())
+        reader = reader.option("repo", repo_id)
+    corpus = reader.load()
+    return corpus if content else corpus.drop("content")
 
 
 def corpus_from_table(df: DataFrame, repo_col: str = "repo_id", path_col: str = "path",
                       content_col: str = "content") -> DataFrame:
+    """Adapts any table; a ``size_bytes`` column, if there is one, spares reading texts for their length."""
+    size = [F.col("size_bytes").cast("bigint")] if "size_bytes" in df.columns else []
     return df.select(F.col(repo_col).cast("string").alias("repo_id"),
                      F.col(path_col).cast("string").alias("path"),
-                     F.col(content_col).alias("content"))
-
-
-def ensure_partitions(corpus: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread a corpus with fewer input partitions than the cluster has cores.
-
-    Per-file analysis is CPU-bound. A corpus read from a few large files (one
-    Parquet row group, say) would otherwise run in a handful of tasks. Large
-    inputs have far more splits than cores and pass through unchanged (no
-    shuffle is added); small ones are hash-partitioned by file.
-    """
-    spark = corpus.sparkSession
-    try:
-        target = min_partitions or spark.sparkContext.defaultParallelism
-        current = corpus.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - sessions without RDD access: leave the plan as it is
-        return corpus
-    if current >= target:
-        return corpus
-    return corpus.repartition(target * 2, "repo_id", "path")
-
-
-def _regex_quote(s: str) -> str:
-    return "".join("\\" + c if c in r".^$*+?()[]{}|\\" else c for c in s)
+                     F.col(content_col).alias("content"), *size)
 
 
 # ---------------------------------------------------------------------------
@@ -131,7 +111,7 @@ def is_test(path: Column) -> Column:
     return by_dir | any_contains(F.lower(file_name(path)), dims.TEST_NAME_FRAGMENTS)
 
 
-def path_rules(corpus: DataFrame, extra_ignores: Sequence[str] = ()) -> DataFrame:
+def path_rules(corpus: DataFrame, extra_ignores: Sequence[str] = (), also: Sequence[Column] = ()) -> DataFrame:
     """Every corpus path with each scan predicate as a column (no content read)."""
     p = F.col("path")
     return corpus.select(
@@ -140,7 +120,7 @@ def path_rules(corpus: DataFrame, extra_ignores: Sequence[str] = ()) -> DataFram
         file_ignored(p).alias("file_ignored"),
         extension(p).alias("extension"),
         language(p).alias("language"),
-        is_test(p).alias("is_test"),
+        is_test(p).alias("is_test"), *also,
     ).withColumn("kept", ~F.col("dir_ignored") & ~F.col("file_ignored")
                  & F.col("language").isNotNull())
 
@@ -156,22 +136,33 @@ def source_files(corpus: DataFrame, extra_ignores: Sequence[str] = ()) -> DataFr
     content = F.col("content")
     is_bin_type = dict(corpus.dtypes).get("content") == "binary"
     raw = content if is_bin_type else content.cast("binary")
-    text = F.make_valid_utf8(content.cast("string")) if is_bin_type else content
+    text = F.make_valid_utf8(content.cast("string"))
     kept = corpus.where(~dir_ignored(p, extra_ignores) & ~file_ignored(p))
     return (kept.select(
         "repo_id", "path",
         extension(p).alias("extension"),
         language(p).alias("language"),
         is_test(p).alias("is_test"),
-        F.coalesce(F.octet_length(raw), F.lit(0)).cast("bigint").alias("size_bytes"),
+        _size(corpus).alias("size_bytes"),
         F.md5(raw).alias("md5"),
         text.alias("text"),
     ).where(F.col("language").isNotNull())
      .withColumn("is_binary", F.contains(F.col("text"), F.lit("\x00"))))
 
 
+def scanned_files(corpus: DataFrame, extra_ignores: Sequence[str] = ()) -> DataFrame:
+    """repo_id, path, extension, language, is_test, size_bytes of the files that the scan keeps."""
+    rules = path_rules(corpus, extra_ignores, also=[_size(corpus).alias("size_bytes")])
+    return rules.where("kept").select("repo_id", "path", "extension", "language", "is_test", "size_bytes")
+
+
+def _size(corpus: DataFrame) -> Column:
+    size = F.col("size_bytes") if "size_bytes" in corpus.columns else F.octet_length("content")
+    return F.coalesce(size, F.lit(0)).cast("bigint")
+
+
 def language_breakdown(files: DataFrame) -> DataFrame:
-    """Files, test files and bytes per (repo, language) — reads no content."""
+    """Files, test files and bytes per (repo, language); reads no content if the corpus has ``size_bytes``."""
     return files.groupBy("repo_id", "language").agg(
         F.count(F.lit(1)).alias("files"),
         F.count_if(F.col("is_test")).alias("test_files"),

@@ -6,7 +6,7 @@ all analysis happens later in the library's operators, which do not know how
 the rows were made.
 
 * **K1 "code"** (``lineitem``): one line of code per lineitem row, grouped into
-  files by part key, with line templates for nine languages. The line-level
+  files by part key, with line templates for eighteen languages. The line-level
   recipe is one SQL text that Spark and DuckDB both accept verbatim, so the
   DuckDB oracle rebuilds the identical corpus.
 * **K2 "documents as Markdown"** (``documents``): repo = source,
@@ -20,42 +20,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .corpus import ensure_partitions
-
-# Portable SQL (Spark SQL and DuckDB): one row per line of the K1 corpus.
-# Placeholders: {lineitem} = the lineitem relation.
+# Portable SQL (Spark SQL and DuckDB): one row per line of the K1 corpus. Every lineitem row is a line
+# of the file named by its part key; some files have copies under names of their own (one group
+# of 25), some an empty file beside them.
+# Placeholders: {lineitem} = the lineitem relation, {copies} = the copies of a line.
 K1_LINES_SQL = '''
-WITH li AS (
-  SELECT l_partkey AS p, l_orderkey AS o, CAST(l_linenumber AS BIGINT) AS ln,
+WITH src AS (
+  SELECT CASE WHEN l_partkey % 40 < 5 THEN l_partkey - l_partkey % 40 ELSE l_partkey END AS src,
+         l_partkey AS p, l_orderkey AS o, CAST(l_linenumber AS BIGINT) AS ln,
          l_suppkey AS s, CAST(l_quantity AS BIGINT) AS q
   FROM {lineitem}
-  WHERE l_partkey % 200 NOT IN (131, 132, 151, 171, 191)
-),
-src AS (
-  SELECT CASE WHEN p % 40 < 5 THEN p - p % 40 ELSE p END AS src, p, o, ln, s, q FROM li
 ),
 files AS (
-  SELECT src, src AS fid, p, o, ln, s, q FROM src
-  UNION ALL
-  SELECT src, src + 1 AS fid, p, o, ln, s, q FROM src WHERE src % 200 IN (130, 150, 170, 190)
-  UNION ALL
-  SELECT src, src + 2 AS fid, p, o, ln, s, q FROM src WHERE src % 400 = 130
-),
-numbered AS (
-  SELECT src, fid, o, ln, s, q,
+  SELECT *,
          CAST(FLOOR(src / 10) AS BIGINT) AS block,
-         ROW_NUMBER() OVER (PARTITION BY fid ORDER BY p, o, ln, s, q) AS line_no,
+         ROW_NUMBER() OVER (PARTITION BY src ORDER BY p, o, ln, s, q) AS line_no,
          (o * 7 + ln * 3 + s) % 24 AS k,
          (s + ln * 5 + o % 7) % 6 AS nk,
-         CAST(o % 13 AS VARCHAR(20)) AS v
-  FROM files
+         CAST(o % 13 AS VARCHAR(20)) AS v,
+         CASE WHEN src % 97 = 0 THEN -1 ELSE 0 END AS first_copy,
+         CASE WHEN src % 500 = 170 THEN 24 WHEN src % 400 = 130 THEN 2
+              WHEN src % 200 IN (130, 150, 170, 190) THEN 1 ELSE 0 END AS last_copy
+  FROM src
+),
+numbered AS (
+  SELECT src, src + copy AS fid, copy, o, ln, s, q, block, line_no, k, nk, v FROM files {copies}
 ),
 typed AS (
   SELECT *,
-    CASE (src * 5 + block) % 12
+    CASE (src * 5 + block) % 20
       WHEN 0 THEN 'py' WHEN 1 THEN 'py' WHEN 2 THEN 'py' WHEN 3 THEN 'js'
       WHEN 4 THEN 'ts' WHEN 5 THEN 'go' WHEN 6 THEN 'java' WHEN 7 THEN 'rb'
-      WHEN 8 THEN 'rs' WHEN 9 THEN 'md' WHEN 10 THEN 'R' ELSE 'dat' END AS lang,
+      WHEN 8 THEN 'rs' WHEN 9 THEN 'md' WHEN 10 THEN 'R' WHEN 11 THEN 'kt'
+      WHEN 12 THEN 'swift' WHEN 13 THEN 'cs' WHEN 14 THEN 'php' WHEN 15 THEN 'dart'
+      WHEN 16 THEN 'c' WHEN 17 THEN 'cpp' WHEN 18 THEN 'sh' ELSE 'dat' END AS lang,
     CASE WHEN ln % 2 = 0 THEN '    ' ELSE '' END AS ind,
     CASE nk
       WHEN 0 THEN 'load_data_' || v
@@ -71,13 +69,13 @@ typed AS (
   FROM numbered
 ),
 lines AS (
-  SELECT src, fid, block, repo_no, lang, line_no,
+  SELECT src, fid, copy, block, repo_no, lang, line_no,
     CASE
       WHEN k IN (0, 1) THEN CASE WHEN o % 3 = 0 THEN '   ' ELSE '' END
-      WHEN k = 2 THEN ind || CASE WHEN lang IN ('js', 'ts', 'go', 'java', 'rs') THEN '// ' ELSE '# ' END
+      WHEN k = 2 THEN ind || CASE WHEN lang IN ('py', 'rb', 'md', 'R', 'sh', 'dat') THEN '# ' ELSE '// ' END
                       || 'note about step ' || CAST(o AS VARCHAR(20))
       WHEN k = 3 AND repo_no % 4 <> 1 THEN ind
-                      || CASE WHEN lang IN ('js', 'ts', 'go', 'java', 'rs') THEN '// ' ELSE '# ' END
+                      || CASE WHEN lang IN ('py', 'rb', 'md', 'R', 'sh', 'dat') THEN '# ' ELSE '// ' END
                       || CASE o % 5 WHEN 0 THEN 'TODO: ' WHEN 1 THEN 'FIXME ' WHEN 2 THEN 'hack: '
                                     WHEN 3 THEN 'XXX ' ELSE 'Bug: ' END
                       || 'revisit case ' || CAST(q AS VARCHAR(20))
@@ -87,6 +85,7 @@ lines AS (
                       WHEN 'md' THEN '<!-- remark ' || v
                       WHEN 'R' THEN '# section ' || v
                       WHEN 'dat' THEN 'record ' || v
+                      WHEN 'sh' THEN '# section ' || v
                       ELSE ind || '/* begin notes ' || v END
       WHEN k = 5 THEN CASE lang
                       WHEN 'py' THEN ind || 'end of docstring"""'
@@ -94,6 +93,7 @@ lines AS (
                       WHEN 'md' THEN 'closing remark -->'
                       WHEN 'R' THEN 'x <- 1'
                       WHEN 'dat' THEN 'record end'
+                      WHEN 'sh' THEN 'x=1'
                       ELSE ind || 'end notes */' END
       WHEN k = 6 THEN CASE lang
                       WHEN 'py' THEN CASE WHEN s % 2 = 0 THEN 'import os'
@@ -105,6 +105,14 @@ lines AS (
                       WHEN 'java' THEN 'import java.util.List;'
                       WHEN 'rb' THEN 'require "json"'
                       WHEN 'rs' THEN 'use std::io;'
+                      WHEN 'kt' THEN 'import kotlin.math.max'
+                      WHEN 'swift' THEN 'import Foundation'
+                      WHEN 'cs' THEN 'using System.Text;'
+                      WHEN 'php' THEN CASE WHEN s % 2 = 0 THEN 'use App;' ELSE 'require "boot.php";' END
+                      WHEN 'dart' THEN 'import "dart:io";'
+                      WHEN 'c' THEN '#include <stdio.h>'
+                      WHEN 'cpp' THEN '#include <vector>'
+                      WHEN 'sh' THEN 'source ./lib.sh'
                       ELSE 'library(stats)' END
       WHEN k IN (7, 8) AND (long_file_header = 0 OR line_no <= 5) THEN CASE lang
                       WHEN 'py' THEN CASE WHEN o % 4 = 0 THEN 'async def ' ELSE 'def ' END || fname || '(arg):'
@@ -115,6 +123,14 @@ lines AS (
                       WHEN 'java' THEN '    public static int ' || fname || '(int a) {'
                       WHEN 'rb' THEN 'def ' || fname
                       WHEN 'rs' THEN 'pub fn ' || fname || '(a: i32) -> i32 {'
+                      WHEN 'kt' THEN CASE WHEN o % 4 = 0 THEN 'suspend fun ' ELSE 'fun ' END || fname || '(a: Int): Int {'
+                      WHEN 'swift' THEN CASE WHEN o % 4 = 0 THEN '    static func ' ELSE 'func ' END || fname || '(a: Int) -> Int {'
+                      WHEN 'cs' THEN '    public async Task ' || fname || '(int a) {'
+                      WHEN 'php' THEN CASE WHEN o % 4 = 0 THEN '    private static function ' ELSE 'function ' END || fname || '($a) {'
+                      WHEN 'dart' THEN CASE WHEN o % 4 = 0 THEN 'void ' ELSE '' END || fname || '(int a) async {'
+                      WHEN 'c' THEN 'int ' || fname || '(int a) {'
+                      WHEN 'cpp' THEN 'int ' || fname || '(int a) {'
+                      WHEN 'sh' THEN fname || '() {'
                       ELSE fname || ' <- function(x) {' END
       WHEN k = 9 AND o % 3 = 0 THEN CASE lang
                       WHEN 'py' THEN 'class ' || cname || ':'
@@ -124,11 +140,17 @@ lines AS (
                       WHEN 'java' THEN 'public class ' || cname || ' {'
                       WHEN 'rb' THEN 'class ' || cname
                       WHEN 'rs' THEN 'pub struct ' || cname || ' {'
+                      WHEN 'kt' THEN CASE WHEN o % 2 = 0 THEN 'data class ' ELSE 'class ' END || cname || '(val a: Int)'
+                      WHEN 'swift' THEN CASE WHEN o % 2 = 0 THEN 'struct ' ELSE 'class ' END || cname || ' {'
+                      WHEN 'cs' THEN 'public partial class ' || cname || ' {'
+                      WHEN 'php' THEN 'class ' || cname || ' {'
+                      WHEN 'dart' THEN 'class ' || cname || ' {'
+                      WHEN 'cpp' THEN 'class ' || cname || ' {'
                       ELSE 'setClass("' || cname || '")' END
       WHEN k = 10 THEN ind || CASE
                       WHEN lang IN ('py') THEN CASE o % 3 WHEN 0 THEN 'if value > ' || CAST(q AS VARCHAR(20)) || ':'
                                                            WHEN 1 THEN 'for item in items:' ELSE 'elif ready:' END
-                      WHEN lang IN ('rb', 'R', 'md', 'dat') THEN 'if value > ' || CAST(q AS VARCHAR(20))
+                      WHEN lang IN ('rb', 'R', 'md', 'sh', 'dat') THEN 'if value > ' || CAST(q AS VARCHAR(20))
                       ELSE CASE o % 3 WHEN 0 THEN 'if (value > ' || CAST(q AS VARCHAR(20)) || ') {'
                                       WHEN 1 THEN 'while (running) {' ELSE 'switch (mode) {' END END
       WHEN k = 11 AND (s + ln) % 3 = 0 THEN ind || CASE lang
@@ -139,6 +161,14 @@ lines AS (
                       WHEN 'java' THEN CASE WHEN o % 2 = 0 THEN 'try {' ELSE 'catch (Exception e) {' END
                       WHEN 'rb' THEN 'rescue StandardError'
                       WHEN 'rs' THEN 'let v = parse(x)?;'
+                      WHEN 'kt' THEN CASE WHEN o % 2 = 0 THEN 'try {' ELSE 'catch (e: Exception) {' END
+                      WHEN 'swift' THEN CASE WHEN o % 2 = 0 THEN 'do {' ELSE 'catch let error {' END
+                      WHEN 'cs' THEN CASE WHEN o % 2 = 0 THEN 'try {' ELSE 'catch (Exception e) {' END
+                      WHEN 'php' THEN 'catch (Exception $e) {'
+                      WHEN 'dart' THEN 'try {'
+                      WHEN 'c' THEN 'if (errno != 0) {'
+                      WHEN 'cpp' THEN 'try {'
+                      WHEN 'sh' THEN 'set -e'
                       ELSE 'tryCatch(run())' END
       WHEN k = 12 THEN ind || 'message = "the configured value for step '
                       || CAST(o % 40 AS VARCHAR(20)) || ' was rejected"'
@@ -148,11 +178,12 @@ lines AS (
                       WHEN 'ts' THEN 'router.post("/items", handler);'
                       WHEN 'go' THEN 'http.HandleFunc("/items", handler)'
                       WHEN 'rb' THEN 'get "/items"'
+                      WHEN 'php' THEN 'Route::get("/items", "Items@index");'
                       ELSE ind || 'route_' || v || ' = 1' END
       ELSE ind || CASE
                       WHEN lang IN ('js', 'ts', 'rs') THEN 'let value' || CAST(s AS VARCHAR(20)) || ' = ' || CAST(q AS VARCHAR(20)) || ';'
                       WHEN lang = 'go' THEN 'value' || CAST(s AS VARCHAR(20)) || ' := ' || CAST(q AS VARCHAR(20))
-                      WHEN lang = 'java' THEN 'int value' || CAST(s AS VARCHAR(20)) || ' = ' || CAST(q AS VARCHAR(20)) || ';'
+                      WHEN lang IN ('java', 'cs', 'c', 'cpp', 'dart') THEN 'int value' || CAST(s AS VARCHAR(20)) || ' = ' || CAST(q AS VARCHAR(20)) || ';'
                       WHEN lang = 'md' THEN 'Plain prose about item ' || CAST(s AS VARCHAR(20))
                       ELSE 'value_' || CAST(s AS VARCHAR(20)) || ' = ' || CAST(q AS VARCHAR(20)) END
     END AS line
@@ -168,64 +199,74 @@ SELECT
     WHEN fid % 7 = 3 THEN 'Pods/'
     WHEN fid % 7 = 4 THEN 'src/core/'
     ELSE 'src/' END
-  || 'mod_' || CAST(fid AS VARCHAR(20)) || '.' || lang AS path,
-  line_no,
-  line,
-  CASE WHEN src % 97 = 0 THEN 1 ELSE 0 END AS empty_file,
-  CASE WHEN src % 9 = 4 THEN chr(13) || chr(10) ELSE chr(10) END AS sep
+  || CASE WHEN copy < 0 THEN 'empty_' WHEN copy > 0 THEN 'copy_' ELSE 'mod_' END
+  || CAST(src AS VARCHAR(20)) || CASE WHEN copy > 0 THEN '_' || CAST(copy AS VARCHAR(20)) ELSE '' END
+  || '.' || lang AS path,
+  src, copy, line_no,
+  CASE WHEN copy < 0 THEN '' ELSE line END AS line,
+  CASE WHEN copy < 0 THEN '' WHEN src % 9 = 4 THEN chr(13) || chr(10) ELSE chr(10) END AS sep
 FROM lines
 '''
 
+#: One row per copy of a line: the only clause that the two dialects write differently.
+SPARK_COPIES = "LATERAL VIEW explode(sequence(first_copy, last_copy)) t AS copy"
+DUCKDB_COPIES = ", unnest(generate_series(first_copy, last_copy)) AS t(copy)"
+
+
+def _parts(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
 
 def k1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K1 line rows: repo_id, path, line_no, line, empty_file, sep."""
+    """K1 line rows: repo_id, path, src, copy, line_no, line, sep. Every lineitem row is a line of copy 0."""
     rel = f"parquet.`{sf_dir.rstrip('/')}/lineitem.parquet`"
-    return spark.sql(K1_LINES_SQL.replace("{lineitem}", rel))
+    return spark.sql(K1_LINES_SQL.replace("{lineitem}", rel).replace("{copies}", SPARK_COPIES))
 
 
 def k1_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K1 corpus (repo_id, path, content): lines joined in line order, each with its separator.
+    """K1 corpus (repo_id, path, content, size_bytes): lines joined in line order, each with its separator.
 
-    Builder only: per-file string assembly of the synthetic rows (one row per file
-    is the corpus schema); no analysis is done here.
+    Builder only: per-file string assembly of the synthetic rows (one row per file is the corpus
+    schema); no analysis is done here. One scan and one exchange: lines are numbered per source file,
+    and the grouping keys start with the same column.
     """
-    # partition the line rows by file first: the per-file assembly below then needs
-    # no further exchange, and AQE cannot coalesce the corpus into a single task
-    n = spark.sparkContext.defaultParallelism * 2
-    lines = k1_lines(spark, sf_dir).repartition(n, "repo_id", "path")
     joined = F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("line_no", F.concat("line", "sep").alias("l")))),
         lambda x: x["l"]), "")
-    return (lines.groupBy("repo_id", "path")
-            .agg(joined.alias("content"), F.max("empty_file").alias("empty_file"))
-            .select("repo_id", "path",
-                    F.when(F.col("empty_file") == 1, F.lit("")).otherwise(F.col("content"))
-                    .alias("content")))
+    return (k1_lines(spark, sf_dir).groupBy("src", "copy")
+            .agg(F.first("repo_id").alias("repo_id"), F.first("path").alias("path"), joined.alias("content"))
+            .select("repo_id", "path", "content", F.octet_length("content").cast("bigint").alias("size_bytes")))
+
+
+def k1_single_repo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1 as one repository: rules that need a large code base can fire."""
+    return k1_corpus(spark, sf_dir).select(
+        F.lit("all").alias("repo_id"), F.concat_ws("/", "repo_id", "path").alias("path"), "content", "size_bytes")
 
 
 def k2_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K2: documents as Markdown files, one repository per ``source``."""
     d = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    return ensure_partitions(d.select(
+    return d.select(
         F.col("source").alias("repo_id"),
         F.concat(F.col("lang"), F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"),
-        F.col("text").alias("content")))
+        F.col("text").alias("content")).repartition(_parts(spark), "repo_id", "path")
 
 
 def k2_single_repo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K2 as one repository (copies across sources become visible to exact-duplicate search)."""
     d = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    return ensure_partitions(d.select(
+    return d.select(
         F.lit("documents").alias("repo_id"),
         F.concat(F.col("source"), F.lit("/"), F.col("lang"), F.lit("/doc_"),
                  F.col("doc_id").cast("string"), F.lit(".md")).alias("path"),
-        F.col("text").alias("content")))
+        F.col("text").alias("content")).repartition(_parts(spark), "repo_id", "path")
 
 
 def k3_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K3: web pages as HTML files, one repository per first host label."""
     p = spark.read.parquet(f"{sf_dir.rstrip('/')}/pages.parquet")
-    return ensure_partitions(p.select(
+    return p.select(
         F.regexp_extract("url", r"^[A-Za-z]+://([^./:]+)", 1).alias("repo_id"),
         F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("path"),
-        F.col("html").alias("content")))
+        F.col("html").alias("content")).repartition(_parts(spark), "repo_id", "path")

@@ -66,11 +66,20 @@ oracle("all_duplicates", chain("k1", line_ctes(), dup_ctes()) +
        "SELECT repo_id, is_exact, similarity, file_1, file_2, CAST(n_files AS BIGINT) AS n_files, group_key, "
        "CAST(kind_order AS BIGINT) AS kind_order, CAST(sim_order AS DOUBLE) AS sim_order, lang_order FROM all_dups")
 oracle("duplicate_summary", chain("k1", line_ctes(), dup_ctes()) + "SELECT * FROM dup_counts")
+oracle("near_signature_pairs", chain("k1", line_ctes(), dup_ctes()) + "SELECT * FROM sig_pairs")
+oracle("duplicate_members", chain("k1", line_ctes(), dup_ctes()) + "SELECT * FROM dup_member_rows")
+oracle("near_pairs_top10", chain("k1", line_ctes(), dup_ctes()) + """
+SELECT * FROM (
+  SELECT repo_id, row_number() OVER (PARTITION BY repo_id ORDER BY sim_order, lang_order, file_1, file_2) AS rank,
+         file_1, file_2, similarity FROM all_dups WHERE NOT is_exact) WHERE rank <= 10""")
 
 # 2.5 smells ------------------------------------------------------------------------
 oracle("smell_inputs", chain("k1", line_ctes(), smell_ctes()) + "SELECT * FROM smell_inputs")
 oracle("smell_scores", chain("k1", line_ctes(), smell_ctes()) +
        "SELECT repo_id, smell, CAST(ordinal AS BIGINT) AS ordinal, score FROM smells_long")
+from .sql import smell_result_sql  # noqa: E402
+
+oracle("smell_results", chain("k1", line_ctes(), smell_ctes()) + smell_result_sql())
 oracle("smell_scores_html", chain("k3", line_ctes(), smell_ctes()) +
        "SELECT repo_id, smell, CAST(ordinal AS BIGINT) AS ordinal, score FROM smells_long")
 
@@ -100,7 +109,12 @@ oracle("functions_by_file", chain("k1", line_ctes()) +
 oracle("repo_summary", K1_ALL + """
 SELECT repo_id, total_files, source_files, test_files, source_loc, test_loc, test_to_code_ratio,
   total_functions, total_classes, feature_count, feature_interactions, estimated_defects, health_score,
-  risk_level, duplicate_groups, todos_count, long_functions FROM repo_metrics""")
+  risk_level, duplicate_groups, todos_count, long_functions, smell_scores, languages
+FROM repo_metrics LEFT JOIN (
+  SELECT repo_id, string_agg(smell || '=' || CAST(floor(score * 1000 + 0.5) AS BIGINT), ',' ORDER BY ordinal) AS smell_scores
+  FROM smells_long GROUP BY repo_id) USING (repo_id) LEFT JOIN (
+  SELECT repo_id, string_agg(language || '=' || n, ',' ORDER BY language) AS languages
+  FROM (SELECT repo_id, language, count(*) AS n FROM scanned GROUP BY ALL) GROUP BY repo_id) USING (repo_id)""")
 
 # 2.7 fix plan ------------------------------------------------------------------------
 from .sql import fix_ctes  # noqa: E402
@@ -109,6 +123,10 @@ K1_FIX = chain("k1", line_ctes(), smell_ctes(), dup_ctes(), metric_ctes(), fix_c
 oracle("fix_plan", K1_FIX + "SELECT * FROM fix_plan")
 oracle("fix_plan_docs", chain("k2", line_ctes(), smell_ctes(), dup_ctes(), metric_ctes(), fix_ctes())
        + "SELECT * FROM fix_plan")
+oracle("fix_files", K1_FIX + "SELECT * FROM fix_file_rows")
+oracle("fix_plans", K1_FIX + "SELECT * FROM fix_headers")
+oracle("fix_plan_one_repo", chain("k1one", line_ctes(), smell_ctes(), dup_ctes(), metric_ctes(), fix_ctes())
+       + "SELECT * FROM fix_plan")
 oracle("fix_priority_counts", K1_FIX + "SELECT repo_id, priority, count(*) AS fixes FROM fix_plan GROUP BY ALL")
 
 # 2.8 renderings, 2.9 report tables ---------------------------------------------------------
@@ -165,26 +183,25 @@ SELECT f.repo_id, f.fix_no, f.priority, f.title, m.fix_smells AS smells_over_hal
 FROM fix_plan f JOIN repo_metrics m ON m.repo_id = f.repo_id WHERE f.fix_no <= 3""")
 oracle("render_notes", K1_FIX + f"""
 , notes AS (
-  SELECT repo_id, string_agg('- **' || title || '**: ' || split_part(description, '.', 1) || '.', {NL} ORDER BY fix_no) AS body
+  SELECT repo_id, string_agg('- ' || title || ' (' || lower(priority) || '). ' || split_part(description, '.', 1) || '.', {NL} ORDER BY fix_no) AS body
   FROM fix_plan WHERE fix_no <= 5 GROUP BY repo_id
 )
-SELECT m.repo_id, '## Code health notes' || {NL2} || 'Health score: ' || {v('m.health_score')} || '/100 ('
-       || m.risk_level || ' risk). Key issues:' || {NL2} || coalesce(n.body, '- No critical issues detected') AS notes
+SELECT m.repo_id, '## State of the code' || {NL2} || 'Score ' || {v('m.health_score')} || ' of 100, risk '
+       || m.risk_level || '. Most pressing:' || {NL2} || coalesce(n.body, '- Nothing urgent was found') AS notes
 FROM repo_metrics m LEFT JOIN notes n ON n.repo_id = m.repo_id""")
 oracle("render_rules", K1_FIX + f"""
 , rl AS (
-  SELECT repo_id, string_agg(CASE WHEN priority = 'CRITICAL' THEN '- ALWAYS ' || lower(title) || ' before new features'
-                                  WHEN priority = 'HIGH' THEN '- PREFER fixing ' || lower(title) || ' over new code'
-                                  ELSE '- CONSIDER: ' || title END, {NL} ORDER BY fix_no) AS body
+  SELECT repo_id, string_agg(CASE WHEN priority = 'CRITICAL' THEN '- First of all: ' || lower(title)
+                                  WHEN priority = 'HIGH' THEN '- Ahead of new work: ' || lower(title)
+                                  ELSE '- When there is time: ' || lower(title) END, {NL} ORDER BY fix_no) AS body
   FROM fix_plan WHERE fix_no <= 5 GROUP BY repo_id
 )
-SELECT m.repo_id, '# Rules (health ' || {v('m.health_score')} || '/100, ' || m.risk_level || ' risk)' || {NL2}
-  || '## Priority fixes' || {NL2} || coalesce(r.body, '') || {NL2} || '## General' || {NL2}
+SELECT m.repo_id, '# Working rules (score ' || {v('m.health_score')} || ' of 100, risk ' || m.risk_level || ')' || {NL2}
+  || '## From the fix plan' || {NL2} || coalesce(r.body, '') || {NL2} || '## At all times' || {NL2}
   || CASE WHEN m.health_score < 60
-          THEN '- DO NOT add features until the issues above are fixed' || {NL} || '- ALWAYS write tests for new functions'
-               || {NL} || '- ALWAYS add error handling to new functions'
-          ELSE '- PREFER writing tests with new code' || {NL} || '- PREFER small, focused functions' END
-  || {NL} || '- NEVER create duplicate files' || {NL} || '- PREFER extending existing files' AS rules
+          THEN '- Hold new features back while the list above is open' || {NL} || '- Give each new function a test and a way to fail'
+          ELSE '- Let tests come in the same change as the code' || {NL} || '- One job per function' END
+  || {NL} || '- Look for existing code before adding a file' AS rules
 FROM repo_metrics m LEFT JOIN rl r ON r.repo_id = m.repo_id""")
 oracle("render_markdown", K1_FIX + f"""
 , fx AS (
@@ -214,3 +231,29 @@ from .sql import smell_detail_ctes  # noqa: E402
 oracle("smell_details", chain("k1", line_ctes(), smell_ctes(), smell_detail_ctes()) + "SELECT * FROM smell_details")
 oracle("smell_details_html", chain("k3", line_ctes(), smell_ctes(), smell_detail_ctes()) + "SELECT * FROM smell_details")
 oracle("content_hash", chain("k2", line_ctes()) + "SELECT repo_id, path, md5, size_bytes FROM file_facts")
+
+# the bounded JSON document: the same text, built piece by piece
+_num = "CAST(floor(({0}) * CAST(1000.0 AS DOUBLE) + CAST(0.5 AS DOUBLE)) AS BIGINT)"
+oracle("report_json", K1_MET + f""",
+lg AS (
+  SELECT repo_id, string_agg('"' || language || '":{{"files":' || files || ',"lines":' || lines || ',"test_files":' || tests || '}}', ',' ORDER BY language) AS t
+  FROM (SELECT s.repo_id, s.language, count(*) AS files, count_if(s.is_test) AS tests, CAST(coalesce(max(l.lines), 0) AS BIGINT) AS lines
+        FROM scanned s LEFT JOIN (SELECT repo_id, language, sum(code_lines) AS lines FROM file_facts GROUP BY ALL) l
+          ON l.repo_id = s.repo_id AND l.language = s.language GROUP BY s.repo_id, s.language) GROUP BY repo_id
+),
+sm AS (
+  SELECT repo_id, string_agg('"' || smell || '":' || {_num.format("score")}, ',' ORDER BY smell) AS t FROM smells_long GROUP BY repo_id
+),
+fl AS (SELECT repo_id, count(*) AS n FROM file_facts GROUP BY repo_id),
+iss AS (
+  SELECT repo_id, sum(todo_count) AS todos, any_value(0) AS z FROM file_facts GROUP BY repo_id
+),
+fi AS (SELECT repo_id, count_if(is_sensitive) AS s, count_if(is_long) AS l FROM functions GROUP BY repo_id)
+SELECT m.repo_id, '{{"meta":{{"tool":"healthspark","repository":"' || m.repo_id || '"}},"summary":{{"health_score":' || health_score
+  || ',"risk_level":"' || risk_level || '","total_files":' || total_files || ',"source_files":' || source_files || ',"test_files":' || test_files
+  || ',"total_loc":' || (source_loc + test_loc) || ',"source_loc":' || source_loc || ',"test_loc":' || test_loc
+  || ',"test_to_code_per_mille":' || {_num.format("test_to_code_ratio")} || ',"estimated_defects":' || estimated_defects || '}},"languages":{{'
+  || coalesce(lg.t, '') || '}},"smell_scores_per_mille":{{' || coalesce(sm.t, '') || '}},"files":' || coalesce(fl.n, 0)
+  || ',"issues":{{"todo":' || coalesce(iss.todos, 0) || ',"sensitive_function":' || coalesce(fi.s, 0) || ',"long_function":' || coalesce(fi.l, 0) || '}}}}' AS json
+FROM repo_metrics m LEFT JOIN lg ON lg.repo_id = m.repo_id LEFT JOIN sm ON sm.repo_id = m.repo_id
+LEFT JOIN fl ON fl.repo_id = m.repo_id LEFT JOIN iss ON iss.repo_id = m.repo_id LEFT JOIN fi ON fi.repo_id = m.repo_id""")

@@ -12,7 +12,7 @@ views (``lineitem``, ``documents``, ``pages``).
 from __future__ import annotations
 
 from healthspark.functions import dims
-from healthspark.sources.driver_corpora import K1_LINES_SQL
+from healthspark.sources.driver_corpora import DUCKDB_COPIES, K1_LINES_SQL
 
 
 def q(s: str) -> str:
@@ -55,11 +55,13 @@ def contains_any(expr: str, frags) -> str:
 
 def corpus_cte(kind: str) -> str:
     if kind == "k1":
-        lines = K1_LINES_SQL.replace("{lineitem}", "lineitem")
+        lines = K1_LINES_SQL.replace("{lineitem}", "lineitem").replace("{copies}", DUCKDB_COPIES)
         return (f"k1_lines AS ({lines}),\n"
-                "corpus AS (SELECT repo_id, path, CASE WHEN max(empty_file) = 1 THEN '' "
-                "ELSE string_agg(line || sep, '' ORDER BY line_no) END AS content "
-                "FROM k1_lines GROUP BY repo_id, path)")
+                "corpus AS (SELECT any_value(repo_id) AS repo_id, any_value(path) AS path, "
+                "string_agg(line || sep, '' ORDER BY line_no) AS content FROM k1_lines GROUP BY src, copy)")
+    if kind == "k1one":
+        return corpus_cte("k1").replace("any_value(repo_id) AS repo_id", "'all' AS repo_id").replace(
+            "any_value(path) AS path", "any_value(repo_id) || '/' || any_value(path) AS path")
     if kind == "k2":
         return ("corpus AS (SELECT source AS repo_id, lang || '/doc_' || CAST(doc_id AS VARCHAR) "
                 "|| '.md' AS path, text AS content FROM documents)")
@@ -244,6 +246,7 @@ def clamp(expr: str) -> str:
 def smell_ctes() -> str:
     exempt = qlist(dims.DEAD_CODE_EXEMPT_NAMES)[1:-1]
     return f"""
+repos AS (SELECT DISTINCT repo_id FROM corpus),
 fn_style AS (
   SELECT repo_id, CASE
     WHEN contains(name, '_') AND lower(name) = name AND upper(name) <> name THEN 'snake'
@@ -275,23 +278,23 @@ lit_sum AS (SELECT repo_id, sum(n) AS total_literals,
   count_if(n >= {dims.COPY_PASTE_MIN_OCCURRENCES} AND length(literal) > 20) AS repeated_patterns
   FROM lit_counts GROUP BY repo_id),
 smell_inputs AS (
-  SELECT f.repo_id,
-    CAST(f.total_code AS BIGINT) AS total_code, CAST(f.total_comments AS BIGINT) AS total_comments,
-    CAST(f.total_imports AS BIGINT) AS total_imports, CAST(f.total_functions AS BIGINT) AS total_functions,
-    CAST(f.total_classes AS BIGINT) AS total_classes,
+  SELECT r.repo_id,
+    CAST(coalesce(f.total_code, 0) AS BIGINT) AS total_code, CAST(coalesce(f.total_comments, 0) AS BIGINT) AS total_comments,
+    CAST(coalesce(f.total_imports, 0) AS BIGINT) AS total_imports, CAST(coalesce(f.total_functions, 0) AS BIGINT) AS total_functions,
+    CAST(coalesce(f.total_classes, 0) AS BIGINT) AS total_classes,
     CAST(coalesce(n.total_names, 0) AS BIGINT) AS total_names,
     CAST(coalesce(n.verbose_names, 0) AS BIGINT) AS verbose_names,
     CAST(coalesce(s.snake_names, 0) AS BIGINT) AS snake_names,
     CAST(coalesce(s.camel_names, 0) AS BIGINT) AS camel_names,
     CAST(coalesce(s.pascal_names, 0) AS BIGINT) AS pascal_names,
-    CAST(f.nontest_functions AS BIGINT) AS nontest_functions,
-    CAST(f.handled_functions AS BIGINT) AS handled_functions,
+    CAST(coalesce(f.nontest_functions, 0) AS BIGINT) AS nontest_functions,
+    CAST(coalesce(f.handled_functions, 0) AS BIGINT) AS handled_functions,
     CAST(coalesce(d.duplicate_definitions, 0) AS BIGINT) AS duplicate_definitions,
     CAST(coalesce(d.duplicate_names, 0) AS BIGINT) AS duplicate_names,
     CAST(coalesce(l.total_literals, 0) AS BIGINT) AS total_literals,
     CAST(coalesce(l.repeated_literals, 0) AS BIGINT) AS repeated_literals,
     CAST(coalesce(l.repeated_patterns, 0) AS BIGINT) AS repeated_patterns
-  FROM ff_sum f LEFT JOIN name_sum n USING (repo_id) LEFT JOIN style_sum s USING (repo_id)
+  FROM repos r LEFT JOIN ff_sum f USING (repo_id) LEFT JOIN name_sum n USING (repo_id) LEFT JOIN style_sum s USING (repo_id)
   LEFT JOIN dup_sum d USING (repo_id) LEFT JOIN lit_sum l USING (repo_id)
 ),
 smells_wide AS (
@@ -315,6 +318,26 @@ smells_long AS (
 )"""
 
 
+def smell_result_sql() -> str:
+    says = {
+        "excessive_comments": pct1("CASE WHEN total_code > 0 THEN total_comments / total_code ELSE 0.0 END") + " || '% comment lines per code line'",
+        "verbose_naming": f"{v('verbose_names')} || ' of ' || {v('total_names')} || ' names are long'",
+        "boilerplate_heavy": f"{v('total_imports')} || ' imports for ' || {v('total_functions')} || ' functions'",
+        "inconsistent_patterns":
+            f"CASE WHEN snake_names + camel_names + pascal_names < {dims.INCONSISTENT_MIN_NAMES} THEN 'too few names to compare styles' ELSE "
+            + pct1("greatest(snake_names, camel_names, pascal_names) / (snake_names + camel_names + pascal_names)")
+            + " || '% of names follow the main style' END",
+        "dead_code_indicators": f"{v('duplicate_names')} || ' names defined repeatedly'",
+        "over_engineering": f"{v('total_classes')} || ' classes in ' || {v('total_code')} || ' code lines'",
+        "missing_error_handling": f"{v('nontest_functions - handled_functions')} || ' of ' || {v('nontest_functions')} "
+                                  "|| ' functions in files that handle no error'",
+        "copy_paste_artifacts": f"{v('repeated_patterns')} || ' literals used again and again'",
+    }
+    return " UNION ALL ".join(
+        f"SELECT repo_id, {q(x)} AS smell, CAST({i + 1} AS BIGINT) AS ordinal, CAST({x} AS DOUBLE) AS score, {says[x]} AS description "
+        "FROM smells_wide" for i, x in enumerate(dims.SMELL_ORDER))
+
+
 def dup_ctes(threshold: float = dims.NEAR_DUP_DEFAULT_THRESHOLD) -> str:
     wl, wf, wc = dims.SIMILARITY_WEIGHTS
     return f"""
@@ -379,13 +402,36 @@ all_dups AS (
          0 AS kind_order, -1.0 AS sim_order, '' AS lang_order
   FROM exact_groups
   UNION ALL
-  SELECT n.repo_id, false, n.similarity, n.path1, n.path2, 2, n.path1 || '|' || n.path2,
+  SELECT n.repo_id, false, n.similarity, n.path1, n.path2, 2, CAST(to_json([n.path1, n.path2]) AS VARCHAR),
          1, -n.similarity, l.lang_order
   FROM near_kept n JOIN lang_first l ON l.repo_id = n.repo_id AND l.language = n.language
 ),
 dup_counts AS (
-  SELECT repo_id, count(*) AS duplicate_groups, count_if(is_exact) AS exact_groups,
-         count_if(NOT is_exact) AS near_pairs FROM all_dups GROUP BY repo_id
+  SELECT r.repo_id, count(d.file_1) AS duplicate_groups, count(CASE WHEN d.is_exact THEN 1 END) AS exact_groups,
+         count(CASE WHEN NOT d.is_exact THEN 1 END) AS near_pairs
+  FROM (SELECT DISTINCT repo_id FROM corpus) r LEFT JOIN all_dups d ON d.repo_id = r.repo_id GROUP BY r.repo_id
+),
+sig AS (
+  SELECT e.repo_id, e.path, e.language, min(e.path) OVER w AS first, count(*) OVER w AS n_files
+  FROM (SELECT e.*, coalesce(f.x, []) AS fx, coalesce(c.x, []) AS cx FROM eligible e
+        LEFT JOIN (SELECT repo_id, path, list_sort(list(name)) AS x FROM fset GROUP BY ALL) f ON f.repo_id = e.repo_id AND f.path = e.path
+        LEFT JOIN (SELECT repo_id, path, list_sort(list(name)) AS x FROM cset GROUP BY ALL) c ON c.repo_id = e.repo_id AND c.path = e.path) e
+  WINDOW w AS (PARTITION BY e.repo_id, e.language, e.code_lines, e.fx, e.cx)
+),
+sig_pairs AS (
+  SELECT n.repo_id, n.language, least(a.first, b.first) AS path1, greatest(a.first, b.first) AS path2,
+         any_value(CASE WHEN a.first <= b.first THEN a.n_files ELSE b.n_files END) AS n_files1,
+         any_value(CASE WHEN a.first <= b.first THEN b.n_files ELSE a.n_files END) AS n_files2,
+         count(*) AS n_pairs, any_value(line_sim) AS line_sim, any_value(func_sim) AS func_sim,
+         any_value(class_sim) AS class_sim, any_value(similarity) AS similarity
+  FROM near n JOIN sig a ON a.repo_id = n.repo_id AND a.path = n.path1 JOIN sig b ON b.repo_id = n.repo_id AND b.path = n.path2
+  GROUP BY n.repo_id, n.language, least(a.first, b.first), greatest(a.first, b.first)
+),
+dup_member_rows AS (
+  SELECT repo_id, 'exact' AS kind, md5 AS group_key, path FROM exact_members
+  UNION ALL
+  SELECT DISTINCT s.repo_id, 'near', s.first, s.path FROM sig s JOIN sig_pairs p
+    ON p.repo_id = s.repo_id AND p.language = s.language AND (p.path1 = s.first OR p.path2 = s.first)
 )"""
 
 
@@ -397,7 +443,6 @@ def metric_ctes() -> str:
     risk = " ".join(f"WHEN health_score >= {f} THEN {q(n)}" for f, n in dims.RISK_LEVELS)
     density = dims.DEFECT_DENSITY_BASE * dims.AI_DEFECT_MULTIPLIER
     return f"""
-repos AS (SELECT DISTINCT repo_id FROM corpus),
 fcounts AS (SELECT repo_id, count(*) AS total_files, count_if(NOT is_test) AS source_files,
   count_if(is_test) AS test_files FROM scanned GROUP BY repo_id),
 fn_issue AS (
@@ -506,7 +551,7 @@ g2_rank AS (
   WHERE NOT f.is_test AND m.test_to_code_ratio >= 0.1 AND m.test_to_code_ratio < 0.5
 ),
 g2 AS (
-  SELECT g.repo_id, 2 AS rule_order, 'tests_moderate' AS rule, 'HIGH' AS priority, 'Raise test coverage' AS title,
+  SELECT g.repo_id, 2 AS rule_order, 'tests_moderate' AS rule, 'HIGH' AS priority, 'Close the gap in test code' AS title,
     'Test ratio is ' || {pct1('any_value(m.test_to_code_ratio)')} || '% against a target of 80%: about '
       || {v('CAST(floor(any_value(m.source_loc) * CAST(0.8 AS DOUBLE)) AS BIGINT) - any_value(m.test_loc)')} || ' more test lines are needed.' AS description,
     'Test coverage is ' || {pct1('any_value(m.test_to_code_ratio)')} || '%; add roughly '
@@ -539,39 +584,32 @@ dup_ranked AS (
          row_number() OVER (PARTITION BY repo_id, is_exact ORDER BY kind_order, sim_order, lang_order, file_1, file_2) AS kind_rank
   FROM all_dups
 ),
-dup_members AS (
-  SELECT d.repo_id, d.group_rank, d.kind_rank, d.n_files, m.path,
-         row_number() OVER (PARTITION BY d.repo_id, d.group_key ORDER BY m.path) AS member_rank
-  FROM dup_ranked d JOIN exact_members m ON m.repo_id = d.repo_id AND m.md5 = d.group_key
-  WHERE d.is_exact AND d.group_rank <= 10
-),
 dup_lines AS (
-  SELECT repo_id, kind_rank AS rank, 'Exact copies ' || {v('kind_rank')} || ': '
-         || string_agg(path, ', ' ORDER BY member_rank)
-         || CASE WHEN any_value(n_files) > 20 THEN ' and ' || {v('any_value(n_files) - 20')} || ' more' ELSE '' END AS l
-  FROM dup_members WHERE kind_rank <= 3 AND member_rank <= 20 GROUP BY repo_id, kind_rank
+  SELECT repo_id, kind_rank AS rank, '- ' || {v('n_files')} || ' equal files, group ' || group_key || ', the first being ' || file_1 AS l
+  FROM dup_ranked WHERE is_exact AND kind_rank <= 3
   UNION ALL
-  SELECT repo_id, kind_rank + 3, 'Near copies (' || {pct0('similarity')} || '% similar): ' || file_1 || ', ' || file_2
+  SELECT repo_id, kind_rank + 3, '- ' || file_1 || ' and ' || file_2 || ' agree to ' || {pct0('similarity')} || '%'
   FROM dup_ranked WHERE NOT is_exact AND kind_rank <= 2
 ),
 dup_flat AS (
-  SELECT repo_id, group_rank, member_rank, path FROM dup_members WHERE member_rank <= 20
-  UNION ALL SELECT repo_id, group_rank, 1, file_1 FROM dup_ranked WHERE NOT is_exact AND group_rank <= 10
-  UNION ALL SELECT repo_id, group_rank, 2, file_2 FROM dup_ranked WHERE NOT is_exact AND group_rank <= 10
+  SELECT d.repo_id, d.group_rank, m.path FROM dup_ranked d
+  JOIN exact_members m ON m.repo_id = d.repo_id AND m.md5 = d.group_key WHERE d.is_exact AND d.group_rank <= 10
+  UNION ALL SELECT repo_id, group_rank, file_1 FROM dup_ranked WHERE NOT is_exact AND group_rank <= 10
+  UNION ALL SELECT repo_id, group_rank, file_2 FROM dup_ranked WHERE NOT is_exact AND group_rank <= 10
 ),
 dup_aff AS (
   SELECT repo_id, string_agg(path, {NL} ORDER BY rk) AS affected FROM (
-    SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY group_rank, member_rank) AS rk FROM dup_flat)
+    SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY group_rank, path) AS rk FROM dup_flat)
   WHERE rk <= 10 GROUP BY repo_id
 ),
 dup_txt AS (SELECT repo_id, string_agg(l, {NL} ORDER BY rank) AS evidence FROM dup_lines GROUP BY repo_id),
 g4 AS (
   SELECT m.repo_id, 4 AS rule_order, 'duplicates' AS rule, 'HIGH' AS priority,
-    'Consolidate ' || {v('m.duplicate_groups')} || ' duplicate file groups' AS title,
-    'Some files are copies or near copies of each other. Keep one version of each.' AS description,
-    'Merge each group below into one canonical file and update every reference:' || {NL2}
-      || coalesce(t.evidence, '') || {NL2} || 'Then run the tests to confirm nothing broke.' AS prompt,
-    a.affected, 'Search for broken imports after merging.' AS verification
+    'Keep one file of each of ' || {v('m.duplicate_groups')} || ' sets of copies' AS title,
+    'The same code lives in several files. Every change has to be made more than once.' AS description,
+    'Reduce each set to one file (all files of a set: table fix_files) and point its users there:' || {NL2}
+      || coalesce(t.evidence, '') || {NL2} || 'The test suite has to pass as before.' AS prompt,
+    a.affected, 'No reference names a file that is gone.' AS verification
   FROM fx_m m LEFT JOIN dup_txt t ON t.repo_id = m.repo_id LEFT JOIN dup_aff a ON a.repo_id = m.repo_id
   WHERE m.duplicate_groups > 0
 ),
@@ -580,23 +618,23 @@ g5_rank AS (
 ),
 g5 AS (
   SELECT repo_id, 5 AS rule_order, 'long_functions' AS rule, 'MEDIUM' AS priority,
-    'Split ' || {v('count(*)')} || ' long functions' AS title,
-    'Functions over 80 lines are hard to test and maintain. Break them into helpers.' AS description,
-    'Refactor these functions into smaller, single-purpose helpers:' || {NL2}
+    {v('count(*)')} || ' functions are too long' AS title,
+    'More than 80 lines in one function usually hold several jobs. Give each job its own function.' AS description,
+    'Take these apart, job by job:' || {NL2}
       || string_agg('- ' || path || ': ' || name || '() is ' || {v('line_count')} || ' lines (lines '
                     || {v('start_line')} || '-' || {v('end_line')} || ')', {NL} ORDER BY rank)
       || {NL2} || 'Start with ' || arg_min(name, rank) || '() in ' || arg_min(path, rank) || '.' AS prompt,
     string_agg(DISTINCT path, {NL} ORDER BY path) AS affected,
-    'Each function should end up under 50 lines.' AS verification
+    'None of the listed functions exceeds the limit any more.' AS verification
   FROM g5_rank WHERE rank <= 5 GROUP BY repo_id
 ),
 g6 AS (
   SELECT repo_id, 6 AS rule_order, 'smells' AS rule, 'MEDIUM' AS priority,
-    'Address ' || {v('count(*)')} || ' code smell patterns' AS title,
-    'Several heuristics flag patterns typical of generated code. Review and clean them up.' AS description,
-    'Review these patterns and simplify the code they point at:' || {NL2}
+    {v('count(*)')} || ' smell scores are high' AS title,
+    'These scores point at habits of generated code. Look at the evidence of each.' AS description,
+    'Look into each of these and simplify where it is justified:' || {NL2}
       || string_agg('- ' || smell || ' (' || {pct0('score')} || '%): ' || ({desc_map}), {NL} ORDER BY score DESC, ordinal) AS prompt,
-    '' AS affected, 'Scan again and compare the smell scores.' AS verification
+    '' AS affected, 'A new scan shows lower scores.' AS verification
   FROM smells_long WHERE score > {dims.FIX_SMELL_SCORE} GROUP BY repo_id
 ),
 g7_rank AS (
@@ -605,19 +643,19 @@ g7_rank AS (
 ),
 g7 AS (
   SELECT g.repo_id, 7 AS rule_order, 'todos' AS rule, 'LOW' AS priority,
-    'Triage ' || {v('any_value(m.todos_count)')} || ' TODO/FIXME markers' AS title,
-    'Open markers point at unfinished or fragile code. Resolve or remove them.' AS description,
+    'Work through ' || {v('any_value(m.todos_count)')} || ' open markers' AS title,
+    'Each marker is a decision that someone put off. Take it or drop it.' AS description,
     'There are ' || {v('any_value(m.todos_count)')} || ' markers; the first ' || {v('count(*)')} || ':' || {NL2}
       || string_agg('- ' || g.path || ':' || {v('g.line_no')} || ': '
                     || CASE WHEN length(g.content) > 60 THEN substr(g.content, 1, 60) || '...' ELSE g.content END,
                     {NL} ORDER BY g.rank)
-      || {NL2} || 'Fix, file or delete each one; FIXME and BUG first.' AS prompt,
+      || {NL2} || 'Start with those that report faults.' AS prompt,
     string_agg(DISTINCT g.path, {NL} ORDER BY g.path) AS affected,
-    'Count the markers again.' AS verification
+    'A new scan finds fewer markers.' AS verification
   FROM g7_rank g JOIN fx_m m ON m.repo_id = g.repo_id WHERE g.rank <= 15 GROUP BY g.repo_id
 ),
 g8 AS (
-  SELECT repo_id, 8 AS rule_order, 'size' AS rule, 'LOW' AS priority, 'Reduce code base size' AS title,
+  SELECT repo_id, 8 AS rule_order, 'size' AS rule, 'LOW' AS priority, 'The code base is large' AS title,
     {v('source_loc')} || ' source lines: look for dead code and merge utilities.' AS description,
     'This code base has ' || {v('source_loc')} || ' source lines in ' || {v('source_files')}
       || ' source files. Remove dead code, merge similar utilities and drop generated files.' AS prompt,
@@ -632,6 +670,17 @@ fix_plan AS (
   SELECT repo_id, CAST(row_number() OVER (PARTITION BY repo_id ORDER BY rule_order) AS BIGINT) AS fix_no,
          rule, priority, title, description, prompt, affected, verification
   FROM fix_rules
+),
+fix_file_rows AS (
+  SELECT f.repo_id, f.fix_no, d.group_rank, d.path FROM fix_plan f JOIN (
+    SELECT d.repo_id, d.kind_rank AS group_rank, m.path FROM dup_ranked d
+    JOIN exact_members m ON m.repo_id = d.repo_id AND m.md5 = d.group_key WHERE d.is_exact AND d.kind_rank <= 3
+    UNION ALL SELECT repo_id, kind_rank + 3, unnest([file_1, file_2]) FROM dup_ranked WHERE NOT is_exact AND kind_rank <= 2) d
+  ON d.repo_id = f.repo_id WHERE f.rule = 'duplicates'
+),
+fix_headers AS (
+  SELECT m.repo_id, m.health_score, m.risk_level, count(f.fix_no) AS fixes
+  FROM repo_metrics m LEFT JOIN fix_plan f ON f.repo_id = m.repo_id GROUP BY ALL
 )"""
 
 
@@ -643,7 +692,7 @@ def smell_detail_ctes() -> str:
 sd_rows AS (
   SELECT f.repo_id, 'excessive_comments' AS smell,
          row_number() OVER (PARTITION BY f.repo_id ORDER BY {ratio} DESC, f.path) AS rank,
-         f.path AS subject, {ratio} AS value, f.path || ': ' || {pct1(ratio)} || '% comments' AS detail
+         f.path AS subject, {ratio} AS value, f.path || ': ' || {pct1(ratio)} || '% comment lines' AS detail
   FROM file_facts f JOIN smells_wide w ON w.repo_id = f.repo_id
   WHERE f.code_lines > 0 AND {ratio} > {dims.EXCESSIVE_COMMENT_RATIO} AND w.excessive_comments > 0.5
   UNION ALL
@@ -654,35 +703,41 @@ sd_rows AS (
   WHERE length(name) > {dims.VERBOSE_NAME_LENGTH}
   UNION ALL
   SELECT f.repo_id, 'boilerplate_heavy', row_number() OVER (PARTITION BY f.repo_id ORDER BY f.path),
-         f.path, {imp}, f.path || ': ' || {v('f.import_count')} || ' imports, ' || {v('f.function_count')} || ' functions'
+         f.path, {imp}, f.path || ': ' || {v('f.import_count')} || ' import lines for ' || {v('f.function_count')} || ' functions'
   FROM file_facts f JOIN smells_wide w ON w.repo_id = f.repo_id
   WHERE f.function_count > 0 AND {imp} > {dims.BOILERPLATE_IMPORT_RATIO} AND w.boilerplate_heavy > 0.3
   UNION ALL
   SELECT repo_id, 'dead_code_indicators',
          row_number() OVER (PARTITION BY repo_id ORDER BY n DESC, fpath, fline), name, CAST(n AS DOUBLE),
-         name || ': defined ' || {v('n')} || ' times'
+         {v('n')} || ' definitions of ' || name
   FROM (SELECT repo_id, name, count(*) AS n, arg_min(path, (path, start_line)) AS fpath,
                arg_min(start_line, (path, start_line)) AS fline FROM functions GROUP BY repo_id, name)
   WHERE n > 1 AND name NOT IN ({exempt})
   UNION ALL
   SELECT f.repo_id, 'over_engineering', row_number() OVER (PARTITION BY f.repo_id ORDER BY f.path),
          f.path, CAST(f.class_count AS DOUBLE),
-         f.path || ': ' || {v('f.class_count')} || ' classes in ' || {v('f.code_lines')} || ' lines'
+         f.path || ' holds ' || {v('f.class_count')} || ' classes on ' || {v('f.code_lines')} || ' code lines'
   FROM file_facts f JOIN smells_wide w ON w.repo_id = f.repo_id
   WHERE f.class_count > 3 AND f.code_lines < 200 AND w.over_engineering > 0.3
   UNION ALL
   SELECT repo_id, 'missing_error_handling', row_number() OVER (PARTITION BY repo_id ORDER BY function_count DESC, path),
          path, CAST(function_count AS DOUBLE),
-         path || ': ' || {v('function_count')} || ' functions without error handling'
+         path || ' handles no errors in ' || {v('function_count')} || ' functions'
   FROM file_facts WHERE NOT is_test AND NOT has_error_handling AND function_count > 0
   UNION ALL
   SELECT repo_id, 'copy_paste_artifacts',
          row_number() OVER (PARTITION BY repo_id ORDER BY n DESC, fpath, fline, literal),
          substr(literal, 1, 40), CAST(n AS DOUBLE),
-         '"' || substr(literal, 1, 40) || '..." repeated ' || {v('n')} || ' times'
+         {v('n')} || ' uses of a literal starting ' || substr(literal, 1, 40)
   FROM (SELECT repo_id, literal, count(*) AS n, arg_min(path, (path, line_no)) AS fpath,
                arg_min(line_no, (path, line_no)) AS fline FROM literals GROUP BY repo_id, literal)
   WHERE n >= {dims.COPY_PASTE_MIN_OCCURRENCES} AND length(literal) > 20
+    AND repo_id IN (SELECT repo_id FROM smells_wide WHERE total_literals >= {dims.COPY_PASTE_MIN_TOTAL})
+  UNION ALL
+  SELECT repo_id, 'inconsistent_patterns', x.k, x.style, CAST(x.n AS DOUBLE), {v('x.n')} || ' names in ' || x.style
+  FROM (SELECT repo_id, unnest([{{'k': 1, 'style': 'snake_case', 'n': snake_names}}, {{'k': 2, 'style': 'camelCase', 'n': camel_names}},
+               {{'k': 3, 'style': 'PascalCase', 'n': pascal_names}}]) AS x
+        FROM smells_wide WHERE snake_names + camel_names + pascal_names >= {dims.INCONSISTENT_MIN_NAMES})
 ),
 smell_details AS (
   SELECT repo_id, smell, CAST(rank AS BIGINT) AS rank, subject, value, detail FROM sd_rows WHERE rank <= 5

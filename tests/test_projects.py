@@ -16,7 +16,7 @@ SHOP = {
 
 @pytest.fixture(scope="module")
 def shop(spark):
-    return analyze(corpus_df(spark, SHOP), materialize="checkpoint")
+    return analyze(corpus_df(spark, SHOP), materialize="write")
 
 
 def test_shop_file_facts(shop):
@@ -67,7 +67,7 @@ EDGE = {
 def test_edge_fixtures_match_duckdb_oracle(spark):
     from oracles.sql import chain, line_ctes
     corpus = corpus_df(spark, EDGE)
-    a = analyze(corpus, materialize="checkpoint")
+    a = analyze(corpus, materialize="write")
     con = duckdb.connect()
     pdf = corpus.toPandas()  # noqa: F841 (registered below)
     con.register("fixture_corpus", pdf)
