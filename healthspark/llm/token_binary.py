@@ -25,6 +25,7 @@ from __future__ import annotations
 import re
 import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,9 +67,11 @@ def unpack(payload: bytes, bits: int, start: int, count: int) -> np.ndarray:
 class _Pieces(dict):
     """Piece -> its ids as bytes; a piece that is not known is encoded by the library, once while it is kept.
 
-    If the tokenizer folds case and always cuts between a word and punctuation after it (both are tried
-    on it first), an ASCII piece is put together from its lower-case word and its tail, so `Word,` costs
-    no further call once `word` is known. Pieces that could hold a special token are never taken apart.
+    Shortcuts are used only if the tokenizer agrees with them on a few samples:
+    `folds`, `cuts`: it folds case and always cuts between a word and punctuation after it, so a Latin or
+    ASCII piece is its lower-case word and its tail, and `Word,` costs no further call once `word` is known;
+    `direct`: a Latin word in lower case is one unit, so it goes straight to the library's model.
+    Pieces that could hold a special token are never taken apart.
     """
 
     def __init__(self, path: str, remember: int):
@@ -78,17 +81,32 @@ class _Pieces(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.remember = Tokenizer.from_file(path), remember
+        self.model = self.tokenizer.model
         self.folds = all(self._library(x) == self._library(x.lower()) for x in ("Ab", "QUEST", "x9Y"))
         self.cuts = all(self._library(x + y) == self._library(x) + self._library(y)
                         for x in ("ab", "quest", "x9") for y in (".", ",", "***", "?!", "$$$."))
+        self.latin, self.direct = {}, False
+        split = self.tokenizer.pre_tokenizer
+        if self.folds and split is not None:
+            # how the pre-tokenizer writes each Latin letter
+            self.latin = {c: split.pre_tokenize_str(chr(c)) for c in range(0x250) if chr(c).isalpha() and chr(c).islower()}
+            self.latin = {c: v[0][0] for c, v in self.latin.items() if len(v) == 1}
+            self.word = re.compile(f"[{''.join(map(chr, self.latin))}]+").fullmatch
+            self.direct = all(self._model(x) == self._library(x) for x in ("a", "quest", "über", "niño", "garçonñæ", "zzyzxæøå", "ÿœ"))
 
     def _library(self, piece: str) -> bytes:
-        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+
+    def _model(self, word: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(word.translate(self.latin))]).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
         plain = piece.lower() if self.folds else piece
         word = plain.rstrip(".,;:!?*#$%&") if self.cuts else plain
-        if piece.isascii() and "<|" not in piece and word[-1:].isalnum() and (word != plain or plain != piece):
+        latin = self.direct and self.word(word)
+        if latin and word == piece:
+            ids = self._model(piece)
+        elif "<|" not in piece and (latin or (piece.isascii() and word[-1:].isalnum())) and (word != plain or plain != piece):
             ids = self[plain] if plain != piece else self[word] + self[plain[len(word):]]
         else:
             ids = self._library(piece)
@@ -160,25 +178,28 @@ def write_token_blocks(docs: DataFrame, path: str, tokenizer_path: str, end_id:
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["shard", "block", "start", "n_ids", "bits", "doc_ids", "doc_starts", "payload"]
-        shard, block, start, held, ids, size = None, 0, 0, [], [], 0
+        shard, block, start, held, ids, counts, size = None, 0, 0, [], [], [], 0
 
         def close():
-            starts = np.cumsum([0] + [len(x) for x in ids[:-1]])
+            starts = np.cumsum([0] + counts[:-1])
+            payload = b"".join(ids) if bits % 8 == 0 else pack(
+                np.concatenate([unpack(x, bits, 0, n) for x, n in zip(ids, counts)]), bits)
             return pa.RecordBatch.from_arrays([
                 pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([start], pa.int64()),
                 pa.array([size], pa.int64()), pa.array([bits], pa.int32()),
                 pa.array([held], pa.list_(pa.int64())), pa.array([starts.tolist()], pa.list_(pa.int64())),
-                pa.array([pack(np.concatenate(ids), bits)], pa.binary())], names)
+                pa.array([payload], pa.binary())], names)
 
         for batch in batches:
             for key, s, n, packed in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if held and (s != shard or size >= block_ids):
                     yield close()
-                    block, start, held, ids, size = block + 1, start + size, [], [], 0
+                    block, start, held, ids, counts, size = block + 1, start + size, [], [], [], 0
                 if s != shard:
                     shard, block, start = s, 0, 0
                 held.append(key)
-                ids.append(unpack(packed, bits, 0, n))
+                ids.append(packed)
+                counts.append(n)
                 size += n
         if held:
             yield close()
