@@ -5,14 +5,14 @@ a key are candidates. bits = log2(number of classes), so unrelated vectors share
 per table at every size, and the number of tables follows from the wanted recall of a pair exactly at
 the threshold (default: one in a million is missed).
 
-Buckets of up to `block` classes are joined with themselves on narrow rows: key, id and a 256-bit sign
+Buckets of up to `small` classes are joined with themselves on narrow rows: key, id and a 256-bit sign
 sketch, whose Hamming distance drops unrelated pairs (7 standard deviations from the threshold) before any
 vector is fetched; distinct survivors are verified by exact cosine in double precision.
 
-Larger buckets, as of a group of near copies, are cut into blocks, and pairs of blocks are compared by
+Larger buckets, as of a group of near copies, are cut into blocks of `block` classes, and pairs of blocks are compared by
 matrix products in bounded tasks that return, per vector, a number of links and a link to its local root:
 the links of a dense group are counted, never listed. A pair that meets in several buckets counts once: in
-the smallest large bucket that both share, else among the distinct pairs of the small ones.
+the large bucket of the first table in which both share one, else among the distinct pairs of the small ones.
 
 Input rules: vectors that are null, empty, zero, or hold nulls or non-finite numbers link with nothing and are
 their own component; vectors of different lengths never link; rows that share a vec_id are one vertex;
@@ -90,23 +90,32 @@ def cosine(x: Column, y: Column) -> Column:
     return dot(x, y) / (F.sqrt(dot(x, x)) * F.sqrt(dot(y, y)))
 
 
-def _compare_blocks(threshold: float):
+def _compare_blocks(threshold: float, bits: int, tables: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         key, i, j = rows["key"].iat[0], rows["i"].iat[0], rows["j"].iat[0]
         left, right = rows[rows["x"] == i], rows[rows["x"] == j]
         ids, other = left["id"].to_numpy(), right["id"].to_numpy()
 
         def unit(part):
-            v = np.array(part["vector"].tolist(), dtype=np.float64)
+            v = np.stack(part["vector"].to_numpy()).astype(np.float64)
             return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
+        def large(part):  # the large bucket of each table, or -1
+            held = part["large"].to_numpy()
+            flat = np.concatenate(held)
+            out = np.full((len(held), tables), -1, np.int64)
+            out[np.repeat(np.arange(len(held)), [len(x) for x in held]), (flat >> bits) % tables] = flat
+            return out
+
         out = {"id": [], "n": [], "root": []}
         if len(ids) and len(other):
             link = unit(left) @ unit(right).T >= threshold
             link &= ids[:, None] < other[None, :] if i == j else ids[:, None] != other[None, :]
             a, b = np.nonzero(link)
-            shared = np.array([min(set(p).intersection(q)) == key for p, q in
-                               zip(left["large"].to_numpy()[a], right["large"].to_numpy()[b])], dtype=bool)
+            mine, yours, shared = large(left), large(right), np.empty(len(a), bool)
+            for at in range(0, len(a), 8192):  # a pair counts in the first table whose large bucket it shares
+                p, q = mine[a[at:at + 8192]], yours[b[at:at + 8192]]
+                shared[at:at + 8192] = ((p == q) & (p >= 0)).argmax(axis=1) == (key >> bits) % tables
             own, theirs = left["copies"].to_numpy(), right["copies"].to_numpy()
             names, at = np.unique(np.concatenate([ids[a], other[b]]), return_inverse=True)
             pa_, pb_ = at[:len(a)], at[len(a):]
@@ -126,7 +135,7 @@ def _compare_blocks(threshold: float):
 
 
 def near_duplicates(rows: DataFrame, threshold: float = 0.95, miss: float = 1e-6, id_col: str = "vec_id",
-                    vector_col: str = "embedding", block: int = 64, seed: int = 11) -> DataFrame:
+                    vector_col: str = "embedding", small: int = 32, block: int = 256, seed: int = 11) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per input row."""
     named = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector"))
     ok = valid(F.col("vector")) & F.col("vec_id").isNotNull()
@@ -141,14 +150,14 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.95, miss: float = 1e-6
                                                                  for i in range(SKETCH // 64)])
     sizes = store(flat.groupBy("key").agg(F.count("*").alias("held")).where("held > 1"), "bucket-sizes")
     # small buckets: narrow self-join, sketch test, distinct pairs
-    side = flat.join(sizes.where(F.col("held") <= block).select("key"), "key")
+    side = flat.join(sizes.where(F.col("held") <= small).select("key"), "key")
     other = side.select("key", F.col("id").alias("b"), *[F.col(f"s{i}").alias(f"t{i}") for i in range(SKETCH // 64)])
     far = 1 - (1 - math.acos(threshold) / math.pi)
     most = math.ceil(SKETCH * far + 7 * math.sqrt(SKETCH * far * (1 - far)))
     pairs = side.withColumnRenamed("id", "a").join(other, "key").where((F.col("a") < F.col("b")) & (
         _differing("s", "t") <= most)).select("a", "b").distinct()
     # large buckets of each vector; at most one for each table
-    large = flat.join(sizes.where(F.col("held") > block), "key").select("id", "key", "held")
+    large = flat.join(sizes.where(F.col("held") > small), "key").select("id", "key", "held")
     full = store(classes.join(large.groupBy("id").agg(F.array_sort(F.collect_list("key")).alias("large")), "id", "left")
                  .select("id", "vector", "copies", F.coalesce("large", F.array().cast("array<long>")).alias("large")), "vectors")
     va = full.select(F.col("id").alias("a"), F.col("vector").alias("va"), F.col("copies").alias("ca"), F.col("large").alias("la"))
@@ -161,7 +170,7 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.95, miss: float = 1e-6
         "y", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
         "id", "key", "x", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"))
     dense = store(spread.join(full, "id").groupBy("key", "i", "j").applyInPandas(
-        _compare_blocks(threshold), "id long, n long, root long"), "dense")
+        _compare_blocks(threshold, bits, tables), "id long, n long, root long"), "dense")
     counts = links.select(F.col("a").alias("id"), F.col("cb").alias("n")).unionAll(
         links.select(F.col("b").alias("id"), F.col("ca").alias("n"))).unionAll(dense.select("id", "n")) \
         .groupBy("id").agg(F.sum("n").alias("n"))

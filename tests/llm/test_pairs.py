@@ -77,12 +77,12 @@ def brute_vectors(rows, threshold=0.95):
     return sorted((i, degree[i], reach[i], reach[i] == i) for i in ids)
 
 
-@pytest.mark.parametrize("block", [64, 8])
+@pytest.mark.parametrize("block", [256, 8])
 def test_embeddings_equal_brute_force(spark, block):
     rows = vectors()
     frame = spark.createDataFrame([(i, [float(x) for x in v], 0, "k") for i, v in rows],
                                   "vec_id long, embedding array<float>, label int, key string")
-    got = embeddings.near_duplicates(frame, block=block).collect()
+    got = embeddings.near_duplicates(frame, small=min(32, block), block=block).collect()
     assert sorted(tuple(r) for r in got) == brute_vectors(rows)
 
 
