@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir
+
 #: A word of the whitespace kind (everything but space, tab, newline, vertical tab, form feed, return).
 WORD = r"[^\x20\x09-\x0D]+"
-_LOCAL_DIRS: dict[str, str] = {}
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -23,25 +23,8 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, ASCII_UPPER, ASCII_UPPER.lower())
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir.
-
-    Where it is unset, a local session (one machine, as in tests) gets a scratch folder of its own;
-    on a cluster that would be a folder which executors do not share, so the call raises.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.conf.get("spark.app.id")
-    if not spark.conf.get("spark.master", "").startswith("local[") and spark.conf.get("spark.master", "") != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if app not in _LOCAL_DIRS:
-        _LOCAL_DIRS[app] = "file://" + tempfile.mkdtemp(prefix="llm-shared-")
-    return _LOCAL_DIRS[app]
-
-
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
+    return f"{checkpoint_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
 
 
 def store(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:

@@ -2,17 +2,20 @@
 
 Documents with the same shingle set form one class. A class enters every tree at the node named by its
 first minwise token (the shingle with the least hash of that tree and level). A node of up to `leaf`
-classes is compared exhaustively. A larger one is compared with one pivot, its smallest id, and branches:
-each class moves on to the child named by its next minwise token, and, in a share 1/t - 1 of the nodes,
-also to the child of a second one, so a pair at the threshold t shares one child on average at any
-depth. Trees are independent; with 16 of them a pair at the threshold misses all nodes of depth 1 to 4
-with a probability between 1e-13 and 1e-5.
+classes is compared exhaustively. A larger one branches: each class moves on to the child named by its
+next minwise token, and, in a share 1/t - 1 of the nodes, also to the child of a second one, so a pair
+at the threshold t shares one child on average at any depth. Trees are independent; with 16 of
+them a pair at the threshold misses all nodes of depth 1 to 4 with a probability between 1e-13 and 1e-5.
 
 Candidates pass a sketch of 64 4-bit minhashes (4.7 standard deviations from the threshold), and are then
 confirmed on the full sets of the whole texts. The likeliest partner of every class comes first;
-pairs that its links already connect need no look. Nodes that are still large at the last level
-are finished exhaustively in blocks, but only between classes of different components, so a group of
-thousands of near copies, which is one component by then, is never expanded into pairs, and no node is cut.
+pairs that its links already connect need no look.
+
+Classes in nodes that are still large at the last level are alike without being separable: groups of
+thousands of near copies. They meet again in the entry nodes of 7 trees (a pair at the threshold misses
+all with probability 2e-6). Each such node is compared with its least class as a pivot; where that
+leaves several components, it is compared exhaustively on the full sets, block by block in bounded tasks,
+which return links between documents and local roots: pairs are counted in matrices, never listed.
 
 Input rules: null and empty texts have no shingles and link with nothing; fewer words than a shingle
 are one shingle; rows that share a doc_id are one vertex; a null doc_id links with nothing and has a null
@@ -24,6 +27,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,6 +37,7 @@ from .common import connected_components, store
 MINHASHES = 64
 TREES = 16
 LEVELS = MINHASHES // TREES
+DENSE_TREES = 7
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -140,7 +145,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, id_col: str = "doc_id", text_col: str = "text",
-                    leaf: int = 16, seed: int = 5) -> DataFrame:
+                    leaf: int = 16, block: int = 256, seed: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per input row."""
     threshold = percent / 100
     most = int(MINHASHES * (1 - threshold) + 4.7 * (MINHASHES * threshold * (1 - threshold)) ** 0.5)
@@ -151,33 +156,32 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, id_col:
     flat = classes.select("id", *S, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)),
                           lambda t: F.get("tokens", t * LEVELS)))).select(
         "id", F.col("pos").alias("tree"), *S, F.xxhash64("pos", "col").alias("key"))
-    found, last = [], None
+    entry, found, dense = flat, [], None
     for level in range(LEVELS):
-        sizes = store(flat.groupBy("key").agg(F.count("*").alias("held"), F.min("id").alias("pivot")).where("held > 1"), "nodes")
+        sizes = store(flat.groupBy("key").agg(F.count("*").alias("held")).where("held > 1"), "nodes")
         nodes = store(flat.join(sizes, "key"), "node-rows")
         small = nodes.where(F.col("held") <= leaf)
-        near = small.withColumnRenamed("id", "a").join(_right(small, ["key"]), "key").where(F.col("a") < F.col("b")) \
-            .select("a", "b", _differing("s", "t").alias("d"))
+        found.append(store(small.withColumnRenamed("id", "a").join(_right(small, ["key"]), "key").where(F.col("a") < F.col("b"))
+                           .select("a", "b", _differing("s", "t").alias("d")).where(F.col("d") <= most).distinct(), "near"))
         large = nodes.where(F.col("held") > leaf)
-        pivots = classes.select(F.col("id").alias("pivot"), *[F.col(f"s{i}").alias(f"t{i}") for i in range(4)])
-        near = near.where(F.col("d") <= most).unionAll(large.where("id <> pivot").select("id", "pivot", *S).distinct().join(
-            pivots, "pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"), _differing("s", "t").alias("d"))
-            .where(F.col("d") <= most))
-        found.append(store(near.distinct(), "near"))
-        if large.isEmpty():
-            last = None
-            break
-        last = large
         if level + 1 < LEVELS:
             flat = _branches(large, classes, level + 1, threshold)
-    candidates = found[0]
+        else:
+            dense = store(large.select("id").distinct(), "dense")
+    pairs = found[0]
     for more in found[1:]:
-        candidates = candidates.unionAll(more)
-    candidates = store(candidates.distinct(), "candidates")
-
-    def texts_of(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        return store(docs.join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text"), "texts")
+        pairs = pairs.unionAll(more)
+    one, two = dense.withColumnRenamed("id", "a"), dense.withColumnRenamed("id", "b")
+    inside = pairs.join(one, "a", "left_semi").join(two, "b", "left_semi").select("a", "b")
+    homes = store(entry.where(F.col("tree") < DENSE_TREES).join(dense, "id", "left_semi").select("key", "id", *S), "homes")
+    pivots = homes.groupBy("key").agg(F.min(F.struct("id", *S)).alias("p")).select(
+        "key", F.col("p.id").alias("pivot"), *[F.col(f"p.s{i}").alias(f"t{i}") for i in range(4)])
+    starred = homes.join(pivots, "key").where("id <> pivot").select(
+        F.col("pivot").alias("a"), F.col("id").alias("b"), _differing("s", "t").alias("d")).where(F.col("d") <= most)
+    candidates = store(pairs.join(inside.distinct(), ["a", "b"], "left_anti").unionAll(starred).distinct(), "candidates")
+
+    def texts_of(ids: DataFrame) -> DataFrame:
+        return store(docs.join(ids.distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text"), "texts")
 
     def apart(pairs: DataFrame, of: DataFrame) -> DataFrame:
         a = of.select(F.col("id").alias("a"), F.col("component").alias("ca"))
@@ -185,7 +189,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, id_col:
         return pairs.join(a, "a", "left").join(b, "b", "left").where(
             F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
-    texts = texts_of(candidates)
+    texts = texts_of(candidates.select(F.col("a").alias("doc_id")).unionAll(candidates.select(F.col("b").alias("doc_id")))
+                     .unionAll(dense.select(F.col("id").alias("doc_id"))))
     likeliest = candidates.groupBy("b").agg(F.min(F.struct("d", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
     links = store(confirm(likeliest, texts, words, percent), "confirmed")
     components = store(connected_components(links), "components")
@@ -193,11 +198,10 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, id_col:
     if not rest.isEmpty():
         links = store(links.unionAll(confirm(rest, texts, words, percent)), "confirmed")
         components = store(connected_components(links), "components")
-    if last is not None:
-        rest = store(finish_large(last, components, candidates, leaf, most), "rest")
-        if not rest.isEmpty():
-            links = store(links.unionAll(confirm(rest, texts_of(rest), words, percent)), "confirmed")
-            components = store(connected_components(links), "components")
+    if not dense.isEmpty():
+        more = store(compare_dense(homes, components, texts, words, percent, block), "dense-links")
+        if not more.isEmpty():
+            components = store(connected_components(links.unionAll(more)), "components")
     named = classes.select("f1", "f2", "n", "id").join(components, "id", "left").select(
         "f1", "f2", "n", F.coalesce("component", "id").alias("component_id"))
     return sketches.where("n > 0 and doc_id is not null").select("doc_id", "f1", "f2", "n").join(named, ["f1", "f2", "n"]).select(
@@ -206,20 +210,56 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, id_col:
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def finish_large(nodes: DataFrame, components: DataFrame, known: DataFrame, block: int, most: int) -> DataFrame:
-    """Untested pairs of different components in nodes that stayed large: exhaustive, by pairs of blocks."""
-    rows = nodes.select("key", "id", "held", *S).join(components, "id", "left").withColumn(
-        "component", F.coalesce("component", "id"))
-    open_keys = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    blocks = F.ceil(F.col("held") / (8 * block)).cast("int")
-    rows = rows.join(open_keys.select("key"), "key").withColumn("x", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn(
+def _compare_blocks(words: int, percent: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        i, j = rows["i"].iat[0], rows["j"].iat[0]
+        left, right = np.flatnonzero(rows["x"] == i), np.flatnonzero(rows["x"] == j)
+        ids = rows["id"].to_numpy()
+        sets = [shingle_set(t, words) for t in rows["text"]]
+        sizes = np.array([len(x) for x in sets])
+        if i != j and (not len(left) or not len(right)):
+            return pd.DataFrame({"a": [], "b": []}).astype("int64")
+        # exact intersections: products of the 0/1 columns of shingles that several documents hold
+        values, column = np.unique(np.concatenate(sets), return_inverse=True)
+        row = np.repeat(np.arange(len(sets)), sizes)
+        shared = np.bincount(column) > 1
+        column, row = (np.cumsum(shared) - 1)[column[shared[column]]], row[shared[column]]
+        both = np.zeros((len(left), len(right)), np.float32)
+        for at in range(0, int(shared.sum()), 4096):
+            here = (column >= at) & (column < at + 4096)
+            held = np.zeros((len(sets), 4096), np.float32)
+            held[row[here], column[here] - at] = 1
+            both += held[left] @ held[right].T
+        union = sizes[left][:, None] + sizes[right][None, :] - both
+        link = 100 * both.astype(np.int64) >= percent * union.astype(np.int64)
+        link &= ids[left][:, None] != ids[right][None, :]
+        a, b = np.nonzero(link)
+        a, b = left[a], right[b]
+        root = np.arange(len(ids))
+        while len(a):  # the least row over links, until none moves: one link per document leaves the task
+            least = root.copy()
+            np.minimum.at(least, a, root[b])
+            np.minimum.at(least, b, root[a])
+            least = least[least]
+            if (least == root).all():
+                break
+            root = least
+        moved = np.flatnonzero(root != np.arange(len(ids)))
+        return pd.DataFrame({"a": ids[root[moved]], "b": ids[moved]}).astype("int64")
+    return run
+
+
+def compare_dense(homes: DataFrame, components: DataFrame, texts: DataFrame, words: int, percent: int, block: int) -> DataFrame:
+    """Links (a, b) that connect whatever is linked inside the nodes of `homes` that hold several components."""
+    rows = homes.select("key", "id").join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    open_keys = rows.groupBy("key").agg(F.count("*").alias("held"), F.min("component").alias("lo"),
+                                        F.max("component").alias("hi")).where("lo <> hi")
+    blocks = F.ceil(F.col("held") / block).cast("int")
+    spread = rows.join(open_keys, "key").withColumn("x", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn(
         "y", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
-        "key", "id", "component", *S, "x", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"))
-    left = rows.where("x = i").withColumnRenamed("id", "a")
-    pairs = left.join(_right(rows.where("x = j"), ["key", "i", "j"]), ["key", "i", "j"]).where(
-        (F.col("component") != F.col("cb")) & ((F.col("i") < F.col("j")) | (F.col("a") < F.col("b"))) & (
-            _differing("s", "t") <= most)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return pairs.join(known, ["a", "b"], "left_anti")
+        "key", "id", "x", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"))
+    return spread.join(texts, "id").groupBy("key", "i", "j").applyInPandas(
+        _compare_blocks(words, percent), "a long, b long").distinct()
 
 
 def deduplicate(docs: DataFrame, words: int = 5, percent: int = 80, **options) -> DataFrame:
