@@ -9,7 +9,7 @@ The votes of all candidates are counted by pattern (kind, votes, length class):
 bounded by the number of patterns, whatever the corpus. On it, EM estimates every labeler's reliability
 and each pattern's probability of being personal data, and a logistic regression on votes, kind and length
 class is trained on those probabilities: the final span classifier. A span that is no base span is
-reported if its probability is at least `accept` and it overlaps no base span.
+reported if a labeler speaks for it, its probability is at least `accept` and it overlaps no base span.
 
 Scale: one map over the texts, one aggregation of patterns, one map over narrow rows. Patterns are linear in
 the text (possessive, anchored at run starts), so long runs of digits or letters cost no more than others.
@@ -139,7 +139,7 @@ def votes(text: str, kind: str, start: int, end: int) -> tuple[int, ...]:
         gazetteer = 1 if GIVEN.intersection(span.split()) else 0
     context = 1 if any(w in before for w in CONTEXT[kind]) else 0
     left, right = text[start - 1:start], text[end:end + 1]
-    edges = -1 if (left.isalnum() or right.isalnum()) else 1
+    edges = -1 if (left.isalnum() or right.isalnum()) else 0
     return strict, check, gazetteer, context, edges
 
 
@@ -167,28 +167,30 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         run, "doc_id long, kinds array<int>, starts array<long>, ends array<long>, patterns array<string>")
 
 
-def reliabilities(patterns: list[tuple[str, int]], rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
-    """EM over vote patterns: (posterior of each pattern, P(vote | class) as [labeler, class, vote+1])."""
+def reliabilities(patterns: list[tuple[str, int]], rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """EM over vote patterns: (probability of each pattern, accuracy of each labeler where it votes).
+
+    A labeler that votes is right with a probability of its own, the same for and against; one that has no
+    opinion says nothing. Kinds have their own share of true spans.
+    """
     kinds = np.array([KINDS.index(p.split("|")[0]) for p, _ in patterns])
-    cast = np.array([[int(v) for v in p.split("|")[1].split(",")] for p, _ in patterns]) + 1
+    cast = np.array([[int(v) for v in p.split("|")[1].split(",")] for p, _ in patterns])
     n = np.array([c for _, c in patterns], dtype=float)
-    # start: the mean vote
-    post = np.clip(0.5 + 0.45 * (cast - 1).mean(axis=1) * 2, 0.05, 0.95)
-    table = np.full((len(LABELERS), 2, 3), 1 / 3)
+    accuracy, share = np.full(len(LABELERS), 0.8), np.full(len(KINDS), 0.5)
+    post = np.full(len(n), 0.5)
     for _ in range(rounds):
-        for m in range(len(LABELERS)):
-            for y, weight in ((0, n * (1 - post)), (1, n * post)):
-                held = np.bincount(cast[:, m], weight, 3) + 1.0
-                table[m, y] = held / held.sum()
-        prior = np.array([((n * post)[kinds == k].sum() + 1) / (n[kinds == k].sum() + 2) for k in range(len(KINDS))])
-        log = np.log(prior[kinds]) - np.log1p(-prior[kinds])
-        for m in range(len(LABELERS)):
-            log = log + np.log(table[m, 1, cast[:, m]]) - np.log(table[m, 0, cast[:, m]])
+        weight = np.log(accuracy) - np.log1p(-accuracy)
+        log = np.log(share[kinds]) - np.log1p(-share[kinds]) + cast @ weight
         new = 1 / (1 + np.exp(-np.clip(log, -30, 30)))
+        for m in range(len(LABELERS)):
+            right = (n * np.where(cast[:, m] > 0, new, 1 - new))[cast[:, m] != 0].sum()
+            accuracy[m] = np.clip((right + 4) / (n[cast[:, m] != 0].sum() + 5), 0.55, 0.99)
+        for k in range(len(KINDS)):
+            share[k] = ((n * new)[kinds == k].sum() + 1) / (n[kinds == k].sum() + 2)
         if np.abs(new - post).max() < 1e-9:
             break
         post = new
-    return post, table
+    return post, accuracy
 
 
 def _features(patterns: list[str]) -> np.ndarray:
@@ -225,7 +227,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ac
     found = store(candidates(docs, id_col, text_col), "pii")
     counted = found.select(F.explode("patterns").alias("p")).groupBy("p").count()
     model = train_classifier(sorted((r["p"], r["count"]) for r in counted.collect()))  # bounded by the patterns
-    taken = {p for p, v in model.items() if v >= accept}
+    taken = {p for p, v in model.items() if v >= accept and "1" in p.split("|")[1].replace("-1", "").split(",")}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))

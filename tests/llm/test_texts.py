@@ -40,10 +40,12 @@ def test_pii_digest_and_added_spans(spark):
 
 
 def test_labelers_that_agree_are_found_reliable():
-    patterns = [("email|1,0,1,1,1|1", 400), ("email|1,0,1,0,1|1", 300), ("name|0,0,0,0,-1|1", 200), ("name|0,0,-1,0,-1|1", 300)]
-    post, table = pii.reliabilities(patterns)
-    assert post[0] > 0.9 > 0.1 > post[3]
-    assert table[0, 1, 2] > table[0, 0, 2]
+    patterns = [("email|1,0,1,1,0|1", 400), ("email|1,0,1,0,0|1", 300), ("name|0,0,0,0,-1|1", 200), ("email|1,0,-1,1,0|1", 30)]
+    post, accuracy = pii.reliabilities(patterns)
+    assert post[0] > 0.9 > 0.3 > post[2]
+    assert accuracy[0] > accuracy[2] > 0.8
+    model = pii.train_classifier(patterns)
+    assert model["email|1,0,1,1,0|1"] > 0.5 > model["name|0,0,0,0,-1|1"]
     assert pii.train_classifier([]) == {}
 
 
