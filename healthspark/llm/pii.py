@@ -21,7 +21,6 @@ which accepts base spans only; other columns are not read.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
