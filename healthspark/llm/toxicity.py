@@ -29,6 +29,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import store
 
@@ -144,9 +145,9 @@ def featurize(text: str, lexicon: dict[str, float]) -> list[float]:
             (size - len(raw.translate(None, _MARKS))) / size, len(odd) / n, undone / n, math.log1p(len(words))]
 
 
-def with_features(docs: DataFrame, lexicon: dict[str, float], kept: str, schema: str) -> DataFrame:
-    """Adds `features`; `docs` is (text, then the columns of `schema` listed in `kept`)."""
-    names = [c.strip() for c in kept.split(",")]
+def with_features(docs: DataFrame, lexicon: dict[str, float], names: list[str]) -> DataFrame:
+    """The columns `names` of `docs` and `features` of its text."""
+    schema = T.StructType([docs.schema[c] for c in names] + [T.StructField("features", T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,7 +155,7 @@ def with_features(docs: DataFrame, lexicon: dict[str, float], kept: str, schema:
             yield pa.RecordBatch.from_arrays([*[batch.column(i + 1) for i in range(len(names))],
                                               pa.array(made, pa.list_(pa.float64()))], [*names, "features"])
 
-    return docs.select("text", *names).mapInArrow(run, f"{schema}, features array<double>")
+    return docs.select("text", *names).mapInArrow(run, schema)
 
 
 def _sample(rows: DataFrame, max_rows: int) -> DataFrame:
@@ -183,13 +184,13 @@ class ToxicityModel:
             return F.when(p >= float(xs[mid]), tree(mid + 1, high)).otherwise(tree(low, mid))
         return tree(0, len(xs))
 
-    def score(self, docs: DataFrame, kept: str = "doc_id", schema: str = "doc_id long") -> DataFrame:
+    def score(self, docs: DataFrame, kept: str = "doc_id") -> DataFrame:
         if self.trees is None:
-            return docs.select(*[c.strip() for c in kept.split(",")], F.lit(self.base).alias("score"))
-        made = with_features(docs, self.lexicon, kept, schema).withColumn("features", array_to_vector("features"))
+            return docs.select(kept, F.lit(self.base).alias("score"))
+        made = with_features(docs, self.lexicon, [kept]).withColumn("features", array_to_vector("features"))
         out = self.trees.transform(made).withColumn("_p", vector_to_array("probability")[1])
         score = self._calibrated(F.col("_p")) if self.steps else F.col("_p")
-        return out.select(*[c.strip() for c in kept.split(",")], F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)).alias("score"))
+        return out.select(kept, F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)).alias("score"))
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, max_terms: int = 4_000, id_col: str = "doc_id",
@@ -198,8 +199,11 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, max_terms:
         F.max(label_col).cast("int").alias("toxic")).withColumn("part", bucket(F.col("_id"))).where("part <> 0")
     marked = store(marked.withColumnRenamed("_id", "doc_id"), "toxic-labels")
     parts = [_sample(marked.where(F.col("part").isin(*p)), max_rows) for p in ((1, 2), (3,), (4,))]
-    wanted = parts[0].unionAll(parts[1]).unionAll(parts[2])
-    rows = store(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(wanted, "doc_id"), "toxic-train")
+    wanted = store(parts[0].unionAll(parts[1]).unionAll(parts[2]), "toxic-sample")
+    # three samples of max_rows ids in expectation, whatever the corpus: small enough to travel, so no text does
+    few = wanted.count() <= 6 * max_rows
+    rows = store(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(
+        F.broadcast(wanted) if few else wanted, "doc_id"), "toxic-train")
     shares = {r["part"]: (r["n"], r["toxic"]) for r in rows.groupBy("part").agg(
         F.count("*").alias("n"), F.sum("toxic").alias("toxic")).collect()}
     n, positive = sum(v[0] for v in shares.values()), sum(v[1] for v in shares.values())
@@ -208,7 +212,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, max_terms:
         return ToxicityModel({}, None, None, base)
     lexicon = learn_lexicon(rows.where("part in (1, 2)"), max_terms)
     # the first two parts' texts chose the lexicon; trees and calibration use the other two
-    made = store(with_features(rows.where("part in (3, 4)"), lexicon, "part, toxic", "part int, toxic int"), "toxic-features")
+    made = store(with_features(rows.where("part in (3, 4)"), lexicon, ["part", "toxic"]), "toxic-features")
     made = made.withColumn("features", array_to_vector("features")).withColumn("label", F.col("toxic").cast("double"))
     forest = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.2, minInstancesPerNode=5, subsamplingRate=0.8,
                            maxBins=64, seed=seed).fit(made.where("part = 3"))
@@ -233,5 +237,4 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **opt
     model = train(docs, labels, **options)
     text_col = options.get("text_col", "text")
     carried = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text_col).alias("text"))
-    kind = carried.schema["_row"].dataType.simpleString()
-    return model.score(carried, "_row", f"_row {kind}").where(F.col("score") < threshold).select("_row.*")
+    return model.score(carried, "_row").where(F.col("score") < threshold).select("_row.*")
