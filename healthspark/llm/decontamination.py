@@ -80,11 +80,12 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str =
     windows = store(benchmark_windows(benchmark, n), "windows")
     distinct = windows.select("width", "window").distinct()
     size = distinct.count()
-    base = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"),
-                       words(F.col(text_col)).alias("w"))
+    base = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("w"))
+    # numbered in the last projection: Spark pushes no filter below it, which would copy the hash columns
+    uid = F.monotonically_increasing_id().alias("uid")
     empty = F.array().cast("array<struct<pos:int,width:int,window:string>>")
     if size == 0:
-        return base.select("uid", "doc_id", F.size("w").alias("n_words"), empty.alias("hits"))
+        return base.select(uid, "doc_id", F.size("w").alias("n_words"), empty.alias("hits"))
     widths = sorted(r[0] for r in distinct.select("width").distinct().collect())
     at = F.sequence(F.lit(0), F.greatest(F.size("w") - 1, F.lit(0)))
 
@@ -107,13 +108,16 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str =
             found.append(F.expr(
                 f"filter(transform(p{v}, i -> named_struct('pos', i, 'width', {v}, 'window', "
                 f"array_join(slice(w, i + 1, {v}), ' '))), s -> s.window IN ({texts}))"))
-        return scan.select("uid", "doc_id", F.size("w").alias("n_words"),
+        return scan.select(uid, "doc_id", F.size("w").alias("n_words"),
                            F.array_sort(F.concat(*found)).alias("hits"))
-    base = store(base, "words")
-    each = base.select("uid", "w").select("uid", F.explode(F.flatten(F.array(*[F.transform(
-        F.filter(at, lambda i, v=v: i + v <= F.size("w")),
-        lambda i, v=v: F.struct(i.alias("pos"), F.lit(v).alias("width"), window_at(i, v).alias("window")))
-        for v in widths]))).alias("hit")).select("uid", "hit", F.col("hit.width").alias("width"), F.col("hit.window").alias("window"))
+    base = store(base.select(uid, "doc_id", "w"), "words")
+
+    def windows_of(width: int) -> Column:
+        return F.transform(F.filter(at, lambda i: i + width <= F.size("w")), lambda i: F.struct(
+            i.alias("pos"), F.lit(width).alias("width"), window_at(i, width).alias("window")))
+
+    each = base.select("uid", F.explode(F.flatten(F.array(*[windows_of(v) for v in widths]))).alias("hit")).select(
+        "uid", "hit", F.col("hit.width").alias("width"), F.col("hit.window").alias("window"))
     hits = each.join(distinct, ["width", "window"]).groupBy("uid").agg(F.array_sort(F.collect_list("hit")).alias("hits"))
     return base.join(hits, "uid", "left").select("uid", "doc_id", F.size("w").alias("n_words"),
                                                  F.coalesce("hits", empty).alias("hits"))
@@ -159,7 +163,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, n: int = 10, remove:
     carried = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(text_col).alias("_text"))
     hits = find_hits(carried, benchmark, n, id_col="_row", text_col="_text", **options)
     if remove == "documents":
-        return hits.where(F.size("hits") == 0).select("doc_id.*")
+        return hits.where((F.size("hits") == 0) & (F.col("uid") >= 0)).select("doc_id.*")
     kept = F.filter(F.sequence(F.lit(0), F.col("n_words")), lambda i: (i < F.col("n_words")) & ~F.exists(
         F.col("hits"), lambda h: (h["pos"] <= i) & (i < h["pos"] + h["width"])))
     cut = hits.withColumn("_kept", kept).withColumn(
