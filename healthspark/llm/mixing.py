@@ -151,7 +151,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: int = 3, id_
         sources.withColumnRenamed("source", "s2"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
     rank = F.row_number().over(Window.partitionBy("sid", "size", "b").orderBy("u", "id"))
     ranked = rows.withColumn("rank", rank).join(planned.select("sid", "size", "b", "n", "copies").withColumnRenamed(
-        "copies", "cell_copies"), ["sid", "size", "b"], "left")
+        "copies", "cell_copies").hint("merge"), ["sid", "size", "b"], "left")
     each = F.floor(F.col("cell_copies") / F.col("n")) + (F.col("rank") <= F.col("cell_copies") % F.col("n")).cast("long")
     ranked = ranked.withColumn("copies", F.coalesce(each, F.lit(1)).cast("long"))
     return ranked.select(F.col("id").alias("doc_id"), "size", F.col("total").alias("source_size"), "target", "copies",
