@@ -1,4 +1,4 @@
-"""The named queries op1 .. op10 and `pipeline`, with production parameters, over whole tables."""
+"""The named queries op1 .. op10, with production parameters, over whole tables."""
 
 from __future__ import annotations
 
