@@ -145,7 +145,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, id_col: str = "doc_id", text_col: str = "text",
-                    leaf: int = 16, block: int = 256, seed: int = 5) -> DataFrame:
+                    leaf: int = 16, block: int = 512, seed: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per input row."""
     threshold = percent / 100
     most = int(MINHASHES * (1 - threshold) + 4.7 * (MINHASHES * threshold * (1 - threshold)) ** 0.5)
