@@ -1,11 +1,12 @@
-"""The named queries op1 .. op10, with production parameters, over whole tables."""
+"""The named queries op1 .. op13, with production parameters, over whole tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, embeddings, minhash, mixing, pii, sharding, sql, suffix_dedup, token_binary, toxicity
+from . import (chat, decontamination, embeddings, licenses, minhash, mixing, pii, repair, sharding, spelling, sql,
+               suffix_dedup, token_binary, toxicity)
 from .common import store, table
 
 N_SHARDS = 40
@@ -66,8 +67,22 @@ def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary.token_table(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_toxicity, op3_suffix_dedup, op4_weak_pii, op5_embedding_dedup, op6_decontamination, op7_chat_format, op8_mix_sources, op9_histogram_sort,
-                                   op10_token_binary)}
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair.repair_digest(repair.damage(rows), rows)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"), min_length=7, min_count=2, ratio=10, damage=31)
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_toxicity, op3_suffix_dedup, op4_weak_pii, op5_embedding_dedup,
+                                   op6_decontamination, op7_chat_format, op8_mix_sources, op9_histogram_sort,
+                                   op10_token_binary, op11_license_scan, op12_conversation_repair, op13_spelling_variants)}
 
 #: The other queries have no SQL: tests compare them with brute force.
 ORACLES = sql.oracles(CONTROL_TEXT)
