@@ -30,7 +30,11 @@ little else, which are the pairs that can actually qualify.
 
 For T <= 0.3 a pair with no shared name can qualify on line similarity alone
 (``min/max >= T/0.3``): a geometric bucketing of code-line counts joins each
-bucket with itself and its neighbour, next to joins on every shared name.
+bucket with itself and its neighbour, next to joins on every shared name. For
+T <= 0 every pair of a language is one.
+
+Listing pairs is for callers that want the list. Counts, links per file and the
+first pairs of a repository come from ``near_classes`` and make no pair list.
 
 Candidates are then scored exactly and filtered with ``>= T``.
 """
@@ -217,12 +221,19 @@ def near_duplicates(analysis: DataFrame, threshold: float = dims.NEAR_DUP_DEFAUL
     return _expand(near_signature_pairs(distinct_signatures(members), threshold, class_split), members)
 
 
+def _language_pairs(sigs: DataFrame) -> DataFrame:
+    """Every pair of a language, which is what a threshold of 0 or less asks for."""
+    a = sigs.select("repo_id", "language", F.col("path").alias("path1"))
+    b = sigs.select("repo_id", "language", F.col("path").alias("path2"))
+    return a.join(b, ["repo_id", "language"]).where("path1 < path2")
+
+
 def _scored_pairs(sigs: DataFrame, threshold: float, class_split: float | None) -> DataFrame:
     """Pairs of different signatures that may reach the threshold, with their three similarities."""
-    if threshold <= 0:
-        raise ValueError("threshold must be > 0 (every pair would qualify)")
     wl, wf, wc = dims.SIMILARITY_WEIGHTS
-    if threshold > wl:
+    if threshold <= 0:
+        cands = _language_pairs(sigs)
+    elif threshold > wl:
         # (i) class Jaccard >= c*; (ii) a side without classes: class term 0, so the function
         # Jaccard must reach t0; (iii) both sides with classes and class Jaccard < c*: t_f.
         c_star = class_split if class_split is not None else min(0.5, (threshold - wl) / (2 * wc))
@@ -300,45 +311,16 @@ def all_duplicates(analysis: DataFrame, threshold: float = dims.NEAR_DUP_DEFAULT
 ORDER_KEYS = ["kind_order", "sim_order", "lang_order", "file_1", "file_2"]
 
 
-def first_duplicates(groups: DataFrame, pairs: DataFrame, members: DataFrame, k: int = 10) -> DataFrame:
-    """The first k exact groups and the first k near pairs of each repository, without expanding all pairs.
-
-    A pair among the first k of its two signatures has both files among their first k; within one
-    signature, a file can lose one partner to a two-file exact group.
-    """
-    rows = _listed(groups, _expand(pairs, members, first=k + 2), members)
+def first_duplicates(groups: DataFrame, near: DataFrame, members: DataFrame, k: int = 10) -> DataFrame:
+    """The first k exact groups and the first k near pairs of each repository; ``near`` holds at least those pairs."""
     w = Window.partitionBy("repo_id", "is_exact").orderBy(*ORDER_KEYS)
-    return rows.withColumn("kind_rank", F.row_number().over(w)).where(F.col("kind_rank") <= k)
-
+    return _listed(groups, near, members).withColumn("kind_rank", F.row_number().over(w)).where(F.col("kind_rank") <= k)
 
-def duplicate_members(exact: DataFrame, pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """(repo_id, kind, group_key, path): every member of an exact group (key: md5) and of a signature that is
-    near another or holds several files (key: its first file)."""
-    sides = pairs.select("repo_id", "language", F.col("path1").alias("first")).unionByName(
-        pairs.select("repo_id", "language", F.col("path2").alias("first"))).distinct()
-    first = distinct_signatures(members).select("repo_id", "language", "sig", F.col("path").alias("first"))
-    near = members.select("repo_id", "language", "sig", "path").join(
-        first.join(sides, ["repo_id", "language", "first"]), ["repo_id", "language", "sig"])
-    return exact.select("repo_id", F.lit("exact").alias("kind"), F.col("md5").alias("group_key"), "path").unionByName(
-        near.select("repo_id", F.lit("near").alias("kind"), F.col("first").alias("group_key"), "path"))
 
+def first_listed_pairs(pairs: DataFrame, members: DataFrame, k: int = 10) -> DataFrame:
+    """From signature pairs, file pairs that hold the first k of each repository, without expanding all of them.
 
-def duplicate_counts(repos: DataFrame, groups: DataFrame, pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """(repo_id, duplicate_groups, exact_groups, near_pairs) of every repository, by arithmetic on signatures.
-
-    Near pairs are the sum of ``n_pairs`` less the two-file exact groups whose pair is among them.
+    A pair among the first k of its two signatures has both files among their first k; within one
+    signature, a file can lose one partner to a two-file exact group.
     """
-    own = members.select("repo_id", "language", "sig", "path")
-    two = (_pairs_of_two(groups).join(own.withColumnRenamed("path", "path1"), ["repo_id", "path1"])
-           .join(own.withColumnRenamed("path", "path2"), ["repo_id", "path2", "language", "sig"]))
-    first = distinct_signatures(members).select("repo_id", "language", "sig", F.col("path").alias("first"))
-    within = pairs.where("path1 = path2").select("repo_id", "language", F.col("path1").alias("first"))
-    hidden = (two.join(first.join(within, ["repo_id", "language", "first"]), ["repo_id", "language", "sig"])
-              .groupBy("repo_id").agg(F.count(F.lit(1)).alias("hidden")))
-    exact = groups.groupBy("repo_id").agg(F.count(F.lit(1)).alias("exact_groups"))
-    near = pairs.groupBy("repo_id").agg(F.sum("n_pairs").alias("n_pairs"))
-    zero = F.lit(0).cast("bigint")
-    return (repos.select("repo_id").join(exact, "repo_id", "left").join(near, "repo_id", "left").join(hidden, "repo_id", "left")
-            .select("repo_id", F.coalesce("exact_groups", zero).alias("exact_groups"),
-                    (F.coalesce("n_pairs", zero) - F.coalesce("hidden", zero)).alias("near_pairs"))
-            .select("repo_id", (F.col("exact_groups") + F.col("near_pairs")).alias("duplicate_groups"), "exact_groups", "near_pairs"))
+    return _expand(pairs, members, first=k + 2)

@@ -48,11 +48,14 @@ def _per_language(language: Column, table: dict[str, list[str]], fn, default: Co
 
 
 def with_line_records(files: DataFrame, text_col: str = "text",
-                      language_col: str = "language") -> DataFrame:
+                      language_col: str = "language", keep_block: bool = False) -> DataFrame:
     """Add ``_recs``: array<struct> with one classified record per line of the text.
 
     Record fields: line_no, line, stripped, kind, todo, is_import, has_error,
     literals, is_branch, func_name, class_name.
+
+    With ``keep_block`` also ``_head``, the number of first lines whose state is the one before the text, and
+    ``_exit``, the state after it (NULL: as before it).
     """
     language = F.col(language_col)
     single, opener, closer = comment_tokens(language)
@@ -139,6 +142,8 @@ def with_line_records(files: DataFrame, text_col: str = "text",
         )
 
     df = df.withColumn("_recs", F.transform(F.arrays_zip("_base", "_kinds"), record))
+    if keep_block:
+        df = df.withColumn("_head", first_idx + 1).withColumn("_exit", F.try_element_at("_marks", F.lit(-1))["m"])
     return df.drop("_raw", "_base", "_marks", "_state", "_kinds", "_single", "_open", "_close")
 
 

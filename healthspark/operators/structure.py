@@ -44,25 +44,14 @@ def _extents(starts: Column, total: Column, kind: str) -> Column:
     return F.filter(F.zip_with(starts, ends, build), lambda x: x.isNotNull())
 
 
-def file_analysis(files: DataFrame, keep_lines: bool = False) -> DataFrame:
-    """One row per analysed (non-binary) file with counters and child arrays.
-
-    Columns: repo_id, path, language, is_test, size_bytes, md5, total_lines,
-    code_lines, comment_lines, blank_lines, function_count, class_count,
-    import_count, todo_count, literal_count, branch_lines, feature_count,
-    has_error_handling, complexity, functions, classes, imports, todos, literals
-    (and ``_recs`` with ``keep_lines``).
-    """
-    f = files.where(~F.col("is_binary")).select(
-        "repo_id", "path", "language", "is_test", "size_bytes", "md5", "text",
-        feature_count(F.col("text"), F.col("language")).alias("feature_count"))
-    f = with_line_records(f).drop("text")
+def record_summary(f: DataFrame) -> DataFrame:
+    """Counters and child lists of a row's line records; starts of functions and classes as ``_fstarts``, ``_cstarts``."""
     recs = F.col("_recs")
 
     def count_kind(k: str) -> Column:
         return F.size(F.filter(recs, lambda r: r["kind"] == F.lit(k)))
 
-    f = f.select(
+    return f.select(
         "*",
         F.size(recs).alias("total_lines"),
         count_kind("code").alias("code_lines"),
@@ -86,6 +75,26 @@ def file_analysis(files: DataFrame, keep_lines: bool = False) -> DataFrame:
         F.size(F.filter(recs, lambda r: r["is_branch"])).alias("branch_lines"),
         F.exists(recs, lambda r: r["has_error"]).alias("has_error_handling"),
     )
+
+
+def complexity(functions: Column, classes: Column, branch_lines: Column, code_lines: Column) -> Column:
+    indicators = functions + classes + branch_lines
+    return F.when(code_lines > 0, indicators.cast("double") / code_lines.cast("double") * F.lit(100.0)).otherwise(F.lit(0.0))
+
+
+def file_analysis(files: DataFrame, keep_lines: bool = False) -> DataFrame:
+    """One row per analysed (non-binary) file with counters and child arrays.
+
+    Columns: repo_id, path, language, is_test, size_bytes, md5, total_lines,
+    code_lines, comment_lines, blank_lines, function_count, class_count,
+    import_count, todo_count, literal_count, branch_lines, feature_count,
+    has_error_handling, complexity, functions, classes, imports, todos, literals
+    (and ``_recs`` with ``keep_lines``).
+    """
+    f = files.where(~F.col("is_binary")).select(
+        "repo_id", "path", "language", "is_test", "size_bytes", "md5", "text",
+        feature_count(F.col("text"), F.col("language")).alias("feature_count"))
+    f = record_summary(with_line_records(f).drop("text"))
     f = f.withColumn("functions", _extents(F.col("_fstarts"), F.col("total_lines"), "function"))
     f = f.withColumn("classes", _extents(F.col("_cstarts"), F.col("total_lines"), "class"))
     f = f.select(
@@ -96,11 +105,7 @@ def file_analysis(files: DataFrame, keep_lines: bool = False) -> DataFrame:
         F.size("todos").alias("todo_count"),
         F.size("literals").alias("literal_count"),
     )
-    indicators = F.col("function_count") + F.col("class_count") + F.col("branch_lines")
-    f = f.withColumn("complexity", F.when(
-        F.col("code_lines") > 0,
-        indicators.cast("double") / F.col("code_lines").cast("double") * F.lit(100.0))
-        .otherwise(F.lit(0.0)))
+    f = f.withColumn("complexity", complexity(*[F.col(c) for c in ("function_count", "class_count", "branch_lines", "code_lines")]))
     cols = ["repo_id", "path", "language", "is_test", "size_bytes", "md5",
             "total_lines", "code_lines", "comment_lines", "blank_lines",
             "function_count", "class_count", "import_count", "todo_count", "literal_count",

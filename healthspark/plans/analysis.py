@@ -27,10 +27,13 @@ from ..operators import duplicates as D
 from ..operators import fixes as G
 from ..operators import lines as L
 from ..operators import metrics as M
+from ..operators import near_classes as N
+from ..operators import ranks
 from ..operators import smells as E
 from ..operators import structure as S
 from ..session import materialize
 from ..sources import corpus as C
+from .documents import document_parts
 
 
 @dataclass
@@ -143,27 +146,56 @@ class Analysis:
         """The full list, file pairs expanded; the tables below do without it."""
         return D.all_duplicates(self.analysis, self.near_threshold)
 
+    @cached_property
+    def duplicate_ranks(self) -> DataFrame:
+        """The full list with ``group_rank``, every row's place in its repository's list."""
+        return ranks.ranked(self.duplicates, "repo_id", D.ORDER_KEYS, "group_rank", self.shared_dir)
+
     @cached_property
     def signature_members(self) -> DataFrame:
-        return self._reuse(D.signature_members(self.analysis), "signatures")
+        return self._reuse(N.class_members(D.signature_members(self.analysis)), "signatures")
 
     @cached_property
     def signature_pairs(self) -> DataFrame:
         return self._reuse(D.near_signature_pairs(D.distinct_signatures(self.signature_members), self.near_threshold),
                            "signature_pairs")
 
+    @cached_property
+    def name_classes(self) -> DataFrame:
+        return self._reuse(N.histograms(self.signature_members), "name_classes")
+
+    @cached_property
+    def class_pairs(self) -> DataFrame:
+        return self._reuse(N.class_pairs(self.name_classes, self.near_threshold), "class_pairs")
+
+    @cached_property
+    def near_links(self) -> DataFrame:
+        return self._reuse(N.near_links(self.signature_members, self.name_classes, self.class_pairs, self.near_threshold),
+                           "near_links")
+
+    @cached_property
+    def file_links(self) -> DataFrame:
+        return N.file_links(self.signature_members, self.near_links)
+
+    @cached_property
+    def first_near_pairs(self) -> DataFrame:
+        if self.near_threshold > dims.SIMILARITY_WEIGHTS[0]:
+            return N.first_near_pairs(self.signature_members, self.exact_groups, self.class_pairs, 10, self.near_threshold)
+        return D.first_listed_pairs(self.signature_pairs, self.signature_members)
+
     @cached_property
     def first_duplicates(self) -> DataFrame:
-        return self._reuse(D.first_duplicates(self.exact_groups, self.signature_pairs, self.signature_members),
+        return self._reuse(D.first_duplicates(self.exact_groups, self.first_near_pairs, self.signature_members),
                            "first_duplicates")
 
     @cached_property
     def duplicate_members(self) -> DataFrame:
-        return D.duplicate_members(self.exact_members, self.signature_pairs, self.signature_members)
+        return N.duplicate_members(self.exact_members, self.signature_members, self.near_links)
 
     @cached_property
     def duplicate_counts(self) -> DataFrame:
-        return D.duplicate_counts(self.repos, self.exact_groups, self.signature_pairs, self.signature_members)
+        hidden = N.hidden_pairs(self.exact_groups, self.signature_members, self.near_threshold)
+        return N.duplicate_counts(self.repos, self.exact_groups, self.near_links, hidden)
 
     # --- metrics --------------------------------------------------------------
     @cached_property
@@ -187,6 +219,12 @@ class Analysis:
     def fix_files(self) -> DataFrame:
         return G.fix_files(self.fixes, self.first_duplicates, self.exact_members)
 
+    @cached_property
+    def document_parts(self) -> DataFrame:
+        """The JSON documents of all repositories in numbered parts; ``sinks.packs`` writes them."""
+        return document_parts(self.repo_metrics, self.language_stats, self.smells, self.analysis, self.functions,
+                              self.todos, self.shared_dir)
+
     @cached_property
     def fix_plans(self) -> DataFrame:
         return G.fix_plans(self.repo_metrics, self.fixes)

@@ -6,13 +6,16 @@ match the DuckDB oracle of the same name in ``oracles/catalog.py``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import chunks as H
 from ..sources import driver_corpora as K
-from ..session import materialize
+from ..session import checkpoint_dir, materialize
+from ..sinks import packs as P
 from .analysis import Analysis, analyze, longs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -163,6 +166,27 @@ def file_facts_docs(spark, sf):
     return longs(k2(spark, sf).file_facts)
 
 
+def k1_chunked(spark: SparkSession, sf: str, chunk_bytes: int = 1024) -> H.ChunkedAnalysis:
+    """The code corpus analysed in chunks of about a kilobyte, so that most files have several."""
+    corpus = materialize(K.k1_corpus(spark, sf), "k1_corpus", "write")
+    return H.analyse_chunks(H.chunk_table(corpus, chunk_bytes), H.digests(corpus))
+
+
+@query("file_facts_chunked")
+def file_facts_chunked(spark, sf):
+    return longs(k1_chunked(spark, sf).file_facts)
+
+
+@query("functions_chunked")
+def functions_chunked(spark, sf):
+    return longs(k1_chunked(spark, sf, 256).functions)
+
+
+@query("classes_chunked")
+def classes_chunked(spark, sf):
+    return longs(k1_chunked(spark, sf, 256).classes)
+
+
 @query("feature_counts")
 def feature_counts(spark, sf):
     ff = k1(spark, sf).file_facts
@@ -198,6 +222,34 @@ def duplicate_summary(spark, sf):
     return longs(k1(spark, sf).duplicate_counts)
 
 
+@query("duplicate_summary_low")
+def duplicate_summary_low(spark, sf):
+    # a threshold that code lines alone can reach
+    return longs(k1(spark, sf, near_threshold=0.25).duplicate_counts)
+
+
+@query("duplicate_summary_all")
+def duplicate_summary_all(spark, sf):
+    # every pair of a language
+    return longs(k1(spark, sf, near_threshold=0.0).duplicate_counts)
+
+
+@query("near_links")
+def near_links(spark, sf):
+    return longs(k1(spark, sf).file_links)
+
+
+@query("near_links_low")
+def near_links_low(spark, sf):
+    return longs(k1(spark, sf, near_threshold=0.25).file_links)
+
+
+@query("duplicate_ranks")
+def duplicate_ranks(spark, sf):
+    return longs(k1(spark, sf).duplicate_ranks.select(
+        "repo_id", "group_rank", "is_exact", "similarity", "file_1", "file_2", "n_files"))
+
+
 @query("near_signature_pairs")
 def near_signature_pairs(spark, sf):
     return longs(k1(spark, sf).signature_pairs)
@@ -388,7 +440,7 @@ def report_issues(spark, sf):
 
 @query("complex_files")
 def complex_files(spark, sf):
-    return R.complex_files(k1(spark, sf).analysis)
+    return longs(R.complex_files(k1(spark, sf).analysis))
 
 
 @query("language_share")
@@ -428,6 +480,17 @@ def report_json(spark, sf):
     return R.report_json(a.repo_metrics, a.language_stats, a.smells, a.analysis)
 
 
+@query("report_document")
+def report_document(spark, sf):
+    """Files and issues of the JSON documents, as read back from written packs."""
+    parts = k1(spark, sf).document_parts
+    path = f"{checkpoint_dir(spark)}/documents-{uuid.uuid4().hex}"
+    P.write_documents(parts, path)
+    back = P.read_documents(spark, path)
+    return back.join(parts.select("repo_id", "part", "section"), ["repo_id", "part"]).where("section > 0").select(
+        "repo_id", F.col("section").cast("bigint").alias("section"), "part", "text")
+
+
 @query("smell_details")
 def smell_details(spark, sf):
     return longs(k1(spark, sf).smell_details)

@@ -48,6 +48,8 @@ oracle("sensitive_functions", chain("k1", line_ctes()) +
 oracle("long_functions", chain("k1", line_ctes()) +
        "SELECT repo_id, path, name, start_line, line_count FROM functions WHERE is_long")
 oracle("file_facts", chain("k1", line_ctes()) + "SELECT * FROM file_facts")
+for chunked in ("file_facts", "functions", "classes"):  # chunks change nothing
+    oracle(f"{chunked}_chunked", ORACLES[chunked])
 oracle("file_facts_docs", chain("k2", line_ctes()) + "SELECT * FROM file_facts")
 oracle("feature_counts", chain("k1", line_ctes()) +
        "SELECT repo_id, CAST(sum(feature_count) AS BIGINT) AS feature_count FROM file_facts GROUP BY repo_id")
@@ -66,6 +68,17 @@ oracle("all_duplicates", chain("k1", line_ctes(), dup_ctes()) +
        "SELECT repo_id, is_exact, similarity, file_1, file_2, CAST(n_files AS BIGINT) AS n_files, group_key, "
        "CAST(kind_order AS BIGINT) AS kind_order, CAST(sim_order AS DOUBLE) AS sim_order, lang_order FROM all_dups")
 oracle("duplicate_summary", chain("k1", line_ctes(), dup_ctes()) + "SELECT * FROM dup_counts")
+oracle("duplicate_summary_low", chain("k1", line_ctes(), dup_ctes(0.25)) + "SELECT * FROM dup_counts")
+oracle("duplicate_summary_all", chain("k1", line_ctes(), dup_ctes(0.0)) + "SELECT * FROM dup_counts")
+LINKS = """
+SELECT e.repo_id, e.language, e.path, e.code_lines, count(n.path) AS n_links FROM eligible e LEFT JOIN (
+  SELECT repo_id, path1 AS path FROM near UNION ALL SELECT repo_id, path2 FROM near) n
+ON n.repo_id = e.repo_id AND n.path = e.path GROUP BY ALL"""
+oracle("near_links", chain("k1", line_ctes(), dup_ctes()) + LINKS)
+oracle("near_links_low", chain("k1", line_ctes(), dup_ctes(0.25)) + LINKS)
+oracle("duplicate_ranks", chain("k1", line_ctes(), dup_ctes()) + """
+SELECT repo_id, row_number() OVER (PARTITION BY repo_id ORDER BY kind_order, sim_order, lang_order, file_1, file_2) AS group_rank,
+  is_exact, similarity, file_1, file_2, CAST(n_files AS BIGINT) AS n_files FROM all_dups""")
 oracle("near_signature_pairs", chain("k1", line_ctes(), dup_ctes()) + "SELECT * FROM sig_pairs")
 oracle("duplicate_members", chain("k1", line_ctes(), dup_ctes()) + "SELECT * FROM dup_member_rows")
 oracle("near_pairs_top10", chain("k1", line_ctes(), dup_ctes()) + """
@@ -148,7 +161,8 @@ SELECT repo_id, 'todo' AS kind, path, line_no AS line, CAST(NULL AS VARCHAR) AS
 UNION ALL SELECT repo_id, 'sensitive_function', path, start_line, name, CAST(NULL AS VARCHAR) FROM functions WHERE is_sensitive
 UNION ALL SELECT repo_id, 'long_function', path, start_line, name, CAST(line_count AS VARCHAR) FROM functions WHERE is_long""")
 oracle("complex_files", chain("k1", line_ctes()) +
-       "SELECT repo_id, path, complexity FROM file_facts WHERE complexity > 10")
+       """SELECT repo_id, row_number() OVER (PARTITION BY repo_id ORDER BY score DESC, path) AS rank, path, complexity, score
+FROM (SELECT *, CAST(format('{:.1f}', complexity) AS DOUBLE) AS score FROM file_facts WHERE complexity > 10)""")
 oracle("language_share", chain("k1", line_ctes()) + """,
 ls AS (
   SELECT s.repo_id, s.language, coalesce(max(l.lines), 0) AS lines
@@ -257,3 +271,33 @@ SELECT m.repo_id, '{{"meta":{{"tool":"healthspark","repository":"' || m.repo_id
   || ',"issues":{{"todo":' || coalesce(iss.todos, 0) || ',"sensitive_function":' || coalesce(fi.s, 0) || ',"long_function":' || coalesce(fi.l, 0) || '}}}}' AS json
 FROM repo_metrics m LEFT JOIN lg ON lg.repo_id = m.repo_id LEFT JOIN sm ON sm.repo_id = m.repo_id
 LEFT JOIN fl ON fl.repo_id = m.repo_id LEFT JOIN iss ON iss.repo_id = m.repo_id LEFT JOIN fi ON fi.repo_id = m.repo_id""")
+
+# the documents' lists, part by part: the first part of each repository is its header
+oracle("report_document", chain("k1", line_ctes()) + """,
+counts AS (SELECT f.repo_id, f.path, count(CASE WHEN x.is_sensitive THEN 1 END) AS sens, count(CASE WHEN x.is_long THEN 1 END) AS lng
+  FROM file_facts f LEFT JOIN functions x ON x.repo_id = f.repo_id AND x.path = f.path GROUP BY f.repo_id, f.path),
+scored AS (SELECT *, CAST(format('{:.1f}', complexity) AS DECIMAL(20,1)) AS score FROM file_facts),
+rows_ AS (
+  SELECT r.repo_id, u.section, 0 AS item, 0.0::DOUBLE AS o, '' AS path, 0::BIGINT AS line, u.text
+  FROM (SELECT DISTINCT repo_id FROM corpus) r, (VALUES (0, ''), (1, ',"files":['), (2, '],"issues":{"complex_files":['),
+    (3, '],"long_functions":['), (4, '],"sensitive_functions":['), (5, '],"todos":['), (6, ']}}')) u(section, text)
+  UNION ALL
+  SELECT f.repo_id, 1, 1, 0.0, f.path, 0, to_json({'path': f.path, 'language': f.language, 'lines': f.total_lines,
+    'code_lines': f.code_lines, 'comment_lines': f.comment_lines, 'complexity': f.score, 'functions': f.function_count,
+    'classes': f.class_count, 'issues': {'todos': f.todo_count, 'sensitive_functions': c.sens, 'long_functions': c.lng}})::VARCHAR
+  FROM scored f JOIN counts c ON c.repo_id = f.repo_id AND c.path = f.path
+  UNION ALL
+  SELECT repo_id, 2, 1, -score, path, 0, to_json({'file': path, 'score': score})::VARCHAR FROM scored WHERE complexity > 10
+  UNION ALL
+  SELECT repo_id, 3, 1, 0.0, path, start_line, to_json({'file': path, 'name': name, 'lines': line_count})::VARCHAR
+  FROM functions WHERE is_long
+  UNION ALL
+  SELECT repo_id, 4, 1, 0.0, path, start_line, to_json({'file': path, 'name': name, 'line': start_line})::VARCHAR
+  FROM functions WHERE is_sensitive
+  UNION ALL
+  SELECT repo_id, 5, 1, 0.0, path, line_no, to_json({'file': path, 'line': line_no, 'content': content})::VARCHAR FROM todos),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY section, item, o, path, line, text) AS part,
+    row_number() OVER (PARTITION BY repo_id, section, item ORDER BY o, path, line, text) AS k FROM rows_)
+SELECT repo_id, CAST(section AS BIGINT) AS section, part, CASE WHEN item = 1 AND k > 1 THEN ',' ELSE '' END || text AS text
+FROM placed WHERE section > 0""")
