@@ -2,8 +2,9 @@
 
 Base spans (email, ip, card, phone) follow fixed patterns and always stay. Further candidates come from looser
 shapes: written-out addresses, phone numbers without a plus, social security and bank account numbers, names
-after a title or an introduction. Every candidate, base ones included, gets a vote (for, against, none) of each
-labeler: strict pattern, checksum, gazetteer, context words before it, and clean edges.
+after a title or an introduction, and secrets (long runs of letters and digits). Every candidate, base ones included,
+gets a vote (for, against, none) of each labeler: strict pattern, checksum (for secrets: whether the characters are
+as mixed as random ones), gazetteer (for secrets: whether something is set to it), context words before it, and clean edges.
 
 The votes of all candidates are counted by pattern (kind, votes, length class): a table whose size is
 bounded by the number of patterns, whatever the corpus. On it, EM estimates every labeler's reliability
@@ -21,7 +22,9 @@ which accepts base spans only; other columns are not read.
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import store
 
 BASE = ("email", "ip", "card", "phone")
-ADDED = ("email_text", "phone_local", "ssn", "iban", "name")
+ADDED = ("email_text", "phone_local", "ssn", "iban", "name", "secret")
 KINDS = BASE + ADDED
 LABELERS = ("strict", "checksum", "gazetteer", "context", "edges")
 
@@ -40,13 +43,15 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_EMAIL_TEXT = re.compile(r"(?<![\w.])[A-Za-z0-9._%+-]{1,64}+ ?(?:\(at\)|\[at\]|\{at\}| at ) ?[A-Za-z0-9-]{1,63}+"
-                         r" ?(?:\(dot\)|\[dot\]|\{dot\}| dot |\.) ?[A-Za-z]{2,24}(?![\w])")
+_EMAIL_TEXT = re.compile(r"(?<![\w.%+-])[A-Za-z0-9._%+-]++ ?(?:\(at\)|\[at\]|\{at\}| at ) ?[A-Za-z0-9-]++"
+                         r" ?(?:\(dot\)|\[dot\]|\{dot\}| dot |\.) ?[A-Za-z]{2,}+(?![\w])")
 _PHONE_LOCAL = re.compile(r"(?<![\w+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\w-])")
 _SSN = re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
-_NAME = re.compile(r"(?<!\w)(?:Mr|Mrs|Ms|Dr|Prof)\. ?[A-Z][a-z]{1,30}(?: [A-Z][a-z]{1,30})?(?!\w)"
-                   r"|(?<=[Mm]y name is )[A-Z][a-z]{1,30}(?: [A-Z][a-z]{1,30})?(?!\w)")
+_NAME = re.compile(r"(?<!\w)(?:Mr|Mrs|Ms|Dr|Prof)\. ?[A-Z][a-z]++(?: [A-Z][a-z]++)?(?!\w)"
+                   r"|(?<=[Mm]y name is )[A-Z][a-z]++(?: [A-Z][a-z]++)?(?!\w)")
+#: Keys and tokens: at least 20 characters, letters and digits among them.
+_SECRET = re.compile(r"(?<![\w+/-])(?=[A-Za-z_+/-]*+[0-9])(?=[0-9_+/-]*+[A-Za-z])[\w+/-]{20,}+(?:={1,2})?(?![\w+/-])", re.ASCII)
 
 #: Words that announce a kind, looked for in the 40 characters before a span.
 CONTEXT = {
@@ -55,7 +60,8 @@ CONTEXT = {
     "phone": ("call", "phone", "tel", "mobile", "fax", "contact"),
     "phone_local": ("call", "phone", "tel", "mobile", "fax", "contact"),
     "ssn": ("ssn", "social", "security"), "iban": ("iban", "account", "bank", "transfer"),
-    "name": ("name", "dear", "contact", "sincerely")}
+    "name": ("name", "dear", "contact", "sincerely"),
+    "secret": ("token", "secret", "key", "password", "passwd", "pwd", "credential", "bearer", "auth")}
 #: Top-level domains, country codes of calls, given names: the gazetteers.
 DOMAINS = frozenset("com org net edu gov io de fr es uk eu info it nl ch at be ca us co ru jp cn in br au".split())
 CALLING = ("1", "33", "34", "44", "49", "39", "41", "43", "31", "32", "7", "81", "86", "91", "55", "61")
@@ -103,7 +109,7 @@ def added_candidates(text: str) -> list[tuple[str, int, int]]:
     out = []
     for kind, pattern, hint in (("email_text", _EMAIL_TEXT, ("dot", "at")), ("phone_local", _PHONE_LOCAL, None),
                                 ("ssn", _SSN, ("-",)), ("iban", _IBAN, None),
-                                ("name", _NAME, ("Mr", "Ms", "Dr", "Prof", "y name is "))):
+                                ("name", _NAME, ("Mr", "Ms", "Dr", "Prof", "y name is ")), ("secret", _SECRET, None)):
         if kind == "email_text" and not ("(at)" in text or "[at]" in text or "{at}" in text or " dot " in text):
             continue
         if hint and not any(h in text for h in hint):
@@ -112,6 +118,14 @@ def added_candidates(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def mixed(span: str) -> bool:
+    """Whether a run's characters are spread as in a random key: bits per character against what its kinds allow."""
+    n = len(span)
+    bits = -sum(c / n * math.log2(c / n) for c in Counter(span).values())
+    symbols = 16 if re.fullmatch("[0-9a-f]+|[0-9A-F]+", span) else 36 if span in (span.lower(), span.upper()) else 62
+    return bits >= 0.8 * math.log2(min(n, symbols))
+
+
 def votes(text: str, kind: str, start: int, end: int) -> tuple[int, ...]:
     """One of 1 (for), -1 (against), 0 (none) of each labeler."""
     span = text[start:end]
@@ -126,6 +140,8 @@ def votes(text: str, kind: str, start: int, end: int) -> tuple[int, ...]:
     elif kind == "iban":
         moved = span.replace(" ", "")[4:] + span.replace(" ", "")[:4]
         check = 1 if int("".join(str(int(c, 36)) for c in moved)) % 97 == 1 else -1
+    elif kind == "secret":
+        check = 1 if mixed(span) else -1
     elif kind == "ssn":
         check = -1 if digits[:3] in ("000", "666") or digits[0] == "9" or digits[3:5] == "00" or digits[5:] == "0000" else 1
     if kind in ("email", "email_text"):
@@ -134,6 +150,8 @@ def votes(text: str, kind: str, start: int, end: int) -> tuple[int, ...]:
         gazetteer = 1 if digits.startswith(CALLING) else -1
     elif kind == "phone_local":
         gazetteer = -1 if digits[0] in "01" else 0
+    elif kind == "secret":
+        gazetteer = 1 if before.rstrip(" \"'`").endswith(("=", ":")) else 0
     elif kind == "name":
         gazetteer = 1 if GIVEN.intersection(span.split()) else 0
     context = 1 if any(w in before for w in CONTEXT[kind]) else 0

@@ -4,13 +4,14 @@ Law `bytes`. Rows are ordered by (h, doc_id, uid): h is a 62-bit hash of the tex
 neighbours; uid tells repeated rows apart. Splitters are found without sorting: count the exact bytes
 of a few thousand evenly spaced candidate cells of h in every partition, keep the cells that hold a
 target, and refine only those, until a cell edge lies within the tolerance of its target or the
-cell is a single text. A text that holds more bytes than that (a hot group of copies) is refined the
-same way by doc_id, then by uid, so it is cut between rows and never forces one shard to hold it. What
+cell is a single text. The splitter then goes to the nearer edge of that text, so its copies stay together, if they
+hold at most half a shard's bytes; a larger group of copies is refined the same way by doc_id, then by uid, so it
+is cut between rows and never forces one shard to hold it. What
 reaches the driver are counts of candidate cells: at most `cells` per pass and open splitter.
 
 After that each row knows its shard by comparing its key with the splitters, and rows move once.
-Every shard is divided into `parts` finer ranges by the same splitters, so the numbering of slots is
-also balanced however few shards there are.
+Every shard is divided into `parts` finer ranges by the same splitters, more of them the more rows there are, so
+the numbering of slots is also balanced however few shards there are.
 
 Input rules: a null text has size 16 and crc32 0 of no bytes, nulls form one group; null doc_ids sort
 first; equal rows are kept apart by uid; an empty table gives an empty result; other columns of the
@@ -90,8 +91,10 @@ def _histogram(rows: DataFrame, col: str, open_cells: Sequence[tuple], cells: in
     return out
 
 
-def find_splitters(rows: DataFrame, targets: Sequence[float], tolerance: float, cells: int = 4096) -> list[tuple]:
-    """One key (h, d, uid) for each target: the bytes of all rows below it are near the target.
+def find_splitters(rows: DataFrame, targets: Sequence[float], tolerance: float, cells: int = 4096,
+                   whole: float = 0.0) -> list[tuple]:
+    """One key (h, d, uid) for each target: the bytes of all rows below it are near the target. Equal texts of
+    at most `whole` bytes in all are not cut.
 
     A splitter is (h, d or None, uid or None); None stands for the smallest value.
     """
@@ -113,7 +116,8 @@ def find_splitters(rows: DataFrame, targets: Sequence[float], tolerance: float,
                         at += size
                         continue
                     left, right = abs(aim - at), abs(at + size - aim)
-                    if min(left, right) <= tolerance or (least == most and col == "uid"):
+                    uncut = least == most and (col == "uid" or (col == "h" and size <= whole))
+                    if min(left, right) <= tolerance or uncut:
                         splitters[i] = (*cell[0], least if left <= right else most + 1)
                     elif least == most:
                         later.setdefault(((*cell[0], least), None, None), []).append((i, at))
@@ -166,19 +170,22 @@ def range_index(splitters: Sequence[tuple]) -> Column:
 
 
 def shard_documents(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_col: str = "text",
-                    tolerance: float = 0.01, parts: int = 4) -> DataFrame:
+                    tolerance: float = 0.01, parts: int | None = None, whole: float = 0.5) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot for every row; shards hold near-equal bytes.
 
-    A shard's bytes differ from the mean by at most `tolerance` of it or the size of one row,
-    whichever is more, at either edge. Texts that are equal share a shard, except where an edge has to cut
-    between them. slot counts from 0 without gaps in the order (h, doc_id).
+    A shard's bytes differ from the mean by at most `tolerance` of it, or else by half the bytes of the one
+    text that lies across an edge. Texts that are equal share a shard, unless they hold more than the share `whole` of
+    a shard's bytes and an edge falls among them. `parts` (default: by the rows) are the ranges of a shard that are
+    numbered apart. slot counts from 0 without gaps in the order (h, doc_id).
     """
     rows = store(sort_keys(docs, id_col, text_col), "shard-keys")
-    total = rows.agg(F.sum("size")).first()[0] or 0
+    total, count = rows.agg(F.sum("size"), F.count("size")).first()
+    parts = parts or max(4, min(32, -(-count // (n_shards * 500_000))))
     fine = n_shards * parts
     if total:
         targets = [total * i / fine for i in range(1, fine)]
-        splitters = find_splitters(rows, targets, tolerance * total / n_shards / (2 * parts))
+        splitters = find_splitters(rows, targets, tolerance * total / n_shards / (2 * parts),
+                                   whole=whole * total / n_shards)
         splitters.sort(key=lambda s: tuple((v is not None, v or 0) for v in s))
     else:
         splitters = [(0, None, None)] * (fine - 1)

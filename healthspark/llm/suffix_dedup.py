@@ -18,8 +18,9 @@ Segments are identified by 128 bits (anchor hash and content hash); windows of d
 compared byte by byte.
 
 Input rules: a null text is empty; texts shorter than `length` keep all bytes; rows equal in doc_id and
-text are one document and get the same result; other rows that share a doc_id are ordered by a hash of
-their text; null doc_ids come first; an empty table gives an empty result; documents of any length
+text are one document and get the same result; other rows that share a doc_id are separate documents in the order of
+a 128-bit hash of their text (if there are such rows, all documents are numbered in order of doc_id and hash first);
+null doc_ids come first; an empty table gives an empty result; documents of any length
 are processed whole, in overlapping chunks; other columns are not read.
 """
 
@@ -37,7 +38,6 @@ from .common import store
 
 CHUNK = 1 << 20
 _ODD = 0x9E3779B97F4A7C15 | 1
-_PLACE = 40
 
 
 # --- suffix arrays -------------------------------------------------------------------------------------
@@ -243,7 +243,7 @@ def segments(raw: np.ndarray, window_ok: np.ndarray, length: int, k: int, hasher
 
 
 def chunks(rows: Iterator[tuple], length: int, size: int) -> Iterator[tuple]:
-    """Cuts (doc, tie, bytes) rows into chunks: (bytes, ok windows, [(doc, place of the first byte, offset, bytes)])."""
+    """Cuts (doc, bytes) rows into chunks: (bytes, ok windows, [(doc, place of the first byte, offset, bytes)])."""
     parts, held = [], 0
 
     def close():
@@ -253,7 +253,7 @@ def chunks(rows: Iterator[tuple], length: int, size: int) -> Iterator[tuple]:
             ok[at:at + len(piece) - length + 1] = True
         return raw, ok, parts
 
-    for doc, tie, text in rows:
+    for doc, text in rows:
         for at in range(0, max(1, len(text) - length + 1), size):
             piece = text[at:at + size + length - 1]  # windows that start in this stretch
             if len(piece) < length:
@@ -261,7 +261,7 @@ def chunks(rows: Iterator[tuple], length: int, size: int) -> Iterator[tuple]:
             if held and held + len(piece) > size:
                 yield close()
                 parts, held = [], 0
-            parts.append((doc, (tie << _PLACE) + at, held, piece))
+            parts.append((doc, at, held, piece))
             held += len(piece)
     if parts:
         yield close()
@@ -294,9 +294,9 @@ def segment_rows(docs: DataFrame, length: int, k: int) -> DataFrame:
 
         def rows():
             for batch in batches:
-                doc, tie, text = batch.columns
+                doc, text = batch.columns
                 for i in range(batch.num_rows):
-                    yield doc[i].as_py(), tie[i].as_py(), (text[i].as_py() or "").encode("utf-8", "surrogatepass")
+                    yield doc[i].as_py(), (text[i].as_py() or "").encode("utf-8", "surrogatepass")
 
         for raw, ok, parts in chunks(rows(), length, CHUNK):
             anchor, content, start, n = segments(raw, ok, length, k, hasher)
@@ -318,7 +318,7 @@ def segment_rows(docs: DataFrame, length: int, k: int) -> DataFrame:
                 d, p, m = _ranges(doc[real], pos[real], n[real])
                 yield _rows(True, d * np.int64(31) + p, np.zeros(len(d)), d, p, m)
 
-    return docs.select("doc", "tie", "text").mapInArrow(run, NUMBERS)
+    return docs.select("doc", "text").mapInArrow(run, NUMBERS)
 
 
 def classify(rows: DataFrame) -> DataFrame:
@@ -375,7 +375,7 @@ def classify(rows: DataFrame) -> DataFrame:
 def segment_bytes(docs: DataFrame, asked: DataFrame, length: int, hot: int) -> DataFrame:
     """(key, bytes, doc, pos): the bytes of asked segments; windows of a hot anchor one by one, keyed by content."""
     busy = asked.groupBy("anchor").count().where(F.col("count") > hot).select("anchor", F.lit(True).alias("busy"))
-    lists = asked.join(busy, "anchor", "left").groupBy("doc", F.shiftright("pos", _PLACE).cast("int").alias("tie")).agg(
+    lists = asked.join(busy, "anchor", "left").groupBy("doc").agg(
         F.collect_list(F.struct("anchor", "pos", "n", F.coalesce("busy", F.lit(False)).alias("busy"))).alias("asked"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -392,7 +392,7 @@ def segment_bytes(docs: DataFrame, asked: DataFrame, length: int, hot: int) -> D
                 text = (batch.column(1)[i].as_py() or "").encode("utf-8", "surrogatepass")
                 doc = batch.column(0)[i].as_py()
                 for a in batch.column(2)[i].as_py():
-                    start = a["pos"] & ((1 << _PLACE) - 1)
+                    start = a["pos"]
                     if a["busy"]:
                         for j in range(a["n"]):
                             one = text[start + j:start + j + length]
@@ -405,7 +405,7 @@ def segment_bytes(docs: DataFrame, asked: DataFrame, length: int, hot: int) -> D
         if rows:
             yield out(rows)
 
-    return docs.join(lists, ["doc", "tie"]).select("doc", "text", "asked").mapInArrow(
+    return docs.join(lists, "doc").select("doc", "text", "asked").mapInArrow(
         run, "key long, bytes binary, doc long, pos long")
 
 
@@ -463,15 +463,14 @@ def shard_rows(pieces: DataFrame, length: int, shard_bytes: int) -> DataFrame:
 
 
 def repeated_ranges(docs: DataFrame, length: int = 100, k: int = 37, shard_bytes: int = 1 << 20, hot: int = 20_000) -> DataFrame:
-    """(doc, tie, start, n): ranges of windows that also start earlier, of (doc, tie, text) rows."""
+    """(doc, start, n): ranges of windows that also start earlier, of (doc, text) rows."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_rows = segment_rows(docs, length, k).repartition(parts, "anchor").sortWithinPartitions("anchor", "content", "doc", "pos")
     classified = store(classify(sorted_rows), "segments")
     pieces = segment_bytes(docs, classified.where("not settled"), length, hot).repartition(parts, "key") \
         .sortWithinPartitions("key", "bytes", "doc", "pos")
     ranges = classified.where("settled").select("doc", "pos", "n").unionAll(shard_rows(pieces, length, shard_bytes))
-    return ranges.select("doc", F.shiftright("pos", _PLACE).cast("int").alias("tie"),
-                         F.col("pos").bitwiseAND(F.lit((1 << _PLACE) - 1)).alias("start"), "n")
+    return ranges.select("doc", F.col("pos").alias("start"), "n")
 
 
 def cut_spans(size: int, starts: list[int], counts: list[int], length: int) -> list[tuple[int, int]]:
@@ -487,17 +486,32 @@ def cut_spans(size: int, starts: list[int], counts: list[int], length: int) -> l
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"),
-                       F.coalesce(F.col(id_col).cast("long"), F.lit(-(2 ** 63))).alias("doc"),
-                       F.shiftrightunsigned(F.xxhash64(text), 44).cast("int").alias("tie"), text.alias("text"))
+    """(doc_id, doc, text): `doc` tells documents apart and orders them.
+
+    It is the doc_id, unless several texts share one. Then all documents are numbered: narrow rows of ids and
+    hashes are sorted by range, and a row's id in the sorted table, which only grows, is its number.
+    """
+    text, own = F.coalesce(F.col(text_col), F.lit("")), F.col(id_col).cast("long")
+    named = docs.select(own.alias("doc_id"), F.coalesce(own, F.lit(-(2 ** 63))).alias("doc"), text.alias("text"))
+    first = F.xxhash64("text")
+    if named.select("doc", first.alias("h")).groupBy("doc").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").isEmpty():
+        return named
+    second = F.xxhash64(F.lit(1), F.reverse("text"))
+    order = ["doc_id", "h1", "h2"]
+    rows = named.select("doc_id", first.alias("h1"), second.alias("h2")).distinct()
+    numbered = store(rows.repartitionByRange(*order).sortWithinPartitions(*order)
+                     .withColumn("doc", F.monotonically_increasing_id()), "numbers")
+    hashed = named.select("doc_id", "text", first.alias("h1"), second.alias("h2"))
+    key = numbered.select(F.col("doc_id").alias("id"), F.col("h1").alias("k1"), F.col("h2").alias("k2"), "doc")
+    return store(hashed.join(key, hashed["doc_id"].eqNullSafe(key["id"]) & (hashed["h1"] == key["k1"]) & (hashed["h2"] == key["k2"]))
+                 .select("doc_id", "doc", "text"), "numbered")
 
 
 def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text",
                    with_bytes: bool = False, **options) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, on request, spans and the remaining bytes."""
     named = keyed(docs, id_col, text_col)
-    found = repeated_ranges(named.select("doc", "tie", "text"), length, **options).groupBy("doc", "tie").agg(
+    found = repeated_ranges(named.select("doc", "text"), length, **options).groupBy("doc").agg(
         F.collect_list(F.struct("start", "n")).alias("ranges"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -519,4 +533,4 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + \
         ", spans array<struct<start:long,end:long>>, kept binary" * with_bytes
-    return named.join(found, ["doc", "tie"], "left").select("doc_id", "text", "ranges").mapInArrow(run, schema)
+    return named.join(found, "doc", "left").select("doc_id", "text", "ranges").mapInArrow(run, schema)

@@ -5,6 +5,7 @@ import random
 import brute
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from healthspark.llm import embeddings, minhash, suffix_dedup
 
@@ -47,6 +48,20 @@ def test_suffix_dedup_equals_brute_force(spark):
     assert sorted(tuple(r) for r in got) == brute.repeats(rows)
 
 
+def test_suffix_dedup_of_many_texts_with_one_id(spark):
+    rnd = random.Random(13)
+    pieces = ["".join(rnd.choice("abcdefgh ") for _ in range(60)) for _ in range(400)]
+    rows = [(doc, " ".join(rnd.choice(pieces) for _ in range(3)), "s") for doc in (None, 7) for _ in range(2500)]
+    rows += [(8, " ".join(pieces[:3]), "s"), (8, " ".join(pieces[:3]), "s"), (-(2 ** 63), pieces[5], "s"), (None, None, "s")]
+    frame = brute.frame(spark, rows)
+    ordered = frame.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).distinct().orderBy(
+        F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).collect()
+    want = brute.repeats([(i, r["text"], "") for i, r in enumerate(ordered)], 40)  # numbers give the order
+    want = {(ordered[n]["doc_id"], ordered[n]["text"]): (size, *rest) for n, size, *rest in want}
+    got = suffix_dedup.remove_repeats(frame, length=40, k=16).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == sorted(((d, *want[d, t or ""]) for d, t, _ in rows), key=repr)
+
+
 def test_suffix_dedup_hot_anchors_and_short_strings(spark):
     rows = [r for r in brute.texts() if r[0] < 210] + [(-5, "", "s"), (400, "a" * 100, "s"), (401, "a" * 101, "s")]
     got = suffix_dedup.remove_repeats(brute.frame(spark, rows), length=40, k=16, hot=3, with_bytes=True).collect()
