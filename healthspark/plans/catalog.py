@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from ..operators import chunks as H
 from ..sources import driver_corpora as K
+from ..sources import walk as W
 from ..session import checkpoint_dir, materialize
 from ..sinks import packs as P
+from ..sinks import trees as T
 from .analysis import Analysis, analyze, longs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -187,6 +189,36 @@ def classes_chunked(spark, sf):
     return longs(k1_chunked(spark, sf, 256).classes)
 
 
+def k1_tree(spark: SparkSession, sf: str) -> str:
+    """The code corpus as a directory tree, files of every thirteenth size with a NUL byte (no text files, then)."""
+    corpus = materialize(K.k1_corpus(spark, sf), "k1_corpus", "write")
+    content = F.col("content").cast("binary")
+    nul = F.when(F.octet_length(content) % 13 == 0, F.concat(content, F.lit(b"\x00"))).otherwise(content)
+    root = f"{checkpoint_dir(spark)}/tree-{uuid.uuid4().hex}"
+    T.write_tree(corpus.select("repo_id", "path", nul.alias("content")), root)
+    return root
+
+
+@query("tree_file_facts")
+def tree_file_facts(spark, sf):
+    """Files listed and read from a tree by tasks."""
+    return longs(analyze(W.walk_repo_tree(spark, k1_tree(spark, sf))).file_facts)
+
+
+@query("tree_functions_chunked")
+def tree_functions_chunked(spark, sf):
+    """The same tree, read in ranges of half a kilobyte."""
+    root = k1_tree(spark, sf)
+    files = W.list_files(spark, root)
+    return longs(H.analyse_chunks(W.read_chunks(files, root, chunk_bytes=512), W.file_digests(files, root)).functions)
+
+
+@query("tree_scan")
+def tree_scan(spark, sf):
+    """The scan of a tree, from the listing alone."""
+    return longs(analyze(W.walk_repo_tree(spark, k1_tree(spark, sf), content=False)).scanned)
+
+
 @query("feature_counts")
 def feature_counts(spark, sf):
     ff = k1(spark, sf).file_facts

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -33,14 +35,37 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 _LOCAL_DIRS: dict[str, str] = {}
+_SCOPES: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A scope for intermediate tables: all that is written inside it lies in one folder, which its end removes.
+
+    Results are lazy and read those tables, so write or collect them before the scope ends::
+
+        with scratch(spark):
+            analyze(corpus).repo_metrics.write.parquet(out)
+    """
+    folder = f"{checkpoint_dir(spark)}/scratch-{uuid.uuid4().hex}"
+    _SCOPES.append(folder)
+    try:
+        yield folder
+    finally:
+        _SCOPES.remove(folder)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``, which driver and executors share.
+    """The folder named by ``spark.checkpoint.dir``, which driver and executors share; inside a ``scratch`` scope, its
+    folder there.
 
     Only a single-machine session (``local[...]``, as in tests) may do without: it gets a scratch
     folder. On a cluster such a folder would be invisible to other machines, so the call raises.
     """
+    if _SCOPES:
+        return _SCOPES[-1]
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")

@@ -50,6 +50,13 @@ oracle("long_functions", chain("k1", line_ctes()) +
 oracle("file_facts", chain("k1", line_ctes()) + "SELECT * FROM file_facts")
 for chunked in ("file_facts", "functions", "classes"):  # chunks change nothing
     oracle(f"{chunked}_chunked", ORACLES[chunked])
+# a tree on disk: files of every thirteenth size end in a NUL byte and are not analysed
+NO_NUL = "size_bytes % 13 <> 0"
+oracle("tree_file_facts", chain("k1", line_ctes()) + f"SELECT * FROM file_facts WHERE {NO_NUL}")
+oracle("tree_functions_chunked", chain("k1", line_ctes()) + f"""
+SELECT x.repo_id, x.path, x.language, x.is_test, x.name, x.start_line, x.end_line, x.line_count, x.is_sensitive, x.is_long
+FROM functions x JOIN file_facts f ON f.repo_id = x.repo_id AND f.path = x.path WHERE {NO_NUL}""")
+oracle("tree_scan", chain("k1") + f"SELECT {SCAN_COLS.replace('size_bytes', 'size_bytes + (size_bytes % 13 = 0)::BIGINT AS size_bytes')} FROM scanned")
 oracle("file_facts_docs", chain("k2", line_ctes()) + "SELECT * FROM file_facts")
 oracle("feature_counts", chain("k1", line_ctes()) +
        "SELECT repo_id, CAST(sum(feature_count) AS BIGINT) AS feature_count FROM file_facts GROUP BY repo_id")

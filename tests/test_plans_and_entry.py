@@ -143,3 +143,17 @@ def test_k1_keeps_every_lineitem_row(spark):
     files = K.k1_corpus(spark, SF_SMALL)
     assert files.select("repo_id", "path").distinct().count() == files.count()
     assert files.where("content = ''").count() == lines.where("copy < 0").select("src").distinct().count()
+
+
+def test_a_scratch_scope_leaves_nothing_behind(spark, tmp_path):
+    from healthspark.session import checkpoint_dir, scratch
+
+    before = set(os.listdir(checkpoint_dir(spark).removeprefix("file://")))
+    with scratch(spark) as folder:
+        a = analyze(corpus_df(spark, {"a.py": "def f():\n    pass\n" * 20, "b.py": "x = 1\n"}))
+        a.fix_plans.write.parquet(str(tmp_path / "plans"))
+        assert len(os.listdir(folder.removeprefix("file://"))) > 3
+        with scratch(spark) as inner:
+            assert inner.startswith(folder + "/")
+    assert set(os.listdir(checkpoint_dir(spark).removeprefix("file://"))) == before
+    assert spark.read.parquet(str(tmp_path / "plans")).count() == 1
