@@ -2,12 +2,13 @@
 
 A window is `n` consecutive words of a benchmark item; a shorter item is one window of all its words.
 Documents are scanned in place: their words are hashed once, window hashes of every position follow by
-doubling (width 1, 2, 4, 8, then the sum of powers), and positions whose hash is in the benchmark's set
-are verified by comparing the words themselves. Hashes depend on content alone, so no row is exchanged.
+doubling (width 1, 2, 4, 8, then the sum of powers), and each position becomes a row of one hash, which meets the
+set of the benchmark's window hashes. Texts, not rows, are what matches, so hits are kept by a digest of
+the text; only texts with a hit are read again, to compare the words themselves.
 
-The set travels with the plan, to every executor, while it has at most `max_broadcast` windows (the count is taken first); a
-larger benchmark is joined instead: window texts of documents meet the windows in a shuffle join that
-Spark can split where skewed. Both ways give the same verified positions.
+The set is a table of 8-byte hashes. It is broadcast while it has at most `max_broadcast` of them (the count is
+taken first, and bounds its size); a larger benchmark's set meets the positions in a shuffle join that Spark can
+split where skewed. Both ways give the same verified positions.
 
 Input rules: words are runs of `WORD6` after lower-casing A-Z; null or empty texts have no words, neither
 match nor are matched; repeated document rows are separate rows; repeated item ids are pooled; an
@@ -74,53 +75,40 @@ def window_hash_columns(docs: DataFrame, widths: list[int]) -> DataFrame:
     return docs
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text",
-              max_broadcast: int = 50_000) -> DataFrame:
-    """(uid, doc_id, n_words, hits array<struct<pos, width, window>>), pos from 0 and ascending; one row per document row."""
-    windows = store(benchmark_windows(benchmark, n), "windows")
-    distinct = windows.select("width", "window").distinct()
-    size = distinct.count()
-    base = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("w"))
-    # numbered in the last projection: Spark pushes no filter below it, which would copy the hash columns
-    uid = F.monotonically_increasing_id().alias("uid")
-    empty = F.array().cast("array<struct<pos:int,width:int,window:string>>")
-    if size == 0:
-        return base.select(uid, "doc_id", F.size("w").alias("n_words"), empty.alias("hits"))
-    widths = sorted(r[0] for r in distinct.select("width").distinct().collect())
-    at = F.sequence(F.lit(0), F.greatest(F.size("w") - 1, F.lit(0)))
-
-    def window_at(pos: Column, width: int) -> Column:
-        return F.array_join(F.slice(F.col("w"), pos + 1, F.lit(width)), " ")
-
-    if size <= max_broadcast:
-        hashed = window_hash_columns(distinct.withColumn("w", F.split("window", " ")), widths)
-        keys = hashed.select("width", "window", F.coalesce(
-            *[F.when(F.col("width") == v, F.element_at(f"h{v}", 1)) for v in widths]).alias("h")).collect()
-        scan, found = window_hash_columns(base, widths), []
-        for v in widths:
-            own = [r for r in keys if r["width"] == v]
-            hashes = ", ".join(f"{r['h']}L" if r["h"] > -(2 ** 63) else "(-9223372036854775807L - 1L)" for r in own)
-            texts = ", ".join(f"'{r['window']}'" for r in own)  # words hold neither quotes nor backslashes
-            scan = scan.withColumn(f"p{v}", F.expr(
-                f"filter(transform(h{v}, (h, i) -> CASE WHEN h IN ({hashes}) AND i + {v} <= size(h{v}) THEN i END),"
-                f" i -> i IS NOT NULL)"))
-            # the second test compares the words themselves, at the few positions that the first lets through
-            found.append(F.expr(
-                f"filter(transform(p{v}, i -> named_struct('pos', i, 'width', {v}, 'window', "
-                f"array_join(slice(w, i + 1, {v}), ' '))), s -> s.window IN ({texts}))"))
-        return scan.select(uid, "doc_id", F.size("w").alias("n_words"),
-                           F.array_sort(F.concat(*found)).alias("hits"))
-    base = store(base.select(uid, "doc_id", "w"), "words")
-
-    def windows_of(width: int) -> Column:
-        return F.transform(F.filter(at, lambda i: i + width <= F.size("w")), lambda i: F.struct(
-            i.alias("pos"), F.lit(width).alias("width"), window_at(i, width).alias("window")))
-
-    each = base.select("uid", F.explode(F.flatten(F.array(*[windows_of(v) for v in widths]))).alias("hit")).select(
-        "uid", "hit", F.col("hit.width").alias("width"), F.col("hit.window").alias("window"))
-    hits = each.join(distinct, ["width", "window"]).groupBy("uid").agg(F.array_sort(F.collect_list("hit")).alias("hits"))
-    return base.join(hits, "uid", "left").select("uid", "doc_id", F.size("w").alias("n_words"),
-                                                 F.coalesce("hits", empty).alias("hits"))
+def text_key(text: Column) -> Column:
+    """What hits are kept by: rows of equal texts share them."""
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
+def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_col: str = "text",
+              max_broadcast: int = 10_000_000) -> DataFrame:
+    """(key, hits array<struct<pos, width, window>>), pos from 0 and ascending: one row per distinct text with a hit."""
+    windows = store(benchmark_windows(benchmark, n), "windows").select("width", "window").distinct()
+    widths = sorted(r[0] for r in windows.select("width").distinct().collect())  # n at most
+    text = F.col(f"`{text_col}`")
+    if not widths:
+        return docs.select(text_key(text).alias("key"), F.array().cast("array<struct<pos:int,width:int,window:string>>").alias("hits")).limit(0)
+    hashed = window_hash_columns(windows.withColumn("w", F.split("window", " ")), widths)
+    keys = store(hashed.select("width", F.coalesce(
+        *[F.when(F.col("width") == v, F.element_at(f"h{v}", 1)) for v in widths]).alias("h")).distinct(), "window-hashes")
+    if keys.count() <= max_broadcast:
+        keys = F.broadcast(keys)
+    base = docs.select(text_key(text).alias("key"), words(text).alias("w"))
+    scan = window_hash_columns(base, widths)
+    names = [f"h{v}" for v in widths]
+    at = scan.select("key", F.size("w").alias("size"), F.posexplode(F.arrays_zip(*names)).alias("pos", "z"))
+    each = at.select("key", "size", "pos", F.explode(F.array(*[
+        F.struct(F.lit(v).alias("width"), F.col(f"z.h{v}").alias("h")) for v in widths])).alias("k"))
+    met = each.where(F.col("pos") + F.col("k.width") <= F.col("size")).select("key", "pos", "k.width", "k.h").join(
+        keys, ["width", "h"]).select("key", "pos", "width")
+    places = store(met.distinct().groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "width"))).alias("places")), "places")
+    # the second test compares the words themselves, at the few positions that the first lets through
+    again = docs.select(text_key(text).alias("key"), text.alias("_text")).join(places, "key").dropDuplicates(["key"])
+    each = again.select("key", "places", words(F.col("_text")).alias("w")).select("key", F.explode(F.transform("places", lambda p: F.struct(
+        p["pos"].alias("pos"), p["width"].alias("width"),
+        F.array_join(F.slice(F.col("w"), p["pos"] + 1, p["width"]), " ").alias("window")))).alias("hit"))
+    sure = each.select("key", "hit.*").join(windows, ["width", "window"])
+    return store(sure.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "width", "window"))).alias("hits")), "hits")
 
 
 def covered_words(hits: Column) -> Column:
@@ -136,18 +124,21 @@ def covered_words(hits: Column) -> Column:
         h["pos"] + h["width"] > a["end"], step(a, h)).otherwise(a), lambda a: a["n"])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, **options) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text",
+                  **options) -> DataFrame:
     """doc_id, n_words, n_hit, items (sorted as strings), contaminated: one row per document row."""
-    hits = store(find_hits(docs, benchmark, n, **options), "hits")
-    windows = benchmark_windows(benchmark, n)
-    items = (hits.where(F.size("hits") > 0).select("uid", F.explode(F.array_distinct(F.transform(
+    hits = find_hits(docs, benchmark, n, text_col, **options)
+    items = (hits.select("key", F.explode(F.array_distinct(F.transform(
         "hits", lambda h: F.struct(h["width"].alias("width"), h["window"].alias("window"))))).alias("k"))
-        .select("uid", "k.width", "k.window").join(windows, ["width", "window"])
-        .groupBy("uid").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items")))
-    return hits.join(items, "uid", "left").select(
-        "uid", "doc_id", F.col("n_words").cast("long").alias("n_words"),
-        covered_words(F.col("hits")).cast("long").alias("n_hit"),
-        F.coalesce("items", F.array().cast("array<string>")).alias("items"), (F.size("hits") > 0).alias("contaminated"))
+        .select("key", "k.width", "k.window").join(benchmark_windows(benchmark, n), ["width", "window"])
+        .groupBy("key").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items")))
+    found = hits.select("key", covered_words(F.col("hits")).cast("long").alias("n_hit")).join(items, "key")
+    text = F.col(f"`{text_col}`")
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_key(text).alias("key"),
+                       F.coalesce(F.regexp_count(ascii_lower(text), F.lit(WORD6)), F.lit(0)).cast("long").alias("n_words"))
+    return rows.join(found, "key", "left").select(
+        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.col("n_hit").isNotNull().alias("contaminated"))
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, n: int = 10, remove: str = "documents",
@@ -160,15 +151,17 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, n: int = 10, remove:
     if remove not in ("documents", "spans"):
         raise ValueError("remove is 'documents' or 'spans'")
     names = docs.columns
-    carried = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(text_col).alias("_text"))
-    hits = find_hits(carried, benchmark, n, id_col="_row", text_col="_text", **options)
+    hits = find_hits(docs, benchmark, n, text_col, **options)
+    # rows travel as one struct, so their columns never clash with the ones added here
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), text_key(F.col(f"`{text_col}`")).alias("key"))
     if remove == "documents":
-        return hits.where((F.size("hits") == 0) & (F.col("uid") >= 0)).select("doc_id.*")
-    kept = F.filter(F.sequence(F.lit(0), F.col("n_words")), lambda i: (i < F.col("n_words")) & ~F.exists(
-        F.col("hits"), lambda h: (h["pos"] <= i) & (i < h["pos"] + h["width"])))
-    cut = hits.withColumn("_kept", kept).withColumn(
-        "_w", F.regexp_extract_all(F.coalesce(F.col(f"doc_id.{text_col}"), F.lit("")),
-                                   F.lit(r"[^0-9A-Za-z\x{80}-\x{10FFFF}]*" + r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"), F.lit(0)))
-    text = F.when(F.size("hits") == 0, F.col(f"doc_id.{text_col}")).otherwise(
-        F.concat_ws("", F.transform("_kept", lambda i: F.element_at(F.col("_w"), i + 1))))
-    return cut.select(*[(text if c == text_col else F.col(f"doc_id.`{c}`")).alias(c) for c in names])
+        return rows.join(hits.select("key"), "key", "left_anti").select("_row.*")
+    cut = rows.join(hits, "key", "left")
+    text = F.coalesce(F.col(f"_row.`{text_col}`"), F.lit(""))
+    cut = cut.withColumn("_w", F.regexp_extract_all(
+        text, F.lit(r"[^0-9A-Za-z\x{80}-\x{10FFFF}]*" + r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"), F.lit(0)))
+    cut = cut.withColumn("_kept", F.filter(F.transform("_w", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda p: ~F.exists(
+        F.col("hits"), lambda h: (h["pos"] <= p["i"]) & (p["i"] < h["pos"] + h["width"]))))
+    text = F.when(F.col("hits").isNull(), F.col(f"_row.`{text_col}`")).otherwise(
+        F.concat_ws("", F.transform("_kept", lambda p: p["x"])))
+    return cut.select(*[(text if c == text_col else F.col(f"_row.`{c}`")).alias(c) for c in names])

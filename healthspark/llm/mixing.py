@@ -6,13 +6,15 @@ r = min(cap, exp(lambda * size / mean size)): an exponential tilt. Newton steps
 one aggregation over (source, size, count) cells, safeguarded by a bracket; the state is one row
 per source in a table, never on the driver.
 
-Rates become whole copies cell by cell, from long documents to short ones: a cell's wanted copies
-are rounded down or up, whichever brings the source's running total closer to that of the rates, so what
-one cell over- or undershoots the shorter ones after it repair. Inside a cell (documents of equal size, in hash buckets) copies differ by at most one and
-the extra ones go to the smallest hashes. The hash depends on the row alone, so reruns agree.
+Rates become whole copies size by size, from long documents to short ones: the wanted copies of a source's
+documents of one size are rounded down or up, whichever brings the source's running total closer to that of the
+rates, so what one size over- or undershoots the shorter ones after it repair. These copies are dealt to hash
+buckets of such documents in proportion, by the cut points of a running count; inside a bucket copies differ by at
+most one and the extra ones go to the smallest hashes. The hash depends on the row alone, so reruns agree.
 
 Scale: documents are read once into a narrow table; a hot source or a hot size is pre-aggregated
-into cells before anything is exchanged by source, and split into buckets where rows are ranked.
+before anything is exchanged by source, and split into buckets where rows are ranked. A task rounds the distinct
+sizes of a source, which the longest document bounds, whatever the number of documents.
 
 Input rules: a null text has size 0; documents without words get one copy and take nothing; null is a
 source of its own, after all others; repeated rows are separate documents; an empty table gives an empty
@@ -100,7 +102,7 @@ def rate(cap: float):
 
 
 def _whole_copies(cap: int):
-    """Streams cells sorted by (sid, size desc, b) and gives each a whole number of copies."""
+    """Streams cells sorted by (sid, size desc) and gives each a whole number of copies."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sid, due, given = None, 0.0, 0
         for cells in batches:
@@ -113,8 +115,8 @@ def _whole_copies(cap: int):
                 k = min(cap * n, max(low, min(low + 1, round((due - given) / size)) if want > low else low))
                 given += k * size
                 copies.append(k)
-            yield pd.DataFrame({"sid": cells["sid"], "size": cells["size"], "b": cells["b"], "n": cells["n"],
-                                "copies": pd.Series(copies, dtype="int64")})
+            yield pd.DataFrame({"sid": cells["sid"], "size": cells["size"], "whole": cells["n"],
+                                "dealt": pd.Series(copies, dtype="int64")})
     return run
 
 
@@ -129,7 +131,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: int = 3, id_
     text = F.col(text_col)
     size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
     keys = {"_id": F.col(id_col), "_source": F.col(source_col), "_size": size,
-            "_u": F.xxhash64(F.col(id_col), F.col(source_col), F.lit(seed))}
+            "_u": F.xxhash64(F.col(id_col), F.col(source_col), text, F.lit(seed))}
     narrow = store(docs.select(*[v.alias(k[1:]) for k, v in keys.items()]), "mix-sizes")
     buckets = max(1, -(-narrow.count() // bucket_rows))
     bucket = F.pmod(F.shiftright("u", 20), F.lit(buckets)).cast("int")
@@ -140,10 +142,19 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: int = 3, id_
     worded = cells.where("size > 0")
     coarse = store(worded.groupBy("sid", "size").agg(F.sum("n").alias("n")), "mix-coarse")
     state = tilt(coarse, sources, cap)
-    planned = store(worded.join(state, "sid").withColumn("want", F.col("n") * rate(cap))
-                    .select("sid", "size", "b", "n", "want").repartition(F.col("sid"))
-                    .sortWithinPartitions("sid", F.desc("size"), "b")
-                    .mapInPandas(_whole_copies(cap), "sid int, size long, b int, n long, copies long"), "mix-copies")
+    whole = store(coarse.join(state, "sid").withColumn("want", F.col("n") * rate(cap))
+                  .select("sid", "size", "n", "want").repartition(F.col("sid")).sortWithinPartitions("sid", F.desc("size"))
+                  .mapInPandas(_whole_copies(cap), "sid int, size long, whole long, dealt long"), "mix-whole")
+    # a size's copies are dealt to its buckets in proportion: cut points of one running count
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("sid", "size").orderBy("b").rowsBetween(
+        Window.unboundedPreceding, -1)), F.lit(0))
+
+    def cut(x):  # dealt * x / whole, rounded down
+        product = F.col("dealt").cast("decimal(38,0)") * x
+        return ((product - product % F.col("whole")) / F.col("whole")).cast("long")
+
+    planned = store(worded.withColumn("before", before).join(whole, ["sid", "size"]).select(
+        "sid", "size", "b", "n", (cut(F.col("before") + F.col("n")) - cut(F.col("before"))).alias("copies")), "mix-copies")
     rows = narrow if not carry else \
         docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"),
                     keys["_u"].alias("u"), F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"))
