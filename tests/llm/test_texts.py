@@ -76,7 +76,10 @@ def test_contamination_equals_brute_force(spark, limit):
         brute.contamination(rows, brute.BENCHMARK)
 
 
-def test_clean_documents(spark):
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_clean_documents(spark, monkeypatch, most):
+    met = decontamination._met
+    monkeypatch.setattr(decontamination, "_met", lambda *a: met(*a, most))  # broadcast, and dealt to parts
     rows = brute.texts()
     bench = spark.createDataFrame(brute.BENCHMARK, "item_id long, text string")
     docs = brute.frame(spark, rows)
