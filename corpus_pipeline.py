@@ -2,6 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir) and returns the documents it keeps, all but the last with the
 columns of `documents`; the last writes token blocks and returns them as read back.
+
+Input rules: documents without text pass all stages and end as a lone end id; documents without an id pass toxicity
+and near-dedup as documents of their own and come first in the tokens; rows that share an id are told apart
+by their text, of which near-dedup keeps one; a text given several times is one document to near-dedup; further columns
+are carried to the mix, whatever their names; empty tables give empty stages (no labels: nothing is toxic, no
+benchmark: nothing is contaminated).
 """
 
 from __future__ import annotations
