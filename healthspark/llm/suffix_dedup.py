@@ -112,24 +112,38 @@ def _induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, first: np.ndarray
     return sa
 
 
-def _rank_doubling(names: np.ndarray) -> np.ndarray:
-    """Suffix array of a string over a large alphabet: ranks of 1, 2, 4 ... symbols until all differ."""
-    n, rank, width = len(names), names.astype(np.int64), 1
-    while True:
-        second = np.zeros(n, np.int64)
-        second[:n - width] = rank[width:] + 1
-        key = rank * (n + 2) + second
-        order = np.argsort(key, kind="stable")
-        new = np.concatenate([[0], np.cumsum(np.diff(key[order]) != 0)])
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        width *= 2
-        if new[-1] == n - 1 or width >= n:
-            return order
+def _induce_many(s: np.ndarray, small: np.ndarray, lms: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The same for a large alphabet, whose buckets hold few suffixes each: one by one."""
+    n = len(s)
+    text, up, sa = s.tolist(), small.tolist(), [-1] * n
+    tail = last.tolist()
+    for p in lms[::-1].tolist():
+        c = text[p]
+        tail[c] -= 1
+        sa[tail[c]] = p
+    head = first.tolist()
+    for i in range(n):
+        p = sa[i] - 1
+        if p >= 0 and not up[p]:
+            c = text[p]
+            sa[head[c]] = p
+            head[c] += 1
+    tail = last.tolist()
+    for i in range(n - 1, -1, -1):
+        p = sa[i] - 1
+        if p >= 0 and up[p]:
+            c = text[p]
+            tail[c] -= 1
+            sa[tail[c]] = p
+    sa[0] = n - 1
+    return np.array(sa, np.int64)
 
 
 def suffix_array(s: np.ndarray, small_alphabet: int = 1024) -> np.ndarray:
-    """Induced sorting. `s` holds small integers; its last symbol is the only 0, the least."""
+    """Induced sorting, at every level. `s` holds small integers; its last symbol is the only 0, the least.
+
+    A level with up to `small_alphabet` symbols induces bucket by bucket, one with more suffix by suffix.
+    """
     n = len(s)
     if n < 3:
         return np.arange(n)[::-1].astype(np.int64)
@@ -139,7 +153,8 @@ def suffix_array(s: np.ndarray, small_alphabet: int = 1024) -> np.ndarray:
     held = np.bincount(s)
     last = np.cumsum(held)
     first = last - held
-    by_substring = _induce(s, small, lms, first, last)
+    induce = _induce if len(held) <= small_alphabet else _induce_many
+    by_substring = induce(s, small, lms, first, last)
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
     ordered = by_substring[by_substring >= 0]
@@ -163,11 +178,9 @@ def suffix_array(s: np.ndarray, small_alphabet: int = 1024) -> np.ndarray:
     if reduced.max() + 1 == len(lms):
         order = np.empty(len(lms), np.int64)
         order[reduced] = np.arange(len(lms))
-    elif reduced.max() < small_alphabet:
-        order = suffix_array(reduced, small_alphabet)
     else:
-        order = _rank_doubling(reduced)
-    return _induce(s, small, lms[order], first, last)
+        order = suffix_array(reduced, small_alphabet)
+    return induce(s, small, lms[order], first, last)
 
 
 def repeated(sa: np.ndarray, raw: np.ndarray, valid: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
