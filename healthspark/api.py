@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 
 from .functions import dims
+from .operators import chunks as H
 from .operators import duplicates as D
 from .operators import fixes as G
 from .operators import metrics as M
@@ -18,7 +19,9 @@ from .operators import smells as E
 from .operators import structure as S
 from .plans import reports as R
 from .plans.analysis import Analysis, analyze
+from .sinks import packs as P
 from .sources import corpus as C
+from .sources import walk as W
 
 
 def scan_codebase(spark: SparkSession, path: str, additional_ignores: Sequence[str] = (),
@@ -108,5 +111,16 @@ def generate_json_report(a: Analysis) -> DataFrame:
     return R.report_json(a.repo_metrics, a.language_stats, a.smells, a.analysis)
 
 
+def generate_json_documents(a: Analysis, path: str) -> None:
+    """Writes the whole JSON document of every repository as packs; ``sinks.packs.read_document`` reads one."""
+    P.write_documents(a.document_parts, path)
+
+
+def analyze_tree_in_chunks(spark: SparkSession, root: str, repo_id: str | None = None, chunk_bytes: int = 4 << 20) -> H.ChunkedAnalysis:
+    """Flat analysis tables of a tree of any store and files of any size."""
+    files = W.list_files(spark, root)
+    return H.analyse_chunks(W.read_chunks(files, root, repo_id, chunk_bytes), W.file_digests(files, root, repo_id))
+
+
 __all__ = [n for n in dir() if n.startswith(("scan_", "get_", "analyze", "find_", "detect_", "aggregate_",
                                               "calculate_", "determine_", "generate_", "render_", "priority"))]

@@ -341,6 +341,12 @@ def repo_metrics_docs(spark, sf):
     return longs(k2(spark, sf).repo_metrics)
 
 
+@query("repo_metrics_user_ignore")
+def repo_metrics_user_ignore(spark, sf):
+    # with 'src' ignored, the repositories without a tests directory have no file left
+    return longs(k1(spark, sf, extra_ignores=["src"]).repo_metrics)
+
+
 PENALTIES = ["penalty_tests", "penalty_smells", "penalty_duplicates", "penalty_long_functions",
              "penalty_error_handling", "penalty_todos", "penalty_class_density"]
 

@@ -6,7 +6,7 @@ with ``path`` relative to its repository root and '/'-separated. A single code
 base is the special case of one ``repo_id``. Two ways to get one:
 
 * :func:`read_repo_tree` walks a directory tree in the executors (raw bytes,
-  one row per file);
+  one row per file), in a mounted path or another store (``walk``);
 * :func:`corpus_from_table` adapts any table (Parquet, Delta, JDBC ...).
 
 :func:`source_files` applies the scan rules as column predicates, so the
@@ -34,10 +34,13 @@ def read_repo_tree(spark: SparkSession, root: str, repo_id: str | None = None, c
     With ``repo_id`` the whole tree is one repository; otherwise the first directory level below
     ``root`` names the repository, and files directly in ``root`` belong to repository ``.``. Ignored
     directories are never entered; files that the scan drops are listed but not read. ``root`` is a
-    local or mounted path, relative or not; a missing one raises when the corpus is read.
+    local or mounted path, relative or not, which raises when the corpus is read if it is missing; or
+    the URI of a store that ``walk.walk_repo_tree`` opens, which lists only the files that the scan keeps.
     """
     if "://" in root and not root.startswith("file://"):
-        raise ValueError("read_repo_tree walks mounted paths; load other stores as a table of files")
+        from .walk import walk_repo_tree
+
+        return walk_repo_tree(spark, root, repo_id, extra_ignores, content)
     spark.dataSource.register(TreeSource)
     reader = spark.read.format("repo_tree").options(
         path=os.path.abspath(root.removeprefix("file://")), content=str(content).lower(), shards=str(shards),

@@ -114,6 +114,8 @@ FROM scanned s LEFT JOIN (SELECT repo_id, language, sum(code_lines) AS lines FRO
   ON l.repo_id = s.repo_id AND l.language = s.language
 GROUP BY s.repo_id, s.language""")
 oracle("repo_metrics", K1_ALL + "SELECT * FROM repo_metrics")
+oracle("repo_metrics_user_ignore", chain("k1", line_ctes(), smell_ctes(), dup_ctes(), metric_ctes(), extra_ignores=["src"])
+       + "SELECT * FROM repo_metrics")
 oracle("repo_metrics_docs", chain("k2", line_ctes(), smell_ctes(), dup_ctes(), metric_ctes())
        + "SELECT * FROM repo_metrics")
 oracle("health_score", K1_ALL + f"SELECT repo_id, {PENALTIES}, health_score, risk_level FROM repo_metrics")
