@@ -27,6 +27,7 @@ are processed whole, in overlapping chunks; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -114,28 +115,32 @@ def _induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, first: np.ndarray
 
 def _induce_many(s: np.ndarray, small: np.ndarray, lms: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """The same for a large alphabet, whose buckets hold few suffixes each: one by one."""
-    n = len(s)
-    text, up, sa = s.tolist(), small.tolist(), [-1] * n
-    tail = last.tolist()
-    for p in lms[::-1].tolist():
-        c = text[p]
-        tail[c] -= 1
-        sa[tail[c]] = p
+    def compact(x: np.ndarray) -> array:
+        return array("q", x.astype(np.int64).tobytes())
+
+    # the symbol before which a suffix is induced in the pass at hand, else -1; place 0 looks at the last one
+    forward, backward = np.where(small, -1, s), np.where(small, s, -1)
+    backward[-1] = -1
+    forward, backward = compact(forward), compact(backward)
+    seeds = np.zeros(len(s), np.int64)
+    order = np.argsort(s[lms], kind="stable")
+    symbols, held = s[lms][order], np.bincount(s[lms], minlength=len(first))
+    seeds[last[symbols] - held[symbols] + np.arange(len(lms)) - (np.cumsum(held) - held)[symbols]] = lms[order]
+    sa = seeds.tolist()
     head = first.tolist()
-    for i in range(n):
-        p = sa[i] - 1
-        if p >= 0 and not up[p]:
-            c = text[p]
-            sa[head[c]] = p
-            head[c] += 1
+    for p in sa:  # sees what it has placed further on
+        c = forward[p - 1]
+        if c >= 0:
+            at = head[c]
+            sa[at] = p - 1
+            head[c] = at + 1
     tail = last.tolist()
-    for i in range(n - 1, -1, -1):
-        p = sa[i] - 1
-        if p >= 0 and up[p]:
-            c = text[p]
-            tail[c] -= 1
-            sa[tail[c]] = p
-    sa[0] = n - 1
+    for p in reversed(sa):
+        c = backward[p - 1]
+        if c >= 0:
+            tail[c] = at = tail[c] - 1
+            sa[at] = p - 1
+    sa[0] = len(s) - 1
     return np.array(sa, np.int64)
 
 
