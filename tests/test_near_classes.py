@@ -28,7 +28,7 @@ def random_files(seed, n=70):
     return files
 
 
-@pytest.mark.parametrize("threshold", [-1.0, 0.25, 0.31, 0.5, 0.95])
+@pytest.mark.parametrize("threshold", [-1.0, 0.25, 0.5])
 def test_counts_and_links_equal_all_pairs(spark, threshold):
     a = analyze(corpus_df(spark, random_files(int(threshold * 100))), near_threshold=threshold)
     listed = near_duplicates_brute_force(a.analysis, threshold).collect()
@@ -47,7 +47,7 @@ def test_counts_and_links_equal_all_pairs(spark, threshold):
     assert fast == {(r.repo_id, r.path1, r.path2): r.similarity for r in listed}
 
 
-@pytest.mark.parametrize("threshold, seed", [(0.25, 1), (0.5, 2), (0.8, 1)])
+@pytest.mark.parametrize("threshold, seed", [(0.25, 1), (0.5, 2)])
 def test_first_pairs_head_the_list(spark, threshold, seed):
     a = analyze(corpus_df(spark, random_files(seed)), near_threshold=threshold)
     whole = sorted((r.repo_id, *[r[c] for c in D.ORDER_KEYS]) for r in a.duplicates.collect())
