@@ -108,6 +108,49 @@ def test_many_files_of_one_class_are_linear(spark):
     assert len(a.first_duplicates.collect()) == 20
 
 
+@pytest.mark.parametrize("threshold", [0.25, 0.5])
+def test_counting_by_shared_names_equals_pairs(spark, threshold):
+    rnd = random.Random(int(threshold * 100))
+    rows = [(f"r{i % 2}", "py", f"f{i:03d}", rnd.choice([10, 11, 15, 20, 33, 90]), rnd.sample([f"n{k}" for k in range(9)], rnd.randint(0, 5)),
+             rnd.sample(["A", "B", "n1"], rnd.randint(0, 3))) for i in range(300)]
+    members = N.class_members(spark.createDataFrame(
+        rows, "repo_id string, language string, path string, code_lines int, fnames array<string>, cnames array<string>"))
+    classes = N.histograms(members).persist()
+    # pairs with a class of more than three names one by one, the others by their names
+    assert {r.path: r.n_links for r in N.file_links(members, N.near_links(members, classes, threshold, 3)).collect()} == {
+        r[2]: sum(r[:2] == x[:2] and r[2] != x[2] and N.similarity(min(r[3], x[3]) / max(r[3], x[3]), *(
+            len(set(r[n]) & set(x[n])) / len(set(r[n]) | set(x[n])) if r[n] and x[n] else 0.0 for n in (4, 5))) >= threshold
+                  for x in rows) for r in rows}
+
+
+def many_classes(spark, copies):
+    """60 000 classes of one function (of 30) and one class name (of 2 000) each."""
+    return N.class_members(spark.range(60_000 * copies).select(
+        F.lit("r").alias("repo_id"), F.lit("py").alias("language"), F.format_string("m%06d.py", "id").alias("path"),
+        F.lit(20).alias("code_lines"), F.array(F.expr("'f' || id % 60000 % 30")).alias("fnames"),
+        F.array(F.expr("'C' || id % 60000 div 30")).alias("cnames")))
+
+
+@pytest.mark.parametrize("threshold, links", [(0.5, 1999 + 29), (0.25, 59_999)])
+def test_many_classes_that_share_names_are_linear(spark, threshold, links):
+    # 60 million pairs of classes share a name
+    members = many_classes(spark, 1)
+    started = time.time()
+    found = N.near_links(members, N.histograms(members).persist(), threshold).groupBy("n_links").count().collect()
+    assert time.time() - started < 60
+    assert [tuple(r) for r in found] == [(links, 60_000)]
+
+
+def test_first_pairs_of_many_classes_are_linear(spark):
+    members = many_classes(spark, 2)
+    groups = spark.createDataFrame([], "repo_id string, md5 string, n_files long, first_path string, last_path string")
+    started = time.time()
+    first = N.first_near_pairs(members, groups, N.histograms(members).persist()).collect()
+    assert time.time() - started < 120
+    assert sorted((r.path1, r.path2, r.similarity) for r in first) == [
+        (f"m{i:06d}.py", f"m{i + 60_000:06d}.py", 1.0) for i in range(10)]
+
+
 def test_ranks_need_no_window(spark):
     rnd = random.Random(2)
     rows = [(rnd.choice(["hot"] * 8 + ["a", "b", None]), rnd.random(), i) for i in range(5000)]
