@@ -157,3 +157,38 @@ def test_a_scratch_scope_leaves_nothing_behind(spark, tmp_path):
             assert inner.startswith(folder + "/")
     assert set(os.listdir(checkpoint_dir(spark).removeprefix("file://"))) == before
     assert spark.read.parquet(str(tmp_path / "plans")).count() == 1
+
+
+def test_written_tables_keep_methods_that_the_jvm_compiles(spark, tmp_path):
+    from healthspark.plans.analysis import SMALL_SPLITS
+    from healthspark.session import COMPILED_METHODS, materialize
+
+    wanted = COMPILED_METHODS | SMALL_SPLITS
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    seen = {}
+
+    class Table:
+        sparkSession, schema = spark, spark.range(3).schema
+
+        @property
+        def write(self):
+            seen.update({name: spark.conf.get(name) for name in wanted})
+            return spark.range(3).write
+
+    assert materialize(Table(), "t", "write", str(tmp_path), SMALL_SPLITS).count() == 3
+    assert seen == wanted
+    assert {name: spark.conf.get(name, None) for name in wanted} == before
+
+
+def test_the_analysis_reads_small_splits(spark, tmp_path):
+    # 25 MB in six files, which one task could read: with the open cost of a file, no two fit in a split of 8 MB
+    from healthspark.session import settings
+
+    text = F.concat_ws("\n", F.transform(F.sequence(F.lit(0), F.lit(2000)), lambda i: F.concat(
+        F.lit("# "), F.sha2(F.concat_ws("-", "id", i), 512))))
+    spark.range(96).repartition(6).select(F.lit("r").alias("repo_id"), F.format_string("m%03d.txt.py", "id").alias("path"),
+                                         text.alias("content")).write.option("compression", "none").parquet(f"{tmp_path}/c")
+    a = analyze(spark.read.parquet(f"{tmp_path}/c"), materialize="write")
+    with settings(spark, {"spark.sql.files.minPartitionNum": "1"}):
+        assert a.analysis.select("code_lines", "comment_lines").groupBy().sum().first()[1] == 96 * 2001
+    assert len(a.analysis.inputFiles()) == 6
