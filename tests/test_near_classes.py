@@ -11,6 +11,7 @@ from conftest import SF_SMALL, corpus_df
 from healthspark.operators import duplicates as D
 from healthspark.operators import near_classes as N
 from healthspark.operators.ranks import ranked
+from healthspark.operators.shared_names import shared_links
 from healthspark.plans.analysis import analyze
 from healthspark.sources import driver_corpora as K
 from test_duplicates import near_duplicates_brute_force, py_file
@@ -123,6 +124,13 @@ def test_counting_by_shared_names_equals_pairs(spark, threshold):
                   for x in rows) for r in rows}
 
 
+def test_keys_and_classes_are_not_broadcast(spark):
+    # a class has up to 4095 keys, but Spark sizes them by the compressed file of the classes
+    classes = analyze(corpus_df(spark, random_files(5))).name_classes
+    p = shared_links(classes, 0.5)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in p and "BroadcastHashJoin" not in p
+
+
 def many_classes(spark, copies):
     """60 000 classes of one function (of 30) and one class name (of 2 000) each."""
     return N.class_members(spark.range(60_000 * copies).select(
