@@ -1,6 +1,7 @@
 """Plan shape assertions and the driver contract."""
 
 import os
+import re
 
 import pytest
 from conftest import SF_SMALL, corpus_df
@@ -8,6 +9,7 @@ from healthspark.operators import duplicates as D
 from healthspark.operators import structure as S
 from healthspark.plans.analysis import analyze
 from healthspark.operators import metrics as M
+from healthspark.plans.catalog import REGISTRY
 from healthspark.sources.corpus import corpus_from_table, language_breakdown, source_files
 from pyspark.sql import functions as F
 
@@ -29,6 +31,12 @@ def test_near_duplicates_has_no_cartesian_product(spark):
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
 
 
+def test_documents_read_back_are_not_broadcast(spark):
+    # Spark sizes the texts of all documents by the bytes of their index
+    p = plan(REGISTRY["report_document"](spark, SF_SMALL))
+    assert "MapInArrow" in p and not re.search(r"BroadcastExchange.*\n.*MapInArrow", p)
+
+
 def test_scan_prunes_content_for_metadata(spark, tmp_path):
     c = corpus_df(spark, {"a.py": "x = 1\n", "node_modules/b.js": "y\n"}).withColumn("size_bytes", F.octet_length("content"))
     c.write.parquet(str(tmp_path / "corpus"))
