@@ -55,3 +55,15 @@ def test_methods_of_the_pair_stage_are_compiled(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert sizes and max(sizes) < 8000
+
+
+def test_near_signature_pairs_shuffle_no_pairs(spark):
+    a = small_corpus(spark, 8)
+    members = D.signature_members(a.analysis)
+    pairs = D.near_signature_pairs(D.distinct_signatures(members), 0.5)
+    assert "Exchange" not in above_the_join(pairs)
+    rows = pairs.collect()
+    assert sum(r.n_pairs for r in rows) == near_duplicates_brute_force(a.analysis).count()
+    assert any(r.path1 == r.path2 and r.n_pairs == r.n_files1 * (r.n_files1 - 1) // 2 for r in rows)
+    files = {(r.path1, r.path2) for r in D._expand(pairs, members).collect()}
+    assert files == {(r.path1, r.path2) for r in near_duplicates_brute_force(a.analysis).collect()}
