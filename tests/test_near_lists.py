@@ -4,7 +4,6 @@ import random
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 from conftest import corpus_df
 from healthspark.operators import duplicates as D
@@ -13,10 +12,21 @@ from healthspark.plans.analysis import analyze
 from test_duplicates import near_duplicates_brute_force, py_file
 
 
-def above_the_join(df):
-    """Plan nodes over the outermost join."""
-    names = re.findall(r"^[\s:+|*()\d-]*([A-Z]\w+)", df._jdf.queryExecution().executedPlan().toString(), re.M)
-    return names[:next(i for i, n in enumerate(names) if n.endswith("Join"))]
+def outermost_join(df):
+    return next(line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line)
+
+
+def alike(spark):
+    """150 files of the same names and different lengths: 11 175 pairs."""
+    return analyze(corpus_df(spark, {f"m{i:03d}.py": py_file(["f", "g"], ["K"], 20 + i) for i in range(150)}), materialize="write")
+
+
+@pytest.mark.parametrize("table", ["near_duplicates", "signature_pairs", "duplicates"])
+def test_pairs_are_not_shuffled(spark, table):
+    a = alike(spark)
+    df = D.near_signature_pairs(D.distinct_signatures(D.signature_members(a.analysis))) if table == "signature_pairs" else getattr(a, table)
+    assert len(df.collect()) == 150 * 149 // 2
+    assert "tok#" in outermost_join(df)  # the join by names: nothing that makes or takes pairs lies above or below another
 
 
 def small_corpus(spark, seed):
@@ -37,15 +47,10 @@ def test_small_chunks_and_hot_names_change_nothing(spark, threshold):
         assert {(r.one.path, r.two.path): (r.line_sim, r.func_sim, r.class_sim, r.similarity) for r in got} == want
 
 
-def test_near_duplicates_shuffles_no_pairs(spark):
-    a = small_corpus(spark, 6)
-    assert "Exchange" not in above_the_join(a.near_duplicates)
-    assert a.near_duplicates.count() == near_duplicates_brute_force(a.analysis).count()
-
-
-def test_methods_of_the_pair_stage_are_compiled(spark):
+@pytest.mark.parametrize("table", ["near_duplicates", "duplicates"])
+def test_methods_of_the_pair_stage_are_compiled(spark, table):
     """HotSpot interprets methods of more than 8 000 bytes."""
-    df = small_corpus(spark, 7).near_duplicates
+    df = getattr(small_corpus(spark, 7), table)
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
         plan = df.select("*")._jdf.queryExecution().executedPlan()
@@ -57,13 +62,22 @@ def test_methods_of_the_pair_stage_are_compiled(spark):
     assert sizes and max(sizes) < 8000
 
 
-def test_near_signature_pairs_shuffle_no_pairs(spark):
+def test_near_signature_pairs_equal_all_pairs(spark):
     a = small_corpus(spark, 8)
     members = D.signature_members(a.analysis)
     pairs = D.near_signature_pairs(D.distinct_signatures(members), 0.5)
-    assert "Exchange" not in above_the_join(pairs)
     rows = pairs.collect()
     assert sum(r.n_pairs for r in rows) == near_duplicates_brute_force(a.analysis).count()
     assert any(r.path1 == r.path2 and r.n_pairs == r.n_files1 * (r.n_files1 - 1) // 2 for r in rows)
     files = {(r.path1, r.path2) for r in D._expand(pairs, members).collect()}
     assert files == {(r.path1, r.path2) for r in near_duplicates_brute_force(a.analysis).collect()}
+
+
+def test_all_duplicates_leave_out_pairs_of_two_copies(spark):
+    same, other = py_file(["f", "g"], [], 12), py_file(["f", "h"], ["K"], 12)
+    a = analyze(corpus_df(spark, {"a.py": same, "b.py": same, "c.py": py_file(["f", "g"], [], 13),
+                                  "d.js": other, "e.py": other, "f.py": other, "g.py": other}), materialize="write")
+    near = sorted((r.file_1, r.file_2, r.lang_order) for r in a.duplicates.collect() if not r.is_exact)
+    want = {(r.path1, r.path2) for r in near_duplicates_brute_force(a.analysis).collect()} - {("a.py", "b.py")}
+    assert near == [(p, q, "a.py") for p, q in sorted(want)]
+    assert sorted((r.file_1, r.n_files) for r in a.duplicates.collect() if r.is_exact) == [("a.py", 2), ("d.js", 4)]
