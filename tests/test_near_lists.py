@@ -81,3 +81,17 @@ def test_all_duplicates_leave_out_pairs_of_two_copies(spark):
     want = {(r.path1, r.path2) for r in near_duplicates_brute_force(a.analysis).collect()} - {("a.py", "b.py")}
     assert near == [(p, q, "a.py") for p, q in sorted(want)]
     assert sorted((r.file_1, r.n_files) for r in a.duplicates.collect() if r.is_exact) == [("a.py", 2), ("d.js", 4)]
+
+
+def test_ranks_do_not_shuffle_the_sorted_list_again(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for a list that is larger than any threshold
+    try:
+        df = small_corpus(spark, 9).duplicate_ranks
+        assert "BroadcastHashJoin" in outermost_join(df)
+        rows = df.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    rows.sort(key=lambda r: [r[c] for c in D.ORDER_KEYS])
+    assert [r.group_rank for r in rows] == list(range(1, len(rows) + 1)) and len(rows) > 100
+    assert all(r.n_files == 2 and r.group_key == f'["{r.file_1}","{r.file_2}"]' for r in rows if not r.is_exact)
