@@ -4,10 +4,10 @@ Law `bytes`. Rows are ordered by (h, doc_id, uid): h is a 62-bit hash of the tex
 neighbours; uid tells repeated rows apart. Splitters are found without sorting: count the exact bytes
 of a few thousand evenly spaced candidate cells of h in every partition, keep the cells that hold a
 target, and refine only those, until a cell edge lies within the tolerance of its target or the
-cell is a single text. The splitter then goes to the nearer edge of that text, so its copies stay together, if they
+cell is a single text. Only the cell of each target reaches the driver: running sums are taken where the counts are. The splitter then goes to the nearer edge of that text, so its copies stay together, if they
 hold at most half a shard's bytes; a larger group of copies is refined the same way by doc_id, then by uid, so it
 is cut between rows and never forces one shard to hold it. What
-reaches the driver are counts of candidate cells: at most `cells` per pass and open splitter.
+reaches the driver is one row per pass and open splitter.
 
 After that each row knows its shard by comparing its key with the splitters, and rows move once.
 Every shard is divided into `parts` finer ranges by the same splitters, more of them the more rows there are, so
@@ -49,10 +49,13 @@ def sort_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         F.monotonically_increasing_id().alias("uid"))
 
 
-def _histogram(rows: DataFrame, col: str, open_cells: Sequence[tuple], cells: int) -> dict:
-    """Exact bytes and rows of `cells` sub-cells of each open cell (group, low, high): one job.
+def _histogram(rows: DataFrame, col: str, open_cells: Sequence[tuple], cells: int, aims: Sequence[list[tuple]]) -> dict:
+    """From the exact bytes of `cells` sub-cells of each open cell (group, low, high), for each target the sub-cell in which
+    it falls, else the last that has rows: one job.
 
-    group is the (h, d) prefix that the rows must equal in the columns before `col`.
+    group is the (h, d) prefix that the rows must equal in the columns before `col`; `aims` holds (target, bytes below the
+    cell, bytes wanted) for each open cell. Gives {target: (bytes below the sub-cell, its bytes, its edges, least and
+    greatest value)}; targets of a cell without rows are missing.
     """
     spark = rows.sparkSession
     before = KEY[:KEY.index(col)]
@@ -70,7 +73,8 @@ def _histogram(rows: DataFrame, col: str, open_cells: Sequence[tuple], cells: in
     elif len(open_cells) == 1:
         (_, low, high), = open_cells
         step = max(1, -(-(high - low + 1) // cells))
-        picked = rows.select(F.lit(0).alias("cell"), F.expr(f"({col} - {low}L) div {step}L").alias("sub"),
+        # all in cell 0; a literal would turn the join with the targets into a nested loop
+        picked = rows.where(F.col(col).between(low, high)).select((F.col(col) < low).cast("int").alias("cell"), F.expr(f"({col} - {low}L) div {step}L").alias("sub"),
                              value.alias("v"), "size")
     else:
         # open cells are disjoint and equally wide, so the quotient names the cell
@@ -82,12 +86,19 @@ def _histogram(rows: DataFrame, col: str, open_cells: Sequence[tuple], cells: in
             "cell", F.expr(f"({col} - wide * {wide}L) div {step}L").alias("sub"), value.alias("v"), "size")
     found = picked.groupBy("cell", "sub").agg(F.sum("size").alias("bytes"), F.min("v").alias("low"),
                                               F.max("v").alias("high"))
+    w = Window.partitionBy("cell").orderBy("sub")
+    run = found.withColumns({"upto": F.sum("bytes").over(w), "last": F.lead("sub").over(w).isNull()})
+    wanted = spark.createDataFrame([(k, i, below, float(aim)) for k, of in enumerate(aims) for i, below, aim in of],
+                                   "cell int, target int, below long, aim double")
+    end = F.col("below") + F.col("upto")
+    hit = run.join(F.broadcast(wanted), "cell").where((end >= F.col("aim")) | F.col("last")).groupBy("target").agg(
+        F.min(F.struct("sub", "cell", (end - F.col("bytes")).alias("at"), "bytes", "low", "high")).alias("hit"))
     out: dict = {}
-    for r in sorted(found.collect(), key=lambda r: (r["cell"], r["sub"])):
+    for target, r in hit.collect():
         group, low, high = open_cells[r["cell"]]
         step = max(1, -(-(high - low + 1) // cells))
-        out.setdefault(r["cell"], []).append(
-            (int(r["bytes"]), low + r["sub"] * step, low + (r["sub"] + 1) * step - 1, int(r["low"]), int(r["high"])))
+        out[target] = (int(r["at"]), int(r["bytes"]), low + r["sub"] * step, low + (r["sub"] + 1) * step - 1,
+                       int(r["low"]), int(r["high"]))
     return out
 
 
@@ -106,26 +117,22 @@ def find_splitters(rows: DataFrame, targets: Sequence[float], tolerance: float,
     while todo:
         asked = list(todo)
         sub = max(2, cells if len(asked) == 1 else min(cells, 1 << max(4, (cells * 16 // len(asked)).bit_length() - 1)))
-        counted, following = _histogram(rows, col, asked, sub), {}
-        for k, cell in enumerate(asked):
-            for i, below in todo[cell]:
-                at, aim = below, targets[i]
-                parts = counted.get(k, [])
-                for n, (size, low, high, least, most) in enumerate(parts):
-                    if at + size < aim and n + 1 < len(parts):
-                        at += size
-                        continue
-                    left, right = abs(aim - at), abs(at + size - aim)
-                    uncut = least == most and (col == "uid" or (col == "h" and size <= whole))
-                    if min(left, right) <= tolerance or uncut:
-                        splitters[i] = (*cell[0], least if left <= right else most + 1)
-                    elif least == most:
-                        later.setdefault(((*cell[0], least), None, None), []).append((i, at))
-                    else:
-                        following.setdefault((cell[0], low, high), []).append((i, at))
-                    break
-                else:
+        found = _histogram(rows, col, asked, sub, [[(i, below, targets[i]) for i, below in todo[cell]] for cell in asked])
+        following: dict = {}
+        for cell in asked:
+            for i, _ in todo[cell]:
+                if i not in found:
                     splitters[i] = (*cell[0], cell[1])
+                    continue
+                at, size, low, high, least, most = found[i]
+                left, right = abs(targets[i] - at), abs(at + size - targets[i])
+                uncut = least == most and (col == "uid" or (col == "h" and size <= whole))
+                if min(left, right) <= tolerance or uncut:
+                    splitters[i] = (*cell[0], least if left <= right else most + 1)
+                elif least == most:
+                    later.setdefault(((*cell[0], least), None, None), []).append((i, at))
+                else:
+                    following.setdefault((cell[0], low, high), []).append((i, at))
         if following:
             if col == "h" and len({hi - lo for _, lo, hi in following}) > 1:
                 raise AssertionError("cells of one pass are equally wide")

@@ -63,6 +63,27 @@ def test_a_hot_text_is_cut_to_within_one_row(spark):
     assert len(got) == 8 and all(abs(r["count"] - 100) <= 1 for r in got)
 
 
+def test_only_the_cells_of_targets_reach_the_driver(spark, monkeypatch):
+    docs = spark.range(20_000).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    rows, sent, collect = sharding.sort_keys(docs).persist(), [], type(docs).collect
+    total = rows.agg({"size": "sum"}).first()[0]
+    monkeypatch.setattr(type(docs), "collect", lambda df: sent.append(collect(df)) or sent[-1])
+    splitters = sharding.find_splitters(rows, [total * i / 40 for i in range(1, 40)], 0.001 * total / 40)
+    assert sent and max(map(len, sent)) <= 39
+    below = [rows.where(~sharding._at_least(s)).agg({"size": "sum"}).first()[0] for s in splitters[::13]]
+    assert all(abs(b - total * i / 40) <= 0.001 * total / 40 + 30 for b, i in zip(below, range(1, 40, 13)))
+
+
+def test_all_targets_in_one_cell(spark):
+    # one text holds nearly all bytes, and others share its first cell: only that cell's rows count in the next pass
+    docs = spark.range(21_000).selectExpr("id AS doc_id", "if(id < 1000, repeat('x', 20000), concat('text ', id)) AS text")
+    rows = sharding.sort_keys(docs).persist()
+    total = rows.agg({"size": "sum"}).first()[0]
+    splitters = sharding.find_splitters(rows, [total * i / 4 for i in (1, 2, 3)], 0.001 * total)
+    below = [rows.where(~sharding._at_least(s)).agg({"size": "sum"}).first()[0] for s in splitters]
+    assert all(abs(b - total * i / 4) <= 0.001 * total for b, i in zip(below, (1, 2, 3)))
+
+
 @pytest.mark.parametrize("bits", [1, 7, 8, 13, 16, 17, 20, 32])
 def test_packing_round_trip(bits):
     ids = np.random.default_rng(bits).integers(0, 2 ** bits, 1001, dtype=np.uint64).astype("<u4")
